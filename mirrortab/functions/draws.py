@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import math
 
-from mirrortab.functions.maths import normal_quantile
+from pyspark.sql import Column, functions as F
 
 SPAN = 1 << 53
 
@@ -20,7 +20,9 @@ def uniform(seed: int, tag: str, *key: Column) -> Column:
 
 
 def normal(seed: int, tag: str, *key: Column) -> Column:
-    return normal_quantile(uniform(seed, tag, *key))
+    """Standard normal, by the Box-Muller transform of two uniforms."""
+    radius = F.sqrt(F.lit(-2.0) * F.ln(uniform(seed, f"{tag}/r", *key)))
+    return radius * F.cos(F.lit(2 * math.pi) * uniform(seed, f"{tag}/a", *key))
 
 
 def hash_index(seed: int, tag: str, i: Column, size: Column) -> Column:

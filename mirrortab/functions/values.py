@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mirrortab import rules
@@ -98,3 +100,18 @@ def na_words_to_null(df: DataFrame) -> DataFrame:
     return df.select([
         F.when(~ref(f.name).isin(rules.MISSING_WORDS), ref(f.name)).alias(f.name)
         if is_text(f.dataType) else ref(f.name) for f in df.schema.fields])
+
+
+def doubles(values: Sequence[float]) -> Column:
+    """A literal array; written as text, which is much quicker to build than one literal per number."""
+    return F.expr(_doubles_text(values))
+
+
+def double_rows(rows: Sequence[Sequence[float]]) -> Column:
+    """A literal array of arrays."""
+    return F.expr(f"array({', '.join(map(_doubles_text, rows))})")
+
+
+def _doubles_text(values: Sequence[float]) -> str:
+    shown = ("double('Infinity')" if v == float("inf") else f"{float(v)!r}D" for v in values)
+    return f"array({', '.join(shown)})"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mirrortab import rules
@@ -11,7 +12,7 @@ from mirrortab.functions.values import (as_number, is_number, is_text, missing_t
                                         truth_of_text, type_of)
 from mirrortab.operators.classify import date_shares, infer_types, text_columns
 from mirrortab.operators.frequency import medians, modes
-from mirrortab.operators.ordering import add_bucket, bucket_bounds, cut_lineage
+from mirrortab.operators.ordering import bucket_bounds, cut_lineage
 
 DATE_SAMPLE = 30
 DATE_SHARE = 0.9
@@ -73,7 +74,9 @@ def fill_along(df: DataFrame, columns: Sequence[str], order_by: str) -> DataFram
     bounds = df.agg(bucket_bounds(place).alias("b")).first()["b"]
     if bounds is None:
         return df
-    placed = add_bucket(df, place, F.array(*[F.lit(b) for b in bounds]), "_bucket")
+    splits = [float("-inf"), *sorted(set(map(float, bounds))), float("inf")]
+    placed = (Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket", handleInvalid="keep")
+              .transform(df.withColumn("_place", place.cast("double"))))
     known = []
     for i, c in enumerate(columns):
         when_known = F.when(missing_to_null(df, c).isNotNull(), place)

@@ -10,8 +10,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mirrortab.functions.values import as_number, missing_to_null, ref
-from mirrortab.operators.ordering import add_bucket, bucket_bounds
+from mirrortab.functions.values import as_number, double_rows, missing_to_null, ref
+from mirrortab.operators.ordering import BUCKETS, bucket_bounds, bucket_of
+
+CELLS = 512
 
 
 def _stacked(df: DataFrame, values: Mapping[str, Column], extra: Sequence[Column] = ()) -> DataFrame:
@@ -44,31 +46,66 @@ def pair_frequencies(source: DataFrame, synthetic: DataFrame, columns: Sequence[
     return both.groupBy("column", "value").agg(F.sum("a").alias("n_source"), F.sum("b").alias("n_synth"))
 
 
-def running_counts(freq: DataFrame, counts: Sequence[str], totals: Sequence[Column] = ()) -> DataFrame:
-    """Add ``<count>_upto`` (running sum by value), ``<count>_total`` and the ``totals`` per column.
+def value_bounds(tables: Sequence[DataFrame], columns: Sequence[str]) -> dict[str, list[float]]:
+    """Up to 255 rising numbers per column that cut its distinct values into about even buckets.
 
-    The values of a column are cut into even buckets; the running sum is taken inside a bucket and
-    shifted by what the earlier buckets hold. Bounds and shifts are one row per column and one per
-    bucket, which bounds what is broadcast.
+    One pass. Only values whose hash falls in one cell of 64 are looked at: a column with few distinct
+    values may give none and then stays in one bucket, which is small.
+    """
+    names = [f"x{i}" for i in range(len(columns))]
+    picked = None
+    for df in tables:
+        part = df.select([as_number(df, c).alias(n) for c, n in zip(columns, names)])
+        picked = part if picked is None else picked.unionByName(part)
+    row = picked.agg(*[bucket_bounds(F.when(F.pmod(F.xxhash64(n), F.lit(64)) == 0, F.col(n))).alias(n)
+                       for n in names]).first()
+    return {c: sorted(set(row[n] or [])) for c, n in zip(columns, names)}
+
+
+def ranked_values(tables: Mapping[str, DataFrame], columns: Sequence[str],
+                  bounds: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
+    """One row per distinct (column, value), with for each table, by its name n:
+
+    ``n`` how often it occurs, ``n_upto`` how many values are not above it, ``n_total`` how many values
+    the column has, ``n_sum`` their sum. The running count is taken inside a bucket of values and shifted
+    by what the earlier buckets hold, so a column spreads over many tasks; what is broadcast is one row
+    per column and bucket.
     """
-    bounds = F.broadcast(freq.groupBy("column").agg(
-        bucket_bounds(F.col("value")).alias("_bounds"),
-        *[F.sum(c).alias(f"{c}_total") for c in counts], *totals))
-    placed = add_bucket(freq.join(bounds, "column"), F.col("value"), F.col("_bounds"), "_bucket").drop("_bounds")
-    per_bucket = placed.groupBy("column", "_bucket").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
-    earlier = Window.partitionBy("column").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = per_bucket.select(
-        "column", "_bucket", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in counts])
-    inside = (Window.partitionBy("column", "_bucket").orderBy("value")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    upto = placed.join(F.broadcast(shift), ["column", "_bucket"])
-    return upto.select(
-        *[c for c in placed.columns if c != "_bucket"],
-        *[(F.sum(c).over(inside) + F.col(f"_{c}")).alias(f"{c}_upto") for c in counts])
+    bounds = value_bounds(list(tables.values()), columns) if bounds is None else bounds
+    both = None
+    for name, df in tables.items():
+        cells = [x for i, c in enumerate(columns) for x in (F.lit(i), as_number(df, c))]
+        part = (df.select(F.stack(F.lit(len(columns)), *cells).alias("at", "value"),
+                          *[F.lit(1 if n == name else 0).alias(n) for n in tables])
+                .where(F.col("value").isNotNull()))
+        both = part if both is None else both.unionByName(part)
+    counted = both.groupBy("at", "value").agg(*[F.sum(n).alias(n) for n in tables])
+    # One number for (column, bucket): short keys to shuffle, and a sort that its prefix decides.
+    limits = [[*bounds.get(c, ()), *[float("inf")] * (BUCKETS - 1 - len(bounds.get(c, ())))] for c in columns]
+    cell = F.col("at") * CELLS + bucket_of(F.col("value"), double_rows(limits)[F.col("at")])
+    freq = counted.select(cell.alias("cell"), "value", *tables)
+    per_cell = freq.groupBy("cell").agg(
+        *[F.sum(n).alias(f"{n}_here") for n in tables],
+        *[F.sum(F.col("value") * F.col(n)).alias(f"{n}_part") for n in tables])
+    whole = Window.partitionBy(F.shiftright("cell", 9))
+    earlier = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    name_of = F.element_at(F.array(*[F.lit(c) for c in columns]), F.shiftright("cell", 9) + 1)
+    shift = per_cell.select(
+        "cell", name_of.alias("column"),
+        *[F.coalesce(F.sum(f"{n}_here").over(earlier), F.lit(0)).alias(f"{n}_before") for n in tables],
+        *[F.sum(f"{n}_here").over(whole).alias(f"{n}_total") for n in tables],
+        *[F.sum(f"{n}_part").over(whole).alias(f"{n}_sum") for n in tables])
+    inside = Window.partitionBy("cell").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = freq.select("*", *[F.sum(n).over(inside).alias(f"{n}_within") for n in tables])
+    # A left join, although every cell is there: an inner one would test the cell for null on every raw
+    # row, and the two uses of ``freq`` would no longer share one shuffle.
+    return upto.join(F.broadcast(shift), "cell", "left").select(
+        "column", "value", *tables, *[(F.col(f"{n}_within") + F.col(f"{n}_before")).alias(f"{n}_upto") for n in tables],
+        *[f"{n}_total" for n in tables], *[f"{n}_sum" for n in tables])
 
 
 def quantile_of(share: float, count: str, value: str = "value") -> Column:
-    """Aggregate for the linearly interpolated quantile, over rows of :func:`running_counts`."""
+    """Aggregate for the linearly interpolated quantile, over rows of :func:`ranked_values`."""
     upto, total = F.col(f"{count}_upto"), F.col(f"{count}_total")
     place = (total - 1) * F.lit(float(share))
     low = F.min(F.when((F.col(count) > 0) & (upto > F.floor(place)), F.col(value)))
@@ -79,7 +116,7 @@ def quantile_of(share: float, count: str, value: str = "value") -> Column:
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """(column, share, value), exact, without holding a column in one task."""
-    ranked = running_counts(frequencies(df, columns, numeric=True), ["n"])
+    ranked = ranked_values({"n": df}, columns)
     wide = ranked.groupBy("column").agg(
         F.array(*[F.struct(F.lit(float(s)).alias("share"), quantile_of(s, "n").alias("value"))
                   for s in shares]).alias("q"))

@@ -13,11 +13,12 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from mirrortab.functions.draws import hash_index, uniform
+from mirrortab.functions.draws import hash_index, normal, uniform
 from mirrortab.functions.maths import normal_cdf, normal_quantile
-from mirrortab.functions.values import as_number, is_number, missing_to_null, ref, type_of
+from mirrortab.functions.values import as_number, doubles, is_number, missing_to_null, ref, type_of
 from mirrortab.operators.frequency import exact_quantiles, frequencies
 from mirrortab.operators.ordering import add_bucket, cut_lineage, dense_index
 
@@ -75,6 +76,16 @@ def _modelled(df: DataFrame, name: str) -> bool:
     return is_number(type_of(df, name))
 
 
+def decimals_of(x: Column) -> Column:
+    """How many decimals a number has, ``MAX_DECIMALS`` for that many or more."""
+    ladder = None
+    for d in range(MAX_DECIMALS):
+        scaled = x * float(10 ** d)
+        fits = F.abs(scaled - F.rint(scaled)) <= F.greatest(F.lit(1.0), F.abs(scaled)) * 1e-12
+        ladder = F.when(fits, d) if ladder is None else ladder.when(fits, d)
+    return F.when(x.isNotNull(), ladder.otherwise(MAX_DECIMALS))
+
+
 def fit_marginals(df: DataFrame) -> tuple[list[Marginal], int]:
     numbers = [c for c in df.columns if _modelled(df, c)]
     texts = [c for c in df.columns if c not in numbers]
@@ -84,8 +95,8 @@ def fit_marginals(df: DataFrame) -> tuple[list[Marginal], int]:
         aggs.append(F.count(missing_to_null(df, c)).alias(f"n{i}"))
         if c in numbers:
             x = as_number(df, c)
-            aggs.append(F.percentile_approx(x, shares, F.lit(20 * GRID)).alias(f"q{i}"))
-            aggs += [F.max(x != F.round(x, d)).alias(f"d{i}_{d}") for d in range(MAX_DECIMALS)]
+            aggs.append(F.percentile_approx(x, shares, F.lit(10 * GRID)).alias(f"q{i}"))
+            aggs.append(F.max(decimals_of(x)).alias(f"d{i}"))
     row = df.agg(*aggs).first()
     rows = row["rows"]
     labels = _label_shares(df, texts)
@@ -93,9 +104,9 @@ def fit_marginals(df: DataFrame) -> tuple[list[Marginal], int]:
     for i, c in enumerate(df.columns):
         missing = 1.0 - row[f"n{i}"] / rows if rows else 0.0
         if c in numbers:
-            exact = [d for d in range(MAX_DECIMALS) if row[f"d{i}_{d}"] is False]
+            places = row[f"d{i}"]
             out.append(Marginal(c, type_of(df, c), "number", missing, list(row[f"q{i}"] or []),
-                                exact[0] if exact else None))
+                                places if places is not None and places < MAX_DECIMALS else None))
         elif c in labels:
             names, counts = zip(*labels[c]) if labels[c] else ((), ())
             upto = list(np.cumsum(counts) / max(1, sum(counts)))
@@ -124,54 +135,67 @@ def _padded(bounds: Sequence[float], fill: float) -> tuple[Column, int]:
     while size - 1 < len(bounds):
         size *= 2
     size = max(size, 2)
-    return F.array(*[F.lit(float(b)) for b in [*bounds, *[fill] * (size - 1 - len(bounds))]]), size
+    return doubles([*bounds, *[fill] * (size - 1 - len(bounds))]), size
 
 
 def normal_scores(df: DataFrame, marginals: Sequence[Marginal]) -> DataFrame:
     """One column of normal scores per modelled column; ties share the middle of their interval."""
-    out = df.select([ref(m.name).alias(f"x{i}") if m.kind != "number" else as_number(df, m.name).alias(f"x{i}")
-                     for i, m in enumerate(marginals)])
-    for i, m in enumerate(marginals):
-        x = F.col(f"x{i}")
-        if m.kind == "number":
-            grid = F.array(*[F.lit(float(g)) for g in m.grid])
-            inner, size = _padded(m.grid[1:-1], float("inf"))
-            out = add_bucket(out, x, inner, "_hi", size)
-            # Grid points below x: those not above x, less those equal to it.
-            below, _ = _padded([-g for g in reversed(m.grid[1:-1])], float("inf"))
-            out = add_bucket(out, -x, below, "_ge", size)
-            low = F.lit(GRID - 1) - F.col("_ge")
-            left, right = grid.getItem(F.col("_hi")), grid.getItem(F.col("_hi") + 1)
-            part = F.coalesce(F.try_divide(x - left, right - left), F.lit(0.5))
-            inside = (F.col("_hi") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), part))) / GRID
-            tied = (low + F.col("_hi") + 1) / (2.0 * GRID)
-            u = F.when(F.col("_hi") > low + 1, tied).otherwise(inside)
-            out = out.withColumn(f"u{i}", F.when(x.isNotNull(), u)).drop("_hi", "_ge")
-        elif m.kind == "label" and m.labels:
-            lows = [0.0, *m.upto[:-1]]
-            middle = F.create_map(*[z for name, a, b in zip(m.labels, lows, m.upto)
-                                    for z in (F.lit(name), F.lit((a + b) / 2))])
-            out = out.withColumn(f"u{i}", F.try_element_at(middle, x.cast("string")))
-    kept = [i for i, m in enumerate(marginals) if f"u{i}" in out.columns]
-    clipped = out.select([F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col(f"u{i}"))).alias(f"u{i}") for i in kept])
-    return clipped.select([normal_quantile(F.col(f"u{i}")).alias(f"z{i}") for i in kept])
-
-
-def score_correlation(scores: DataFrame, size: int) -> np.ndarray:
-    """Correlation matrix of the normal scores, one aggregation; 0 where it is undefined."""
+    numbers = [(i, m) for i, m in enumerate(marginals) if m.kind == "number" and len(set(m.grid)) > 1]
+    labels = [(i, m) for i, m in enumerate(marginals) if m.kind == "label" and m.labels]
+    out = df.select([as_number(df, m.name).alias(f"x{i}") for i, m in numbers]
+                    + [ref(m.name).cast("string").alias(f"x{i}") for i, m in labels])
+    if numbers:
+        points = {i: sorted(set(m.grid)) for i, m in numbers}
+        out = Bucketizer(splitsArray=[[float("-inf"), *points[i], float("inf")] for i, _ in numbers],
+                         inputCols=[f"x{i}" for i, _ in numbers], outputCols=[f"b{i}" for i, _ in numbers],
+                         handleInvalid="keep").transform(out)
+    shares = []
+    for i, m in numbers:
+        known, x = points[i], F.col(f"x{i}")
+        upto = np.searchsorted(m.grid, known, side="right")
+        before = np.searchsorted(m.grid, known, side="left")
+        # Bucket b holds known[b-1] <= x < known[b]; the grid point itself covers [before, upto).
+        b = F.greatest(F.lit(1), F.least(F.col(f"b{i}").cast("int"), F.lit(len(known)))) - 1
+        at, first, last = doubles(known)[b], doubles(before)[b], doubles(upto)[b]
+        above = doubles([*known[1:], known[-1]])[b]
+        tied = (first + last - 1) / (2.0 * GRID)
+        between = (last - 1 + F.coalesce(F.try_divide(x - at, above - at), F.lit(0.0))) / float(GRID)
+        shares.append(F.when(x.isNotNull(), F.when(x <= at, tied).otherwise(between)).alias(f"u{i}"))
+    for i, m in labels:
+        middles = [(a + b) / 2 for a, b in zip([0.0, *m.upto[:-1]], m.upto)]
+        table = F.create_map(*[z for name, u in zip(m.labels, middles) for z in (F.lit(name), F.lit(float(u)))])
+        shares.append(F.try_element_at(table, F.col(f"x{i}")).alias(f"u{i}"))
+    out = out.select(*shares)
+    inner = out.select([F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col(c))).alias(c) for c in out.columns])
+    return inner.select([normal_quantile(F.col(c)).alias(f"z{c[1:]}") for c in inner.columns])
+
+
+def score_correlation(scores: DataFrame, size: int, gaps: Sequence[int] = ()) -> np.ndarray:
+    """Correlation matrix of the normal scores from one aggregation of plain sums; 0 where undefined.
+
+    Scores are centred and scaled already, so products can be summed as they are. ``gaps`` names the
+    columns with missing values, whose sums of squares are taken pair by pair.
+    """
     names = scores.columns
-    aggs = []
-    for a, b in combinations(names, 2):
-        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-        aggs.append(F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)).alias(f"{a}_{b}"))
+    squares = {c: F.sum(F.col(c) * F.col(c)).alias(f"s_{c}") for c in names}
+    aggs = list(squares.values())
+    pairs = list(combinations(names, 2))
+    for a, b in pairs:
+        aggs.append(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}"))
+        if int(b[1:]) in gaps:
+            aggs.append(F.sum(F.when(F.col(b).isNotNull(), F.col(a) * F.col(a))).alias(f"{a}_if_{b}"))
+        if int(a[1:]) in gaps:
+            aggs.append(F.sum(F.when(F.col(a).isNotNull(), F.col(b) * F.col(b))).alias(f"{b}_if_{a}"))
     matrix = np.eye(size)
-    if not aggs:
+    if not pairs:
         return matrix
-    row = scores.agg(*aggs).first()
-    for a, b in combinations(names, 2):
-        r = row[f"{a}_{b}"]
-        i, j = int(a[1:]), int(b[1:])
-        matrix[i, j] = matrix[j, i] = 0.0 if r is None or np.isnan(r) else r
+    row = scores.agg(*aggs).first().asDict()
+    for a, b in pairs:
+        product = row[f"{a}_{b}"]
+        va, vb = row.get(f"{a}_if_{b}", row[f"s_{a}"]), row.get(f"{b}_if_{a}", row[f"s_{b}"])
+        if product is not None and va and vb:
+            i, j = int(a[1:]), int(b[1:])
+            matrix[i, j] = matrix[j, i] = max(-1.0, min(1.0, product / float(np.sqrt(va * vb))))
     return matrix
 
 
@@ -196,7 +220,8 @@ def fit(df: DataFrame, model: str = DEFAULT_MODEL, seed: int = 42) -> Model:
         return Model("bootstrap", marginals, np.eye(size), df, seed)
     mixing = np.eye(size)
     if model == "gaussian_copula":
-        found = mixing_matrix(score_correlation(normal_scores(df, marginals), size))
+        gaps = [i for i, m in enumerate(marginals) if m.null_share > 0]
+        found = mixing_matrix(score_correlation(normal_scores(df, marginals), size, gaps))
         model, mixing = ("independent", mixing) if found is None else (model, found)
     return Model(model, marginals, mixing, df, seed)
 
@@ -205,9 +230,9 @@ def _value_of(m: Marginal, u: Column) -> Column | None:
     """Inverse marginal of a numeric column at ``u``."""
     if not m.grid:
         return None
-    grid = F.array(*[F.lit(float(g)) for g in m.grid])
+    grid = doubles(m.grid)
     at = F.least(F.floor(u * GRID).cast("int"), F.lit(GRID - 1))
-    left, right = grid.getItem(at), grid.getItem(at + 1)
+    left, right = grid[at], grid[at + 1]
     value = left + (right - left) * (u * GRID - at)
     if isinstance(m.dtype, T.IntegralType):
         return F.round(value).cast(m.dtype)
@@ -224,8 +249,7 @@ def rows_for(model: Model, ids: DataFrame, key: str, columns: Sequence[str] | No
     drawn = [m for m in wanted if m.kind != "fetched"]
     # Only the independent normals that the wanted columns mix are drawn.
     needed = sorted({k for m in drawn for k in range(order[m.name] + 1) if model.mixing[order[m.name], k] != 0.0})
-    out = ids.select(*base, *[uniform(model.seed, f"z{k}", i).alias(f"_v{k}") for k in needed])
-    out = out.select(*base, *[normal_quantile(F.col(f"_v{k}")).alias(f"_z{k}") for k in needed])
+    out = ids.select(*base, *[normal(model.seed, f"z{k}", i).alias(f"_z{k}") for k in needed])
     mixed = []
     for m in drawn:
         j = order[m.name]
@@ -243,7 +267,7 @@ def rows_for(model: Model, ids: DataFrame, key: str, columns: Sequence[str] | No
             if m.labels:
                 bounds, size = _padded(m.upto[:-1], 2.0)
                 out = add_bucket(out, F.col(f"_u{j}"), bounds, f"_b{j}", size)
-                value = F.array(*[F.lit(name) for name in m.labels]).getItem(F.col(f"_b{j}")).cast(m.dtype)
+                value = F.array(*[F.lit(name) for name in m.labels])[F.col(f"_b{j}")].cast(m.dtype)
         value = F.lit(None).cast(m.dtype) if value is None else value
         if m.null_share > 0:
             value = F.when(uniform(model.seed, f"null{j}", i) >= m.null_share, value)

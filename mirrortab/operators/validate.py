@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mirrortab.functions.maths import chi2_pvalue, ks_pvalue
 from mirrortab.functions.values import as_number, is_number, missing_to_null, ref, type_of
-from mirrortab.operators.frequency import pair_frequencies, quantile_of, running_counts
+from mirrortab.operators.frequency import pair_frequencies, quantile_of, ranked_values
 
 KS_CAP = 2
 KS_ALPHA = 0.05
@@ -49,12 +49,11 @@ def capped_counts(pair: DataFrame, cap: int | None) -> DataFrame:
 
 
 def numeric_comparison(source: DataFrame, synthetic: DataFrame, columns: Sequence[str],
-                       cap: int | None = KS_CAP, cohort_columns: Collection[str] = ()) -> DataFrame:
+                       cap: int | None = KS_CAP, cohort_columns: Collection[str] = (),
+                       bounds: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
     """One row per numeric column: size, moments and quartiles of both sides, and the KS test."""
-    pair = pair_frequencies(source, synthetic, columns, numeric=True)
     value = F.col("value")
-    sums = [F.sum(value * F.col(n)).alias(f"{n}_sum") for n in ("n_source", "n_synth")]
-    ranked = capped_counts(running_counts(pair, ["n_source", "n_synth"], sums), cap)
+    ranked = capped_counts(ranked_values({"n_source": source, "n_synth": synthetic}, columns, bounds), cap)
     gap = F.abs(F.col("n_source_upto") / F.col("n_source_total") - F.col("capped_upto") / F.col("capped_total"))
 
     def side(n: str, name: str) -> list[Column]:

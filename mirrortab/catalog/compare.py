@@ -301,9 +301,9 @@ NEAR_SQL = f"""both_sides AS ({_sample_sql(0, "p_type < 'M'")} UNION ALL {_sampl
 enc AS (SELECT side, idx, p_partkey, (p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()) AS a,
   (p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()) AS b,
   (dense_rank() OVER (ORDER BY p_brand) - 1) / (SELECT count(DISTINCT p_brand) FROM both_sides) AS c FROM both_sides),
-dist AS (SELECT y.idx AS synth_idx, s.idx AS at, sqrt((s.a - y.a) * (s.a - y.a) + (s.b - y.b) * (s.b - y.b) + (s.c - y.c) * (s.c - y.c)) AS d
+dist AS (SELECT y.idx AS synth_idx, s.idx AS near_idx, sqrt((s.a - y.a) * (s.a - y.a) + (s.b - y.b) * (s.b - y.b) + (s.c - y.c) * (s.c - y.c)) AS d
   FROM enc y, enc s WHERE y.side = 1 AND s.side = 0),
-near AS (SELECT synth_idx, arg_min(at, (d, at)) AS nearest_source_idx, min(d) AS distance FROM dist GROUP BY synth_idx)"""
+near AS (SELECT synth_idx, arg_min(near_idx, (d, near_idx)) AS nearest_source_idx, min(d) AS distance FROM dist GROUP BY synth_idx)"""
 
 
 def _encoded(spark, folder):

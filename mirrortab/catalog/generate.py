@@ -25,10 +25,10 @@ COLUMNS_SQL = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
 def _step_sql(pool: str, order: str, test: str, share: float, name: str) -> str:
     """One requirement: draws by plain arithmetic, joined to the numbered strata of the pool."""
     return f"""{name}_n AS (SELECT count(*) AS n, CAST(round({share} * count(*)) AS BIGINT) AS n1 FROM customer),
-{name}_p AS (SELECT *, {test} AS ok, row_number() OVER (PARTITION BY {test} ORDER BY {order}) - 1 AS at,
+{name}_p AS (SELECT *, {test} AS ok, row_number() OVER (PARTITION BY {test} ORDER BY {order}) - 1 AS pos,
   count(*) OVER (PARTITION BY {test}) AS size FROM {pool}),
 {name}_d AS (SELECT i, i < n1 AS ok, CASE WHEN i < n1 THEN i ELSE i - n1 END AS j FROM {name}_n, range(n) t(i)),
-{name} AS (SELECT d.i AS _row, {COLUMNS_SQL} FROM {name}_d d JOIN {name}_p p ON p.ok = d.ok AND p.at = (d.j * 48271 + 12345) % p.size)"""
+{name} AS (SELECT d.i AS _row, {COLUMNS_SQL} FROM {name}_d d JOIN {name}_p p ON p.ok = d.ok AND p.pos = (d.j * 48271 + 12345) % p.size)"""
 
 
 def resampled(spark, folder, requirements):
@@ -51,18 +51,18 @@ def cohort_sequence(spark, folder):
     return resampled(spark, folder, wanted).select("_row", *COLUMNS_SQL.split(", "))
 
 
-@query("bootstrap_sample", f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS at, count(*) OVER () AS n FROM customer)
-SELECT i AS _row, {COLUMNS_SQL} FROM (SELECT count(*) AS m FROM customer), range(m) t(i) JOIN p ON at = (i * 48271 + 12345) % n""")
+@query("bootstrap_sample", f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, count(*) OVER () AS n FROM customer)
+SELECT i AS _row, {COLUMNS_SQL} FROM (SELECT count(*) AS m FROM customer), range(m) t(i) JOIN p ON pos = (i * 48271 + 12345) % n""")
 def bootstrap_sample(spark, folder):
     return resampled(spark, folder, []).select("_row", *COLUMNS_SQL.split(", "))
 
 
 @query("trim_pad", f"""WITH n AS (SELECT count(*) AS n, count(*) // 3 AS few, count(*) + count(*) // 2 AS many FROM customer),
 few AS (SELECT c_custkey FROM customer ORDER BY (c_custkey * 48271 + 12345) % 2147483647, c_custkey LIMIT (SELECT few FROM n)),
-p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS at FROM customer)
+p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer)
 SELECT 'trimmed' AS kind, row_number() OVER (ORDER BY c_custkey) - 1 AS _row, c_custkey FROM few
-UNION ALL SELECT 'padded', at, c_custkey FROM p
-UNION ALL SELECT 'padded', n + i, c_custkey FROM n, range(many - n) t(i) JOIN p ON at = (i * 48271 + 12345) % n""")
+UNION ALL SELECT 'padded', pos, c_custkey FROM p
+UNION ALL SELECT 'padded', n + i, c_custkey FROM n, range(many - n) t(i) JOIN p ON pos = (i * 48271 + 12345) % n""")
 def trim_pad(spark, folder):
     keys = table(spark, folder, "customer").select(F.col("c_custkey").alias("_key"))
     n = keys.count()

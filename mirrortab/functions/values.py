@@ -103,15 +103,10 @@ def na_words_to_null(df: DataFrame) -> DataFrame:
 
 
 def doubles(values: Sequence[float]) -> Column:
-    """A literal array; written as text, which is much quicker to build than one literal per number."""
-    return F.expr(_doubles_text(values))
+    """A literal array of doubles.
 
-
-def double_rows(rows: Sequence[Sequence[float]]) -> Column:
-    """A literal array of arrays."""
-    return F.expr(f"array({', '.join(map(_doubles_text, rows))})")
-
-
-def _doubles_text(values: Sequence[float]) -> str:
-    shown = ("double('Infinity')" if v == float("inf") else f"{float(v)!r}D" for v in values)
-    return f"array({', '.join(shown)})"
+    One text literal that the optimizer folds, not one expression per number: plans with thousands of
+    literals take seconds to analyse.
+    """
+    text = ",".join("Infinity" if v == float("inf") else repr(float(v)) for v in values)
+    return F.split(F.lit(text), ",").cast("array<double>")

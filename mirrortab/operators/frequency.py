@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mirrortab.functions.values import as_number, double_rows, missing_to_null, ref
+from mirrortab.functions.values import as_number, doubles, missing_to_null, ref
 from mirrortab.operators.ordering import BUCKETS, bucket_bounds, bucket_of
 
 CELLS = 512
@@ -81,8 +81,8 @@ def ranked_values(tables: Mapping[str, DataFrame], columns: Sequence[str],
         both = part if both is None else both.unionByName(part)
     counted = both.groupBy("at", "value").agg(*[F.sum(n).alias(n) for n in tables])
     # One number for (column, bucket): short keys to shuffle, and a sort that its prefix decides.
-    limits = [[*bounds.get(c, ()), *[float("inf")] * (BUCKETS - 1 - len(bounds.get(c, ())))] for c in columns]
-    cell = F.col("at") * CELLS + bucket_of(F.col("value"), double_rows(limits)[F.col("at")])
+    limits = [b for c in columns for b in [*bounds.get(c, ()), *[float("inf")] * (BUCKETS - 1 - len(bounds.get(c, ())))]]
+    cell = F.col("at") * CELLS + bucket_of(F.col("value"), doubles(limits), F.col("at") * (BUCKETS - 1))
     freq = counted.select(cell.alias("cell"), "value", *tables)
     per_cell = freq.groupBy("cell").agg(
         *[F.sum(n).alias(f"{n}_here") for n in tables],

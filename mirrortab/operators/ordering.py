@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from mirrortab.functions.values import ref
+from mirrortab.functions.values import doubles, ref
 
 BUCKETS = 256
 BROADCAST_ROWS = 100_000
@@ -65,18 +65,18 @@ def add_bucket(df: DataFrame, value: Column, bounds: Column, name: str, buckets:
     return df
 
 
-def bucket_of(value: Column, bounds: Column, buckets: int = BUCKETS) -> Column:
-    """The same as one expression, compact in the plan, for tables of distinct values."""
+def bucket_of(value: Column, bounds: Column, start: Column, buckets: int = BUCKETS) -> Column:
+    """The same as one expression, for tables of distinct values; the bounds begin at ``start``."""
     steps = [buckets >> k for k in range(1, buckets.bit_length())]
     found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),
-                        lambda at, s: F.when(value >= bounds[at + s - 1], at + s).otherwise(at))
+                        lambda at, s: F.when(value >= bounds[start + at + s - 1], at + s).otherwise(at))
     return F.coalesce(found, F.lit(0))
 
 
 def bucket_bounds(value: Column, buckets: int = BUCKETS) -> Column:
     """Aggregate that yields approximately even bucket bounds for :func:`add_bucket`."""
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    return F.percentile_approx(value, shares, F.lit(10 * buckets))
+    shares = [i / buckets for i in range(1, buckets)]
+    return F.percentile_approx(value, doubles(shares), F.lit(10 * buckets))
 
 
 def bottom_k(df: DataFrame, k: int, score: Column, span: int, key: Sequence[str],

@@ -89,7 +89,7 @@ def decimals_of(x: Column) -> Column:
 def fit_marginals(df: DataFrame) -> tuple[list[Marginal], int]:
     numbers = [c for c in df.columns if _modelled(df, c)]
     texts = [c for c in df.columns if c not in numbers]
-    shares = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    shares = doubles([i / GRID for i in range(GRID + 1)])
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
         aggs.append(F.count(missing_to_null(df, c)).alias(f"n{i}"))

@@ -12,7 +12,7 @@ from mirrortab.functions.values import (as_number, is_number, is_text, missing_t
                                         truth_of_text, type_of)
 from mirrortab.operators.classify import date_shares, infer_types, text_columns
 from mirrortab.operators.frequency import medians, modes
-from mirrortab.operators.ordering import bucket_bounds, cut_lineage
+from mirrortab.operators.ordering import bucket_bounds, buckets_for, cut_lineage
 
 DATE_SAMPLE = 30
 DATE_SHARE = 0.9
@@ -71,7 +71,7 @@ def fill_along(df: DataFrame, columns: Sequence[str], order_by: str) -> DataFram
     if not columns:
         return df
     place = order_number(df, order_by)
-    bounds = df.agg(bucket_bounds(place).alias("b")).first()["b"]
+    bounds = df.agg(bucket_bounds(place, buckets_for(df.count())).alias("b")).first()["b"]
     if bounds is None:
         return df
     splits = [float("-inf"), *sorted(set(map(float, bounds))), float("inf")]

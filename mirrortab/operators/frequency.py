@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from mirrortab.functions.values import as_number, doubles, missing_to_null, ref
 from mirrortab.operators.ordering import BUCKETS, bucket_bounds, bucket_of
 
-CELLS = 512
+CELL_BITS = 10
 
 
 def _stacked(df: DataFrame, values: Mapping[str, Column], extra: Sequence[Column] = ()) -> DataFrame:
@@ -47,7 +47,7 @@ def pair_frequencies(source: DataFrame, synthetic: DataFrame, columns: Sequence[
 
 
 def value_bounds(tables: Sequence[DataFrame], columns: Sequence[str]) -> dict[str, list[float]]:
-    """Up to 255 rising numbers per column that cut its distinct values into about even buckets.
+    """Up to 1,023 rising numbers per column that cut its distinct values into about even buckets.
 
     One pass. Only values whose hash falls in one cell of 64 are looked at: a column with few distinct
     values may give none and then stays in one bucket, which is small.
@@ -82,14 +82,14 @@ def ranked_values(tables: Mapping[str, DataFrame], columns: Sequence[str],
     counted = both.groupBy("at", "value").agg(*[F.sum(n).alias(n) for n in tables])
     # One number for (column, bucket): short keys to shuffle, and a sort that its prefix decides.
     limits = [b for c in columns for b in [*bounds.get(c, ()), *[float("inf")] * (BUCKETS - 1 - len(bounds.get(c, ())))]]
-    cell = F.col("at") * CELLS + bucket_of(F.col("value"), doubles(limits), F.col("at") * (BUCKETS - 1))
+    cell = F.shiftleft("at", CELL_BITS) + bucket_of(F.col("value"), doubles(limits), F.col("at") * (BUCKETS - 1))
     freq = counted.select(cell.alias("cell"), "value", *tables)
     per_cell = freq.groupBy("cell").agg(
         *[F.sum(n).alias(f"{n}_here") for n in tables],
         *[F.sum(F.col("value") * F.col(n)).alias(f"{n}_part") for n in tables])
-    whole = Window.partitionBy(F.shiftright("cell", 9))
+    whole = Window.partitionBy(F.shiftright("cell", CELL_BITS))
     earlier = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    name_of = F.element_at(F.array(*[F.lit(c) for c in columns]), F.shiftright("cell", 9) + 1)
+    name_of = F.element_at(F.array(*[F.lit(c) for c in columns]), F.shiftright("cell", CELL_BITS) + 1)
     shift = per_cell.select(
         "cell", name_of.alias("column"),
         *[F.coalesce(F.sum(f"{n}_here").over(earlier), F.lit(0)).alias(f"{n}_before") for n in tables],

@@ -10,8 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mirrortab.functions.values import doubles, ref
 
-BUCKETS = 256
+BUCKETS = 1024
 BROADCAST_ROWS = 100_000
+ROWS_PER_BUCKET = 500_000
+MOST_BUCKETS = 16_384
+
+_local_folders: dict[str, str] = {}
+
+
+def buckets_for(rows: int) -> int:
+    """How many buckets of a row order to cut: enough that each is small, few enough to broadcast."""
+    return max(64, min(MOST_BUCKETS, rows // ROWS_PER_BUCKET))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,9 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="mirrortab-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="mirrortab-")
+    return _local_folders[application]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

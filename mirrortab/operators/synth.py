@@ -166,7 +166,9 @@ def normal_scores(df: DataFrame, marginals: Sequence[Marginal]) -> DataFrame:
         table = F.create_map(*[z for name, u in zip(m.labels, middles) for z in (F.lit(name), F.lit(float(u)))])
         shares.append(F.try_element_at(table, F.col(f"x{i}")).alias(f"u{i}"))
     out = out.select(*shares)
-    inner = out.select([F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col(c))).alias(c) for c in out.columns])
+    # greatest and least skip nulls, so a missing value is kept missing by hand.
+    inner = out.select([F.when(F.col(c).isNotNull(), F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col(c)))).alias(c)
+                        for c in out.columns])
     return inner.select([normal_quantile(F.col(c)).alias(f"z{c[1:]}") for c in inner.columns])
 
 

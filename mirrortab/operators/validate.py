@@ -54,11 +54,12 @@ def numeric_comparison(source: DataFrame, synthetic: DataFrame, columns: Sequenc
     """One row per numeric column: size, moments and quartiles of both sides, and the KS test."""
     value = F.col("value")
     ranked = capped_counts(ranked_values({"n_source": source, "n_synth": synthetic}, columns, bounds), cap)
-    gap = F.abs(F.col("n_source_upto") / F.col("n_source_total") - F.col("capped_upto") / F.col("capped_total"))
+    gap = F.abs(F.try_divide(F.col("n_source_upto"), F.col("n_source_total"))
+                - F.try_divide(F.col("capped_upto"), F.col("capped_total")))
 
     def side(n: str, name: str) -> list[Column]:
         total, here = F.col(f"{n}_total"), F.when(F.col(n) > 0, value)
-        mean = F.col(f"{n}_sum") / total
+        mean = F.try_divide(F.col(f"{n}_sum"), total)
         spread = F.sum(F.col(n) * (value - mean) * (value - mean))
         return [F.max(total).alias(f"{name}_n"), F.max(mean).alias(f"{name}_mean"),
                 F.sqrt(spread / F.greatest(F.max(total) - 1, F.lit(1))).alias(f"{name}_std"),
@@ -66,9 +67,11 @@ def numeric_comparison(source: DataFrame, synthetic: DataFrame, columns: Sequenc
                 F.max(here).alias(f"{name}_max"), quantile_of(0.25, n).alias(f"{name}_q25"),
                 quantile_of(0.75, n).alias(f"{name}_q75")]
 
-    both = ranked.where((F.col("n_source_total") > 0) & (F.col("n_synth_total") > 0))
-    stats = both.groupBy("column").agg(*side("n_source", "source"), *side("n_synth", "synth"),
-                                       F.max("capped_total").alias("ks_capped_synth_n"), F.max(gap).alias("d"))
+    # Columns without a number on one side are left out after the aggregation: a filter before it would
+    # turn the left join of ranked_values into an inner one.
+    stats = ranked.groupBy("column").agg(
+        *side("n_source", "source"), *side("n_synth", "synth"), F.max("capped_total").alias("ks_capped_synth_n"),
+        F.max(gap).alias("d")).where((F.col("source_n") > 0) & (F.col("synth_n") > 0))
     enough = (F.col("source_n") >= 2) & (F.col("synth_n") >= 2)
     tested = stats.withColumn("ks_statistic", F.when(enough, F.col("d"))).withColumn(
         "ks_pvalue", F.when(enough, ks_pvalue(F.col("d"), F.col("source_n"), F.col("ks_capped_synth_n"))))

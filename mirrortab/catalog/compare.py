@@ -10,6 +10,7 @@ from mirrortab.functions.draws import LINEAR_SPAN, linear_score
 from mirrortab.operators import privacy as pv, validate as vd
 from mirrortab.operators.frequency import exact_quantiles
 from mirrortab.plans import compare
+from mirrortab.sources.report import long_report
 
 READY = [*MEASURES, "l_shipdate_ordinal"]
 READY_SQL = (f"src AS (SELECT {', '.join(MEASURES + FLAGS)}, {ORDINAL_SQL} AS l_shipdate_ordinal FROM ({SOURCE_SQL})), "
@@ -383,5 +384,5 @@ def report_long(spark, folder):
     a, b = ready_sides(spark, folder)
     v = compare.validate(a, b)
     v.numeric = v.numeric.select("column", "ks_statistic", "ks_pvalue")
-    out = compare.long_report(compare.report_tables(v, privacy_of_parts(spark, folder)))
+    out = long_report(compare.report_tables(v, privacy_of_parts(spark, folder)))
     return out.where(F.col("item") != "Disclaimer")

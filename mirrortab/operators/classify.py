@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mirrortab import rules
-from mirrortab.functions.values import is_moment, is_text, moment_from_text, normalised_name, ref, type_of
+from mirrortab.functions.values import is_moment, is_text, moment_from_text, normalised_name, ref
 from mirrortab.operators.frequency import frequencies
 from mirrortab.operators.ordering import head_rows
 
@@ -146,12 +146,18 @@ def date_shares(df: DataFrame, columns: Sequence[str], k: int, order_by: Sequenc
             .agg(F.avg(moment_from_text(F.col("value")).isNotNull().cast("double")).alias("share")))
 
 
-def infer_types(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """(position, column, dtype); text whose first values read as dates counts as datetime."""
+def infer_types(df: DataFrame, order_by: Sequence[str], firsts: DataFrame | None = None) -> DataFrame:
+    """(position, column, dtype); text whose first values read as dates counts as datetime.
+
+    ``firsts`` are the first values of at least the text columns, if they are known already.
+    """
     texts = text_columns(df)
     if not texts:
         return columns_table(df)
-    dates = F.broadcast(date_shares(df, texts, TYPE_SAMPLE, order_by))
+    firsts = first_values(df, texts, TYPE_SAMPLE, order_by) if firsts is None else firsts
+    read = moment_from_text(F.col("value")).isNotNull().cast("double")
+    dates = F.broadcast(firsts.where(F.col("column").isin(texts) & (F.col("place") < TYPE_SAMPLE))
+                        .groupBy("column").agg(F.avg(read).alias("share")))
     dtype = F.when(F.col("share") > 0.8, "datetime").otherwise(F.col("dtype"))
     return columns_table(df).join(dates, "column", "left").select("position", "column", dtype.alias("dtype"))
 
@@ -163,7 +169,10 @@ def types_of(df: DataFrame, order_by: Sequence[str]) -> dict[str, str]:
 def column_kinds(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """(column, dtype, kind): numerical, binary, ordinal or categorical."""
     types = infer_types(df, order_by).drop("position")
-    seen = frequencies(df, df.columns).where(F.col("value").isNotNull())
+    others = [f.name for f in df.schema.fields if logical_type(f.dataType) not in ("integer", "float")]
+    if not others:
+        return types.select("column", "dtype", F.lit("numerical").alias("kind"))
+    seen = frequencies(df, others).where(F.col("value").isNotNull())
     word = F.lower(F.trim("value"))
     per_column = seen.groupBy("column").agg(
         F.count(F.lit(1)).alias("distinct"),

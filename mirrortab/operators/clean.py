@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from mirrortab import rules
 from mirrortab.functions.values import (as_number, is_number, is_text, missing_to_null, moment_from_text, ref,
@@ -82,18 +82,23 @@ def fill_along(df: DataFrame, columns: Sequence[str], order_by: str) -> DataFram
         when_known = F.when(missing_to_null(df, c).isNotNull(), place)
         known += [F.max_by(ref(c), when_known).alias(f"_last{i}"), F.min_by(ref(c), when_known).alias(f"_first{i}")]
     ends = placed.groupBy("_bucket").agg(*known)
-    by_bucket = Window.partitionBy(F.lit(0)).orderBy("_bucket")
-    before, after = by_bucket.rowsBetween(Window.unboundedPreceding, -1), by_bucket.rowsBetween(1, Window.unboundedFollowing)
-    carry = ends.select(
-        "_bucket",
-        *[F.last(f"_last{i}", ignorenulls=True).over(before).alias(f"_before{i}") for i in range(len(columns))],
-        *[F.first(f"_first{i}", ignorenulls=True).over(after).alias(f"_after{i}") for i in range(len(columns))])
-    inside = Window.partitionBy("_bucket").orderBy(ref(order_by))
-    back = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Looking ahead is looking back in descending order: a frame that ends at the last row would be
+    # evaluated anew for every row.
+    def known_before(order: Column, within: Column) -> WindowSpec:
+        return Window.partitionBy(within).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def carried(value: str, order: Column) -> Column:
+        earlier = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(value, ignorenulls=True).over(earlier)
+
+    carry = ends.select("_bucket", *[c for i in range(len(columns)) for c in (
+        carried(f"_last{i}", F.asc("_bucket")).alias(f"_before{i}"),
+        carried(f"_first{i}", F.desc("_bucket")).alias(f"_after{i}"))])
+    back = known_before(ref(order_by).asc(), F.col("_bucket"))
+    ahead = known_before(ref(order_by).desc(), F.col("_bucket"))
     filled = placed.join(F.broadcast(carry), "_bucket")
     new = {c: F.coalesce(F.last(missing_to_null(df, c), ignorenulls=True).over(back), F.col(f"_before{i}"),
-                         F.first(missing_to_null(df, c), ignorenulls=True).over(ahead), F.col(f"_after{i}"))
+                         F.last(missing_to_null(df, c), ignorenulls=True).over(ahead), F.col(f"_after{i}"))
            for i, c in enumerate(columns)}
     return filled.select([new.get(c, ref(c)).alias(c) for c in df.columns])
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mirrortab.functions.draws import LINEAR_SPAN, SPAN, bits, hash_index
+from mirrortab.functions.draws import SPAN, bits, hash_index
 from mirrortab.functions.values import ref
 from mirrortab.operators.classify import find_column
 from mirrortab.operators.ordering import bottom_k, cut_lineage, dense_index, skew_join

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mirrortab.functions.values import as_number, doubles, missing_to_null, ref
+from mirrortab.functions.values import as_number, doubles, missing_to_null
 from mirrortab.operators.ordering import BUCKETS, bucket_bounds, bucket_of
 
 CELL_BITS = 10
@@ -37,6 +37,23 @@ def frequencies(df: DataFrame, columns: Sequence[str], numeric: bool = False) ->
     return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts_by_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, total, missing_count, unique_count), exact.
+
+    Each column is grouped by itself, on its own type, and the results are united. A columnar table is
+    still read once in all, a value that fills the column collapses before the shuffle, and no row is
+    blown up into one row per cell.
+    """
+    out = None
+    for c in columns:
+        seen = df.select(missing_to_null(df, c).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        part = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+                        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
+                        F.count("value").alias("unique_count")).select(F.lit(c).alias("column"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def pair_frequencies(source: DataFrame, synthetic: DataFrame, columns: Sequence[str],
                      numeric: bool = False) -> DataFrame:
     """(column, value, n_source, n_synth) of two tables in one shuffle."""

@@ -7,30 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mirrortab import rules
-from mirrortab.functions.values import as_number, missing_to_null, ref
-from mirrortab.operators.classify import (DIRECT, LINKAGE, TEMPORAL, class_of_name, column_kinds, first_values,
+from mirrortab.functions.values import missing_to_null, ref
+from mirrortab.operators.classify import (DIRECT, LINKAGE, TEMPORAL, TYPE_SAMPLE, class_of_name, column_kinds, first_values,
                                           infer_types)
-from mirrortab.operators.frequency import frequencies, number_cells
+from mirrortab.operators.frequency import counts_by_column, frequencies, number_cells
 
 SAMPLES = 5
 
 
-def counts_by_column(df: DataFrame) -> DataFrame:
-    """(column, total, missing_count, unique_count) in one shuffle."""
-    value = F.col("value")
-    return frequencies(df, df.columns).groupBy("column").agg(
-        F.sum("n").alias("total"),
-        F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
-        F.count(value).alias("unique_count"))
-
-
 def profile(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """One row per column: type, missing values, distinct values, first samples, sensitivity."""
-    types = infer_types(df, order_by)
-    samples = (first_values(df, df.columns, SAMPLES, order_by).groupBy("column")
+    firsts = first_values(df, df.columns, TYPE_SAMPLE, order_by)
+    types = infer_types(df, order_by, firsts)
+    samples = (firsts.where(F.col("place") < SAMPLES).groupBy("column")
                .agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("_s"))
                .select("column", F.transform("_s", lambda s: s["value"]).alias("sample_values")))
-    out = types.join(F.broadcast(counts_by_column(df)), "column", "left").join(F.broadcast(samples), "column", "left")
+    out = types.join(F.broadcast(counts_by_column(df, df.columns)), "column", "left").join(F.broadcast(samples), "column", "left")
     zero, none = F.lit(0).cast("bigint"), F.array().cast("array<string>")
     return out.select(
         "position", "column", "dtype",
@@ -122,7 +114,7 @@ def cohort_profile(df: DataFrame, order_by: Sequence[str], columns: Sequence[str
     kinds = kinds.where(F.col("column").isin(list(columns)))
     numbers = [f.name for f in df.schema.fields if f.name in columns and f.dataType.typeName() in
                ("byte", "short", "integer", "long", "float", "double", "decimal")]
-    facts = counts_by_column(df.select([ref(c) for c in columns])).select("column", "unique_count")
+    facts = counts_by_column(df, columns).select("column", "unique_count")
     out = kinds.join(F.broadcast(facts), "column", "left")
     if numbers:
         spans = cohort_profile_numeric(df, numbers).select("column", "min", "max", "mean")

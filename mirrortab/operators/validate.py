@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mirrortab.functions.maths import chi2_pvalue, ks_pvalue
-from mirrortab.functions.values import as_number, is_number, missing_to_null, ref, type_of
+from mirrortab.functions.values import as_number, is_number, missing_to_null, type_of
 from mirrortab.operators.frequency import pair_frequencies, quantile_of, ranked_values
 
 KS_CAP = 2

@@ -11,7 +11,7 @@ from mirrortab.functions.draws import SPAN
 from mirrortab.functions.values import ref
 from mirrortab.operators import privacy as pv, validate as vd
 from mirrortab.operators.classify import common_columns
-from mirrortab.sources.report import long_report, sections, write_sections
+from mirrortab.sources.report import sections
 
 
 @dataclass
@@ -76,5 +76,3 @@ def privacy(source: DataFrame, synthetic: DataFrame, key: str, columns: Sequence
 def report_tables(validation: Validation, privacy_row: DataFrame) -> dict[str, DataFrame]:
     return sections(validation.numeric, validation.categorical, validation.correlations, validation.overall, privacy_row)
 
-
-__all__ = ["Validation", "validate", "privacy", "report_tables", "long_report", "write_sections"]

@@ -53,7 +53,6 @@ class Workbench:
 
     def register_demo(self, rows: int = 2000) -> str:
         """The demo table goes the same way as any other."""
-        ids = self.spark.range(rows)
         from_row = demo_patients(self.spark, rows, self.seed)
         return self.register(from_row.withColumn("id", F.monotonically_increasing_id()), "demo", "id", is_demo=True)
 

@@ -12,6 +12,7 @@ from mirrortab.functions.values import doubles, ref
 
 BUCKETS = 1024
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16_000_000
 ROWS_PER_BUCKET = 500_000
 MOST_BUCKETS = 16_384
 

@@ -10,7 +10,7 @@ from mirrortab.functions.draws import SPAN, bits
 from mirrortab.functions.values import as_number, is_number, missing_to_null, ref, type_of
 from mirrortab.operators.classify import common_columns
 from mirrortab.operators.frequency import medians
-from mirrortab.operators.ordering import BROADCAST_ROWS, bottom_k, cut_lineage, dense_index, skew_join
+from mirrortab.operators.ordering import BROADCAST_BYTES, BROADCAST_ROWS, bottom_k, cut_lineage, dense_index, skew_join
 
 THRESHOLD = 0.05
 SAMPLE = 500
@@ -88,7 +88,8 @@ def label_encode(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> D
     for c in columns:
         codes = label_codes(df, c)
         here = out.withColumn("label", _label(df, c))
-        if codes.count() <= BROADCAST_ROWS:
+        extent = codes.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("label")).alias("bytes")).first()
+        if extent["rows"] <= BROADCAST_ROWS and (extent["bytes"] or 0) <= BROADCAST_BYTES:
             joined = here.join(F.broadcast(codes), "label", "left")
         else:
             joined = skew_join(here, codes, "label", F.struct(*[ref(k) for k in key]), how="left")

@@ -24,6 +24,7 @@ from mirrortab.operators.ordering import add_bucket, cut_lineage, dense_index
 
 GRID = 256
 MAX_CATEGORIES = 1000
+MAX_LABEL_BYTES = 1_000_000
 MAX_DECIMALS = 6
 MODELS = ("gaussian_copula", "independent", "bootstrap")
 DEFAULT_MODEL = "gaussian_copula"
@@ -117,12 +118,14 @@ def fit_marginals(df: DataFrame) -> tuple[list[Marginal], int]:
 
 
 def _label_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
-    """Sorted (label, count) of the columns that have at most ``MAX_CATEGORIES`` labels."""
+    """Sorted (label, count) of the columns with at most ``MAX_CATEGORIES`` labels and ``MAX_LABEL_BYTES`` in all."""
     if not columns:
         return {}
     seen = cut_lineage(frequencies(df, columns))
-    sizes = {r["column"]: r["k"] for r in seen.groupBy("column").agg(F.count("value").alias("k")).collect()}
-    few = [c for c in columns if sizes.get(c, 0) <= MAX_CATEGORIES]
+    sizes = {r["column"]: r for r in seen.groupBy("column").agg(
+        F.count("value").alias("k"), F.sum(F.octet_length("value")).alias("bytes")).collect()}
+    few = [c for c in columns if c not in sizes
+           or (sizes[c]["k"] <= MAX_CATEGORIES and (sizes[c]["bytes"] or 0) <= MAX_LABEL_BYTES)]
     out: dict[str, list[tuple[str, int]]] = {c: [] for c in few}
     for r in seen.where(F.col("column").isin(few) & F.col("value").isNotNull()).orderBy("column", "value").collect():
         out[r["column"]].append((r["value"], r["n"]))

@@ -103,6 +103,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(values, first[:-1]) + lengths.astype(np.uint64))
 
 
+def _weights(size: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, WINDOW_BASE))])
+
+
 def windows(hashes: np.ndarray, counts: np.ndarray, size: int, short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and first word of every window of ``size`` words, and the windows per text.
 
@@ -110,10 +114,9 @@ def windows(hashes: np.ndarray, counts: np.ndarray, size: int, short: bool = Tru
     """
     total = len(hashes)
     sums = np.zeros(total, np.uint64)
-    factor = U64(1)
+    weights = _weights(size)
     for k in range(min(size, total)):
-        sums[:total - k] += hashes[k:] * factor
-        factor = factor * WINDOW_BASE
+        sums[:total - k] += hashes[k:] * weights[k]
     first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     full = np.maximum(counts - size + 1, 0)
     lone = (counts > 0) & (counts < size) if short else np.zeros(len(counts), bool)
@@ -124,9 +127,7 @@ def windows(hashes: np.ndarray, counts: np.ndarray, size: int, short: bool = Tru
         where = np.cumsum(per_text) - per_text
         for i in np.flatnonzero(lone):
             part = hashes[first[i]:first[i + 1]]
-            weights = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(part) - 1, WINDOW_BASE))]) \
-                if len(part) > 1 else np.ones(1, np.uint64)
-            out[where[i]] = mix(np.array([(part * weights).sum() + U64(len(part))], np.uint64))[0]
+            out[where[i]] = mix(np.array([(part * weights[:len(part)]).sum() + U64(len(part))], np.uint64))[0]
     return out, at, per_text
 
 

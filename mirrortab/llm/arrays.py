@@ -28,12 +28,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def _offset_type(values: pa.Array) -> type:
+    return np.int64 if pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type) else np.int32
+
+
 def balanced(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch that hold about ``limit`` bytes of ``column``; one text is never cut."""
     texts = batch.column(column)
     if not batch.num_rows:
         return
-    offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], _offset_type(texts))
     offsets = offsets[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     begin = 0
     while begin < batch.num_rows:
@@ -46,11 +50,10 @@ def balanced(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> It
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the len + 1 offsets into them; a null is an empty text."""
     if texts.null_count:
-        texts = texts.fill_null("")
-    kind = np.int32 if pa.types.is_string(texts.type) else np.int64
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) else "")
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], _offset_type(texts))[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]

@@ -1,4 +1,4 @@
 """Every query of the subpackage."""
 
-from mirrortab.llm import byte_bpe, decontaminate, language, quality, token_count  # noqa: F401
+from mirrortab.llm import byte_bpe, decontaminate, language, near_dup, quality, token_count  # noqa: F401
 from mirrortab.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -11,6 +11,9 @@ import os
 import uuid
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
+
+MOST_TASKS = 10_000
 
 
 def opened(folder: str) -> tuple[fs.FileSystem, str]:
@@ -47,3 +50,9 @@ def read_stream(folder: str, name: str):
 def read_random(folder: str, name: str):
     system, base = opened(folder)
     return system.open_input_file(os.path.join(base, name))
+
+
+def one_per_task(manifest: DataFrame) -> DataFrame:
+    """Rows of a written manifest dealt out evenly, a task for each up to ``MOST_TASKS``; they are too small to be left to
+    adaptive merging, which would give all files to one task."""
+    return manifest.repartition(max(1, min(MOST_TASKS, manifest.count())))

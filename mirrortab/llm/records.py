@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from mirrortab.llm.arrays import balanced
-from mirrortab.llm.files import Written, read_random, read_stream
+from mirrortab.llm.files import Written, one_per_task, read_random, read_stream
 from mirrortab.llm.pieces import loaded
 from mirrortab.llm.registry import query, table
 from mirrortab.llm.scratch import new_path, saved
@@ -160,9 +160,7 @@ def read_records(manifest: DataFrame, folder: str, ids: bool = False) -> DataFra
                             rows, held = [], 0
                 yield _batch(rows, ids)
 
-    # One file per task: its rows follow from it alone.
-    files = placed(manifest).repartition(F.col("data"))
-    return files.mapInArrow(run, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if ids else ""))
+    return one_per_task(placed(manifest)).mapInArrow(run, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if ids else ""))
 
 
 def _keys(folder: str, name: str, docs: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mirrortab.llm.arrays import LOWER, NOT_ALNUM, U64, as_long, balanced, flat, mix, windows, word_hashes, words
 from mirrortab.llm.registry import query, table
-from mirrortab.llm.scratch import saved
+from mirrortab.llm.scratch import by_verdict, saved
 
 SPAN = 13
 GRAM = 9
@@ -194,7 +194,7 @@ def clean_rows(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     """``docs`` without contaminated rows; rows meet their verdict by key and digest, nulls included."""
     bad = (contamination(docs, key, text, items, item_key, item_text).where(is_contaminated())
            .select(F.col(key).alias("_key"), F.col("digest").alias("_digest")).distinct())
-    return docs.join(bad, docs[f"`{key}`"].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[f"`{text}`"]) == F.col("_digest")), "left_anti")
+    return by_verdict(docs, key, text, bad, "left_anti").select("row.*")
 
 
 _WORDS = "regexp_extract_all(lower_ascii, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

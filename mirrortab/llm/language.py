@@ -95,12 +95,12 @@ class Automaton:
             for c, to in moves.items():
                 table[s, c] = to
         self.symbols, self.table = symbols, table.reshape(-1)
-        # A phrase that fails at a character begins anew with it; a character never seen is a phrase of its own.
-        self.fresh = np.maximum(table[1], 1)
+        # Where no phrase goes on, one begins with the character; one never seen leads to state 0, where none goes on.
+        self.fresh = table[1].copy()
 
     def phrases(self, columns: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Phrases of each lane; ``columns[j]`` holds character j of all lanes, of which the first ``live[j]`` have one."""
-        state = np.ones(columns.shape[1], np.int32)
+        state = np.zeros(columns.shape[1], np.int32)
         count = np.zeros(columns.shape[1], np.int64)
         for j in range(columns.shape[0]):
             n = live[j]
@@ -108,10 +108,10 @@ class Automaton:
                 break
             c = columns[j, :n]
             to = self.table[state[:n] * self.symbols + c]
-            failed = to == 0
-            count[:n] += failed
-            state[:n] = np.where(failed, self.fresh[c], to)
-        return count + 1
+            begins = to == 0
+            count[:n] += begins
+            state[:n] = np.where(begins, self.fresh[c], to)
+        return count
 
 
 class CrossParser:

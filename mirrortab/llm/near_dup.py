@@ -22,7 +22,7 @@ from mirrortab.llm.arrays import LOWER, SPACES, U64, as_long, balanced, flat, mi
 from mirrortab.llm.components import components
 from mirrortab.llm.decontaminate import bitmap, flagged
 from mirrortab.llm.registry import query, table
-from mirrortab.llm.scratch import forget, saved
+from mirrortab.llm.scratch import by_verdict, forget, saved
 
 SHINGLE = 5
 #: Percent of the union that two sets share at least.
@@ -266,10 +266,9 @@ def one_per_group(df: DataFrame, key: str, text: str, **how) -> DataFrame:
     """One row of ``df`` per group; repeated rows of the picked text are one, rows without a word all stay."""
     found = groups(df, key, text, **how).where("picked")
     several = found.groupBy(F.col(key).alias("_key"), F.col("digest").alias("_digest")).agg(F.max("n_shingles").alias("_n"))
-    met = df.join(several, df[f"`{key}`"].eqNullSafe(F.col("_key")) & (F.xxhash64(df[f"`{text}`"]) == F.col("_digest")))
-    rest = met.where("_n = 0").select(*[df[f"`{c}`"] for c in df.columns])
-    single = met.where("_n > 0").dropDuplicates(["_key", "_digest"]).select(*[f"`{c}`" for c in df.columns])
-    return single.unionByName(rest)
+    met = by_verdict(df, key, text, several)
+    single = met.where("_n > 0").groupBy("_key", "_digest").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(met.where("_n = 0").select("row")).select("row.*")
 
 
 @query("op7_near_dup")

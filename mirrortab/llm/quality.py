@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mirrortab.llm.arrays import SPACES, U64, balanced, flat, mix, text_digest, windows, word_hashes, words
 from mirrortab.llm.registry import query, table
-from mirrortab.llm.scratch import saved
+from mirrortab.llm.scratch import by_verdict, saved
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -151,13 +151,14 @@ def cleaned(df: DataFrame, key: str, text: str, host: str, **limits) -> DataFram
     """
     found = verdicts(df, key, text, host, **limits).where("kept").groupBy(F.col(key).alias("_key"), F.col("digest").alias("_digest")).agg(
         F.first("removed").alias("_removed"))
-    met = df.join(found, df[f"`{key}`"].eqNullSafe(F.col("_key")) & (F.xxhash64(df[f"`{text}`"]) == F.col("_digest")))
+    met = by_verdict(df, key, text, found)
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
         return pd.Series([t if gone is None or t is None else _without(t, set(gone)) for t, gone in zip(texts, removed)], dtype=object)
 
-    return met.select(*[without(F.col(f"`{c}`"), F.col("_removed")).alias(c) if c == text else df[f"`{c}`"] for c in df.columns])
+    row = F.col("row")
+    return met.select(*[without(row[c], F.col("_removed")).alias(c) if c == text else row[c].alias(c) for c in df.columns])
 
 
 def _without(text: str, gone: set[int]) -> str:

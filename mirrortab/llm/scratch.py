@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mirrortab.operators.ordering import shared_folder
 
@@ -35,6 +35,17 @@ def forget(df: DataFrame | None) -> None:
         df._saved_path = None
 
 
+def packed(df: DataFrame, **named: Column) -> DataFrame:
+    """Each row as one struct ``row`` beside ``named`` columns, so that no name of ``df`` can clash with an operator's."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *[c.alias(n) for n, c in named.items()])
+
+
+def by_verdict(df: DataFrame, key: str, text: str, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows of ``df``, packed, with what ``found`` (_key, _digest, ...) has for their key and xxhash64 of the text; null keys match null ones."""
+    met = packed(df, _k=df[f"`{key}`"], _d=F.xxhash64(df[f"`{text}`"]))
+    return met.join(found, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_d") == F.col("_digest")), how)
+
+
 _shipped: set[str] = set()
 
 

@@ -45,23 +45,18 @@ def token_counts(df: DataFrame, text: str, path: str, output: str = "n_tokens",
     table stays empty. Other columns pass through unread; a column that is called ``output`` is replaced. No begin,
     end or other special token is added; their strings inside a text count as the library's default has it.
     """
-    kept = [f for f in df.schema.fields if f.name not in (text, output)]
-    body = df.select(F.struct(*[df[f"`{f.name}`"] for f in kept]).alias("kept") if kept else F.lit(None).alias("kept"),
-                     df[f"`{text}`"].alias("text"))
+    kept = [c for c in df.columns if c not in (text, output)]
+    fields = [df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(kept)] or [F.lit(0).alias("c0")]
+    body = df.select(F.struct(*fields).alias("kept"), df[f"`{text}`"].alias("text"))
 
     def count(batches):
         for batch in batches:
             for part in balanced(batch, "text", slice_bytes):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(counts_of(path, texts), pa.int64())],
-                                                 names=["kept", "n"])
-
-    inner = body.schema["kept"].dataType.simpleString() if kept else "void"
-    out = body.mapInArrow(count, f"kept {inner}, n bigint") if kept else \
-        body.select("text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays(
-            [pa.array(counts_of(path, [t or "" for t in p.column("text").to_pylist()]), pa.int64())], names=["n"])
-            for b in bs for p in balanced(b, "text", slice_bytes)), "n bigint")
-    return out.select(*[F.col("kept").getField(f.name).alias(f.name) for f in kept], F.col("n").alias(output))
+                yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(counts_of(path, texts), pa.int64())], names=["kept", "n"])
+
+    out = body.mapInArrow(count, f"kept {body.schema['kept'].dataType.simpleString()}, n bigint")
+    return out.select(*[F.col("kept").getField(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("n").alias(output))
 
 
 @query("op1_token_count")

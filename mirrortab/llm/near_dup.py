@@ -6,9 +6,9 @@ registers of a band meet in a bucket; candidates whose estimated similarity, cor
 reach the threshold go, and the rest are confirmed by intersecting the full sets.
 
 Only links that can still change the components are looked for. First every class meets the smallest class it shares
-a bucket with. Afterwards, in buckets that still hold several components, classes outside the largest one meet the
-classes of other components, a growing number of them at a time, until each bucket is one component or all its
-pairs across components have been compared. So a large group of copies costs rows in proportion to its size, and no link
+a bucket with. Afterwards, in buckets that still hold several components, classes outside the largest one meet single
+classes of it for a few rounds, and then the classes of all other components, a growing number of them at a time, until each
+bucket is one component or all its pairs across components have been compared. So a large group of copies costs rows in proportion to its size, and no link
 between components is left out.
 """
 
@@ -32,6 +32,8 @@ BAND = 5
 MANTISSA = 10
 #: Candidates estimated this far below the threshold are dropped: five standard errors of the estimate.
 SLACK = 5.0
+#: Rounds in which each class outside meets one of the largest component per bucket, before all pairs across components do.
+PROBES = 3
 FIRST_PIVOTS = 16
 PIVOT_GROWTH = 16
 BITS = 23
@@ -196,6 +198,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return met.where(100 * F.col("both") >= similar * (F.col("sum") - F.col("both"))).select("u", "v")
 
 
+def _unshared(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, shared): size of each set, and how many of its shingles some other set of ``nodes`` has, too."""
+    each = sets.join(nodes, "node").select("node", F.explode("shingles").alias("shingle"))
+    own = (each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+           .groupBy("node").agg(F.count(F.lit(1)).alias("own")))
+    return sets.join(nodes, "node").select("node", F.size("shingles").cast("bigint").alias("n")).join(own, "node", "left").select(
+        "node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
 def links_of(df: DataFrame, key: str, text: str, shingle: int, similar: int, classes: DataFrame, band: int) -> DataFrame | None:
     """(node, root) of the components among classes, or None where no two classes share a bucket."""
     sketches = classes.where("n > 0")
@@ -208,7 +219,7 @@ def links_of(df: DataFrame, key: str, text: str, shingle: int, similar: int, cla
     sets = saved(_full_sets(df, key, text, shingle, classes, wanted), "sets")
     links = [saved(_confirmed(likely, sets, similar), "links")]
     forget(likely)
-    compared, count = None, FIRST_PIVOTS
+    compared, alone, chosen, turn, count = None, None, None, 0, FIRST_PIVOTS
     members = members.select("bucket", "node")
     while True:
         roots = saved(components(links[0] if len(links) == 1 else links[0].unionByName(links[1])), "roots")
@@ -216,24 +227,38 @@ def links_of(df: DataFrame, key: str, text: str, shingle: int, similar: int, cla
         if compared is not None:
             tagged = tagged.join(compared, ["bucket", "node"], "left_anti")
         # Buckets of several components, their largest component, and the classes outside it.
-        shares = tagged.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
-        largest = shares.groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        open_members = saved(tagged.join(largest.select("bucket", "main"), "bucket"), "open")
+        shares = tagged.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("one"))
+        largest = shares.groupBy("bucket").agg(F.max(F.struct("m", "root", "one")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        open_members = saved(tagged.join(largest.select("bucket", F.col("main.root").alias("main"), F.col("main.one").alias("one")), "bucket"), "open")
         outside = open_members.where("root != main")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node"))
-        chosen = saved(outside.select("bucket", "node", "root", rank.alias("rank")).where(F.col("rank") <= count).select("bucket", "node", "root"), "chosen")
-        if chosen.isEmpty():
+        if turn < PROBES:
+            # Most classes outside link to some class of the largest component: try one of it per bucket first.
+            turn += 1
+            met = outside.select(F.col("node").alias("p"), F.col("one").alias("x"))
+        else:
+            if alone is None:
+                alone = saved(_unshared(sets, open_members.select("node").distinct()), "unshared")
+            can = open_members.join(alone, "node")
+            outside = can.where("root != main").where(100 * F.col("shared") >= similar * F.col("n"))
+            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node"))
+            chosen = saved(outside.select("bucket", "node", "root", "n", "shared", rank.alias("rank")).where(F.col("rank") <= count).drop("rank"), "chosen")
+            a = chosen.toDF("bucket", "p", "rp", "np", "sp")
+            b = can.select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("shared").alias("sx"))
+            # No intersection is larger than what either set shares with anyone.
+            most = F.least("sp", "sx")
+            met = a.join(b, "bucket").where((F.col("rp") != F.col("rx")) & (100 * most >= similar * (F.col("np") + F.col("nx") - most)))
+            done = chosen.select("bucket", "node")
+            compared = saved(done if compared is None else compared.unionByName(done), "compared")
+            count *= PIVOT_GROWTH
+        if (outside if compared is None else chosen).isEmpty():
             return roots
-        a = chosen.select("bucket", F.col("node").alias("p"), F.col("root").alias("rp"))
-        met = a.join(open_members.select("bucket", F.col("node").alias("x"), F.col("root").alias("rx")), "bucket").where("rp != rx")
         pairs = met.select(F.greatest("p", "x").alias("u"), F.least("p", "x").alias("v")).distinct()
-        new = saved(_confirmed(saved(_likely(pairs, sketches, similar), "pairs"), sets, similar), "links")
+        likely = saved(_likely(pairs, sketches, similar), "pairs")
+        new = saved(_confirmed(likely, sets, similar), "links")
         # Known components stand in for the links they came from.
         links = [roots.select(F.col("node").alias("u"), F.col("root").alias("v")), new]
-        done = chosen.select("bucket", "node")
-        compared = saved(done if compared is None else compared.unionByName(done), "compared")
         forget(open_members)
-        count *= PIVOT_GROWTH
+        forget(likely)
 
 
 def groups(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, similar: int = SIMILAR, band: int = BAND) -> DataFrame:

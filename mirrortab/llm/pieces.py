@@ -1,6 +1,7 @@
 """Encoding with the tokenizers library, one distinct piece of text at a time.
 
-Texts are cut where the pre-tokenizer cuts in any case: before a single space between two visible characters.
+Texts are cut where the pre-tokenizer cuts in any case: before a single space between two visible characters, and between a
+letter and a common sign after it.
 The tokens of a text are then those of its pieces in order, so a piece is encoded once per worker and looked up
 afterwards. Where the cut is not known to be safe for a vocabulary file, texts stay whole.
 """
@@ -13,8 +14,10 @@ import re
 
 import numpy as np
 
-#: Before a space that stands between two visible characters; ``\\w`` and ASCII signs are never white space.
-SAFE_CUT = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
+#: Before a space that stands between two visible characters (``\\w`` and ASCII signs are never white space), or after a letter.
+SAFE_CUT = re.compile(r"(?<=[!-~\w])(?= [!-~\w])|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[,.;:!?])")
+#: One word that every pre-tokenizer here keeps whole, of letters that are their own normal form.
+PLAIN_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 KEPT_PIECES = 500_000
 KEPT_LENGTH = 64
 CALL_BYTES = 65_536
@@ -37,6 +40,16 @@ def cuts_are_safe(config: dict) -> bool:
     return bool(byte_level or dropped_spaces) and kinds <= {"NFC", "Replace", "Lowercase"}
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies have for each byte: itself where it is one, else from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class Pieces:
     """Encodings of pieces by a ``.json`` vocabulary; ``value`` turns ids into what is kept of them."""
 
@@ -44,14 +57,28 @@ class Pieces:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
-            self.safe = cuts_are_safe(json.load(f))
+            config = json.load(f)
+        self.safe = cuts_are_safe(config)
+        # Plain words go straight to the library's merges, past the normaliser and the pre-tokenizer, which leave them whole.
+        self.direct = self.safe and (config.get("model") or {}).get("type") == "BPE"
+        self.lowered = bool(config.get("normalizer"))
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.value, self.known = value, {}
 
-    def _encode(self, pieces: list[str]) -> list:
+    def _word(self, piece: str) -> list[int]:
+        word = piece.lstrip(" ").lower() if self.lowered else piece
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LETTERS))]
+
+    def _encode(self, pieces: list[str]) -> dict:
+        plain = [p for p in pieces if PLAIN_WORD.fullmatch(p)] if self.direct else []
+        rest = list(set(pieces).difference(plain))
+        return {p: self.value(self._word(p)) for p in plain} | dict(zip(rest, self._called(rest)))
+
+    def _called(self, pieces: list[str]) -> list:
         """In calls of about ``CALL_BYTES`` characters."""
         out, begin, held = [], 0, 0
         for i, p in enumerate(pieces):
@@ -70,8 +97,7 @@ class Pieces:
             self.known.clear()
         found = list(map(self.known.get, flat))
         missing = [i for i, v in enumerate(found) if v is None]
-        new = list({flat[i] for i in missing})
-        fresh = dict(zip(new, self._encode(new)))
+        fresh = self._encode(list({flat[i] for i in missing}))
         for i in missing:
             found[i] = fresh[flat[i]]
         self.known.update((p, v) for p, v in fresh.items() if len(p) <= KEPT_LENGTH)

@@ -15,7 +15,9 @@ a range partition is a file, the manifest has its number, and the ids before a f
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -63,8 +65,7 @@ def unframed(stream) -> bytes | None:
 def payloads(path: str, texts: list[str], end_id: int | None) -> tuple[list[bytes], int]:
     """Ids of each text with the end id, and their width in bytes."""
     width = _width(path)
-    kind = "<u2" if width == 2 else "<u4"
-    values, counts = loaded(path, kind, lambda ids: np.array(ids, kind).tobytes()).values(texts)
+    values, counts = loaded(path, f"u{width}", _packed(width)).values(texts)
     last = b"" if end_id is None else int(end_id).to_bytes(width, "little")
     out, begin = [], 0
     for n in counts.tolist():
@@ -73,6 +74,18 @@ def payloads(path: str, texts: list[str], end_id: int | None) -> tuple[list[byte
     return out, width
 
 
+def _packed(width: int):
+    code = {array(c).itemsize: c for c in "IH"}[width]
+
+    def pack(ids: list[int]) -> bytes:
+        out = array(code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    return pack
+
+
 def _width(path: str) -> int:
     return 2 if loaded(path, "size", len).vocabulary <= 1 << 16 else 4
 

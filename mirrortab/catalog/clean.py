@@ -95,6 +95,15 @@ def cast_dates(spark, folder):
                       F.col("promised").cast("timestamp_ntz").alias("promised"), "o_orderpriority")
 
 
+@query("cast_dates_mixed", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE o_orderpriority END AS mixed FROM orders""")
+def cast_dates_mixed(spark, folder):
+    """Half of the values are dates, so all stay as they are."""
+    o = table(spark, folder, "orders")
+    mixed = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.col("o_orderpriority"))
+    return cn.cast_dates(o.select("o_orderkey", mixed.alias("mixed")), ["o_orderkey"])
+
+
 VISIT_TABLE_SQL = f"""SELECT visit_no, patient_id, strftime(visit_date, '%Y-%m-%d') AS day,
   CASE WHEN visit_type <> 'click' THEN visit_type END AS kind, CASE WHEN pain_score >= 20 THEN pain_score END AS pain,
   CASE WHEN visit_type = 'error' THEN 'yes' ELSE 'no' END AS failed FROM ({VISITS_SQL})"""

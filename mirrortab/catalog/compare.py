@@ -86,7 +86,7 @@ EARLY_SQL = (f"src AS (SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '{EAR
 SELECT c AS "column", CAST(n1 AS BIGINT) AS source_n, n2 AS ks_capped_synth_n, round(d, 6) AS ks_statistic, round(p, 6) AS ks_pvalue FROM ks""")
 def ks_cap(spark, folder):
     a, b = sides(spark, folder, EARLY_DAY)
-    out = vd.numeric_comparison(a, b, MEASURES)
+    out = vd.numeric_comparison(a, b, MEASURES, cap=vd.KS_CAP)
     return rounded(out.select("column", "source_n", "ks_capped_synth_n", "ks_statistic", "ks_pvalue"), 6)
 
 
@@ -135,11 +135,11 @@ def category_sql(columns) -> str:
 ct AS (SELECT *, sum(s) OVER (PARTITION BY c) AS ns, sum(y) OVER (PARTITION BY c) AS ny FROM cf),
 cp AS (SELECT *, CAST(round(s / ns * 100, 2) AS DECIMAL(10, 2)) AS sp, CAST(round(y / ny * 100, 2) AS DECIMAL(10, 2)) AS yp,
   y / ny * ns + 0.5 AS e, s + 0.5 AS o FROM ct),
-cs AS (SELECT c, count(*) AS k, sum((o - e) * (o - e) / e) AS x, CAST(sum(abs(sp - yp)) AS DECIMAL(20, 2)) AS apart FROM cp GROUP BY c),
+cs AS (SELECT c, count(*) AS k, sum((o - e) * (o - e) / e) AS x, sum(abs(CAST(s AS HUGEINT) * CAST(ny AS HUGEINT) - CAST(y AS HUGEINT) * CAST(ns AS HUGEINT))) AS apart, max(ns) AS ns, max(ny) AS ny FROM cp GROUP BY c),
 cat AS (SELECT c, k, x, CASE WHEN k < 2 THEN NULL WHEN x <= 0 THEN 1.0 ELSE greatest(0.0, 1.0 - list_sum(list_transform(range(0, 600),
   lambda i: exp(-x / 2 + ((k - 1) / 2 + i) * ln(x / 2) - lgamma((k - 1) / 2 + i + 1))))) END AS p,
-  CAST(round(CAST(CAST(apart AS DOUBLE) / 200 AS DECIMAL(20, 6)), 4) AS DOUBLE) AS tvd,
-  CAST(round((1 - least(CAST(CAST(apart AS DOUBLE) / 200 AS DECIMAL(20, 6)), 1)) * 100, 2) AS DOUBLE) AS similarity FROM cs)"""
+  round(CAST(apart AS DOUBLE) / (2.0::DOUBLE * ns * ny), 4) AS tvd,
+  round((1.0::DOUBLE - least(CAST(apart AS DOUBLE) / (2.0::DOUBLE * ns * ny), 1.0::DOUBLE)) * 100, 2) AS similarity FROM cs)"""
 
 
 CATS = ["l_returnflag", "l_linestatus", "l_quantity"]
@@ -157,6 +157,17 @@ def categorical(spark, folder):
     return vd.categorical_comparison(vd.category_frequencies(flagged(a), flagged(b), CATS))
 
 
+MANY_SQL = "src AS (SELECT text AS t FROM documents), syn AS (SELECT url AS t FROM pages)"
+
+
+@query("tvd_many_values", f"""WITH {MANY_SQL}, {category_sql(['t'])} SELECT c AS "column", k AS categories, tvd, similarity AS similarity_score FROM cat""")
+def tvd_many_values(spark, folder):
+    """Two sides of many values each, none of them in common."""
+    a = table(spark, folder, "documents").select(F.col("text").alias("t"))
+    b = table(spark, folder, "pages").select(F.col("url").alias("t"))
+    return vd.categorical_comparison(vd.category_frequencies(a, b, ["t"])).select("column", "categories", "tvd", "similarity_score")
+
+
 @query("tvd", f"""WITH {GAP_SQL}, {category_sql(CATS)} SELECT c AS "column", tvd, similarity AS similarity_score FROM cat""")
 def tvd(spark, folder):
     return categorical(spark, folder).select("column", "tvd", "similarity_score")

@@ -120,7 +120,7 @@ def validate_requirements(spark, folder):
               Requirement("value", "between", [30, 10], 0.1), Requirement("value", "between", [30], 0.1),
               Requirement("event_type", "equal", "sleeping", 0.9), Requirement("level", "equal", "Low", 1.2),
               Requirement("event_type", "equal", "error", 0.8)]
-    kinds = cl.column_kinds(t, ["event_id"])
+    kinds = cl.column_kinds(t)
     values = pf.cohort_profile_values(t, ["event_type", "is_error", "level"])
     return ch.validate_requirements(spark, wanted, kinds, values)
 
@@ -139,12 +139,11 @@ def operators_for_kind(spark, folder):
     return out.select("column", "kind", F.array_join("operators", ",").alias("operators"), "default_operator")
 
 
-@query("pool_size", """SELECT c_nationkey, count(*) AS n, least(3 * count(*), greatest(count(*) + 5000, 15000)) AS pool FROM customer GROUP BY c_nationkey""")
+@query("pool_size", """SELECT c_nationkey, count(*) AS n, 3 * count(*) AS pool FROM customer GROUP BY c_nationkey""")
 def pool_size(spark, folder):
     n = F.col("n")
     per = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    return per.select("c_nationkey", "n", F.least(n * synth.POOL_FACTOR, F.greatest(n + synth.POOL_EXTRA, F.lit(synth.POOL_LEAST)))
-                      .cast("bigint").alias("pool"))
+    return per.select("c_nationkey", "n", synth.pool_size(n).cast("bigint").alias("pool"))
 
 
 @query("assign_synt_id", """SELECT 'SYN-' || CASE WHEN r < 1000000 THEN lpad(CAST(r AS VARCHAR), 6, '0') ELSE CAST(r AS VARCHAR) END AS synt_id, c_custkey,

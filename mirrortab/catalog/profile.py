@@ -8,6 +8,7 @@ from mirrortab.catalog.registry import GAPPY_SQL, VISITS_SQL, gappy, query, roun
 from mirrortab.catalog.tables import levelled
 from mirrortab.operators import classify as cl, clean, profile as pf, view
 from mirrortab.operators.cohort import measure_proportions
+from mirrortab.operators.ordering import dense_index
 from mirrortab.operators.predicates import Requirement, condition
 
 GAPPY_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
@@ -209,13 +210,11 @@ SORT_SQL = "ORDER BY l_quantity DESC NULLS LAST, l_orderkey, l_linenumber, l_par
 
 
 @query("sort_nulls_last", f"""
-WITH g AS ({GAPPY_SQL}) SELECT row_number() OVER ({SORT_SQL}) AS place, l_orderkey, l_linenumber, l_quantity FROM g
-QUALIFY place <= 100 ORDER BY place""")
+WITH g AS ({GAPPY_SQL}) SELECT row_number() OVER ({SORT_SQL}) AS place, l_orderkey, l_linenumber, l_quantity FROM g ORDER BY place""")
 def sort_nulls_last(spark, folder):
-    """The first hundred rows of the sorted table, with their places."""
-    top = view.sorted_rows(gappy(spark, folder), "l_quantity", "desc", GAPPY_ORDER).limit(100)
-    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("l_quantity"), *GAPPY_ORDER))
-    return top.select(place.cast("bigint").alias("place"), "l_orderkey", "l_linenumber", "l_quantity")
+    """All rows with their places in the sorted table."""
+    order = [F.desc_nulls_last("l_quantity"), *GAPPY_ORDER]
+    return dense_index(gappy(spark, folder), order, "place", start=1).select("place", "l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("page", f"""

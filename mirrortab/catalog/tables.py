@@ -38,6 +38,21 @@ def scan_csv(spark, folder):
     return st.read_table(spark, path, "csv")
 
 
+@query("scan_csv_text", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def scan_csv_text(spark, folder):
+    """Texts of many lines, with quotes and commas, through CSV and back."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    st.export_csv(table(spark, folder, "documents"), path)
+    return st.read_table(spark, path, "csv")
+
+
+@query("scan_csv_html", "SELECT page_id, url, html FROM pages")
+def scan_csv_html(spark, folder):
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    st.export_csv(table(spark, folder, "pages"), path)
+    return st.read_table(spark, path, "csv")
+
+
 @query("export_columns", "SELECT p_name, p_partkey, p_size FROM part")
 def export_columns(spark, folder):
     return chosen_columns(table(spark, folder, "part"), ["p_name", "no_such_column", "p_partkey", "p_size"])
@@ -109,14 +124,13 @@ def dataset_record(spark, folder):
     landed = st.read_landed(spark, root, "raw", table_id)
     facts = pf.profile(landed, ["visit_no"])
     classes = cl.classes_of_schema(landed)
-    columns = [(r["column"], r["dtype"], r["missing_count"], r["unique_count"])
+    columns = [(r["column"], r["dtype"], r["missing_count"], r["unique_count"], classes[r["column"]])
                for r in facts.select("column", "dtype", "missing_count", "unique_count").collect()]
     runs.append(spark, root, "datasets", {"id": table_id, "name": "visits", "columns": columns, "status": "uploaded",
                                           "written_at": dt.datetime.now(dt.timezone.utc)})
     record = runs.latest(runs.read(spark, root, "datasets"), ["id"], [F.col("written_at")])
     rows = record.select(F.inline("columns"))
-    names = F.create_map(*[F.lit(x) for item in classes.items() for x in item])
-    return rows.select("column", names[F.col("column")].alias("category"), "missing_count", "unique_count")
+    return rows.select("column", "category", "missing_count", "unique_count")
 
 
 @query("normalise_names", f"""
@@ -133,7 +147,7 @@ def normalise_names(spark, folder):
 @query("classify_columns", f"""
 WITH v AS ({VISITS_SQL}),
 facts AS (SELECT count(DISTINCT text) > 0.8 * count(text)
-            AND (SELECT bool_or(contains(text, '@')) FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 10)) AS mail
+            AND bool_or(contains(text, '@')) AS mail
           FROM documents),
 names(c, m) AS (
   SELECT unnest(['visit_no', 'patient_id', 'visit_date', 'visit_type', 'pain_score', 'doc_id', 'lang', 'source', 'n_chars']), false
@@ -142,8 +156,8 @@ cls AS (SELECT c, m, {NORMAL_SQL.format(c='c')} AS n FROM names),
 done AS (SELECT c AS "column", {CLASS_SQL} WHEN m THEN 'direct_identifier' ELSE 'clinical' END AS category FROM cls)
 SELECT "column", category, category IN ('direct_identifier', 'longitudinal_key') AS excluded_from_modeling FROM done""")
 def classify_columns(spark, folder):
-    first = cl.classify(visits(spark, folder), ["visit_no"])
-    second = cl.classify(table(spark, folder, "documents"), ["doc_id"])
+    first = cl.classify(visits(spark, folder))
+    second = cl.classify(table(spark, folder, "documents"))
     return first.unionByName(second).select("column", "category", "excluded_from_modeling")
 
 
@@ -170,19 +184,17 @@ WITH names(c) AS (SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_line
 cls AS (SELECT c, {NORMAL_SQL.format(c='c')} AS n FROM names)
 SELECT c AS "column" FROM (SELECT c, {CLASS_SQL} ELSE 'clinical' END AS k FROM cls) WHERE k = 'direct_identifier'""")
 def sensitive_columns(spark, folder):
-    return cl.sensitive_columns(cl.classify(table(spark, folder, "lineitem"), [
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]))
+    return cl.sensitive_columns(cl.classify(table(spark, folder, "lineitem")))
 
 
 def _mail_sql(column: str) -> str:
     return f"""SELECT '{column}' AS "column", count(DISTINCT {column}) > 0.8 * count({column})
-      AND (SELECT bool_or(contains({column}, '@')) FROM (SELECT {column} FROM documents WHERE {column} IS NOT NULL
-           ORDER BY doc_id LIMIT 10)) AS mail_like FROM documents"""
+      AND bool_or(contains({column}, '@')) AS mail_like FROM documents"""
 
 
 @query("email_like", f"{_mail_sql('text')} UNION ALL {_mail_sql('lang')} UNION ALL {_mail_sql('source')}")
 def email_like(spark, folder):
-    return cl.mail_like(table(spark, folder, "documents"), ["doc_id"])
+    return cl.mail_like(table(spark, folder, "documents"))
 
 
 @query("infer_types", f"""
@@ -190,12 +202,12 @@ SELECT * FROM (VALUES ('event_id', 'integer'), ('shown_day', 'datetime'), ('even
   ('value', 'float'), ('ts', 'datetime'), ('is_error', 'boolean')) t("column", dtype)
 WHERE (SELECT count(*) FROM events) > 0
   AND (SELECT avg(CASE WHEN try_strptime(d, '%Y-%m-%d') IS NOT NULL THEN 1 ELSE 0 END) FROM
-       (SELECT strftime(ts, '%Y-%m-%d') AS d FROM events ORDER BY event_id LIMIT 20)) > 0.8""")
+       (SELECT strftime(ts, '%Y-%m-%d') AS d FROM events)) > 0.8""")
 def infer_types(spark, folder):
     e = table(spark, folder, "events")
     shown = e.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("shown_day"), "event_type", "value", "ts",
                      (F.col("event_type") == "error").alias("is_error"))
-    return cl.infer_types(shown, ["event_id"]).select("column", "dtype")
+    return cl.infer_types(shown).select("column", "dtype")
 
 
 KINDS_SQL = """
@@ -218,14 +230,14 @@ def levelled(spark, folder):
 
 @query("column_kinds", KINDS_SQL)
 def column_kinds(spark, folder):
-    return cl.column_kinds(levelled(spark, folder), ["event_id"])
+    return cl.column_kinds(levelled(spark, folder))
 
 
 @query("model_metadata", f"""
 SELECT "column", CASE WHEN dtype = 'boolean' THEN 'boolean' WHEN kind = 'numerical' THEN 'numerical' ELSE 'categorical' END
   AS model_type FROM ({KINDS_SQL})""")
 def model_metadata(spark, folder):
-    return cl.model_types(cl.column_kinds(levelled(spark, folder), ["event_id"]))
+    return cl.model_types(cl.column_kinds(levelled(spark, folder)))
 
 
 @query("approved_columns", f"""

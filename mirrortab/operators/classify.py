@@ -14,8 +14,7 @@ from mirrortab.operators.ordering import head_rows
 LINKAGE, TEMPORAL, HEALTH = "longitudinal_key", "temporal", "sensitive_health"
 DIRECT, QUASI, CLINICAL = "direct_identifier", "quasi_identifier", "clinical"
 MAIL_DISTINCT_SHARE = 0.8
-MAIL_SAMPLE = 10
-TYPE_SAMPLE = 20
+TYPE_SHARE = 0.8
 HEAD = 1000
 
 
@@ -90,29 +89,27 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_text(f.dataType)]
 
 
-def mail_like(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, mail_like) for text columns: mostly distinct, and an @ among the first values."""
+def mail_like(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, mail_like) for text columns: mostly distinct values, and an @ in any of them."""
     columns = text_columns(df) if columns is None else columns
     seen = frequencies(df.select([ref(c) for c in columns]), columns).where(F.col("value").isNotNull())
-    share = seen.groupBy("column").agg((F.count(F.lit(1)) / F.sum("n")).alias("share"))
-    marks = (first_values(df, columns, MAIL_SAMPLE, order_by).groupBy("column")
-             .agg(F.max(F.contains("value", F.lit("@"))).alias("marked")))
-    return share.join(marks, "column").select(
-        "column", ((F.col("share") > MAIL_DISTINCT_SHARE) & F.col("marked")).alias("mail_like"))
+    facts = seen.groupBy("column").agg((F.count(F.lit(1)) / F.sum("n")).alias("share"),
+                                       F.max(F.contains("value", F.lit("@"))).alias("marked"))
+    return facts.select("column", ((F.col("share") > MAIL_DISTINCT_SHARE) & F.col("marked")).alias("mail_like"))
 
 
-def classify(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
+def classify(df: DataFrame, contents: bool = True) -> DataFrame:
     """(position, column, category, excluded_from_modeling).
 
-    With ``order_by`` the content of still-unclassified text columns is tested for mail addresses.
+    With ``contents`` all values of still-unclassified text columns are tested for mail addresses.
     """
     table = columns_table(df)
     by_name = table.withColumn("category", class_of_name(F.col("column")))
-    if order_by is not None:
+    if contents:
         names = {r["column"] for r in by_name.where(F.col("category") == CLINICAL).select("column").collect()}
         open_columns = [c for c in text_columns(df) if c in names]
         if open_columns:
-            mail = F.broadcast(mail_like(df, order_by, open_columns))
+            mail = F.broadcast(mail_like(df, open_columns))
             hit = F.coalesce(F.col("mail_like"), F.lit(False))
             by_name = (table.join(mail, "column", "left")
                        .withColumn("category", class_of_name(F.col("column"), hit)))
@@ -140,35 +137,27 @@ def logical_type(dtype: T.DataType) -> str:
     return "datetime" if is_moment(dtype) else "categorical"
 
 
-def date_shares(df: DataFrame, columns: Sequence[str], k: int, order_by: Sequence[str]) -> DataFrame:
-    """(column, share): how many of the first ``k`` non-null texts read as dates."""
-    return (first_values(df, columns, k, order_by).groupBy("column")
-            .agg(F.avg(moment_from_text(F.col("value")).isNotNull().cast("double")).alias("share")))
+def date_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, share): how many of all non-null texts read as dates; one pass, null for a column without any."""
+    wide = df.agg(*[F.avg(F.when(ref(c).isNotNull(), moment_from_text(ref(c)).isNotNull().cast("double"))).alias(f"d{i}")
+                    for i, c in enumerate(columns)])
+    cells = [x for i, c in enumerate(columns) for x in (F.lit(c), F.col(f"d{i}"))]
+    return wide.select(F.stack(F.lit(len(columns)), *cells).alias("column", "share"))
 
 
-def infer_types(df: DataFrame, order_by: Sequence[str], firsts: DataFrame | None = None) -> DataFrame:
-    """(position, column, dtype); text whose first values read as dates counts as datetime.
-
-    ``firsts`` are the first values of at least the text columns, if they are known already.
-    """
+def infer_types(df: DataFrame) -> DataFrame:
+    """(position, column, dtype); text whose values mostly read as dates counts as datetime."""
     texts = text_columns(df)
     if not texts:
         return columns_table(df)
-    firsts = first_values(df, texts, TYPE_SAMPLE, order_by) if firsts is None else firsts
-    read = moment_from_text(F.col("value")).isNotNull().cast("double")
-    dates = F.broadcast(firsts.where(F.col("column").isin(texts) & (F.col("place") < TYPE_SAMPLE))
-                        .groupBy("column").agg(F.avg(read).alias("share")))
-    dtype = F.when(F.col("share") > 0.8, "datetime").otherwise(F.col("dtype"))
+    dates = F.broadcast(date_shares(df, texts))
+    dtype = F.when(F.col("share") > TYPE_SHARE, "datetime").otherwise(F.col("dtype"))
     return columns_table(df).join(dates, "column", "left").select("position", "column", dtype.alias("dtype"))
 
 
-def types_of(df: DataFrame, order_by: Sequence[str]) -> dict[str, str]:
-    return {r["column"]: r["dtype"] for r in infer_types(df, order_by).collect()}
-
-
-def column_kinds(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+def column_kinds(df: DataFrame) -> DataFrame:
     """(column, dtype, kind): numerical, binary, ordinal or categorical."""
-    types = infer_types(df, order_by).drop("position")
+    types = infer_types(df).drop("position")
     others = [f.name for f in df.schema.fields if logical_type(f.dataType) not in ("integer", "float")]
     if not others:
         return types.select("column", "dtype", F.lit("numerical").alias("kind"))

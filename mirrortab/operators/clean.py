@@ -14,7 +14,6 @@ from mirrortab.operators.classify import date_shares, infer_types, text_columns
 from mirrortab.operators.frequency import medians, modes
 from mirrortab.operators.ordering import bucket_bounds, buckets_for, cut_lineage
 
-DATE_SAMPLE = 30
 DATE_SHARE = 0.9
 
 
@@ -125,11 +124,11 @@ def cast_booleans(df: DataFrame) -> DataFrame:
 
 
 def cast_dates(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Text columns whose first values read as dates become timestamps; what does not read becomes null."""
+    """Text columns that read as dates in more than nine known values of ten become timestamps; the rest of their cells become null."""
     texts = [c for c in text_columns(df) if c not in order_by]
     if not texts:
         return df
-    likely = [r["column"] for r in date_shares(df, texts, DATE_SAMPLE, order_by)
+    likely = [r["column"] for r in date_shares(df, texts)
               .where(F.col("share") > DATE_SHARE).collect()]
     return _replaced(df, {c: moment_from_text(ref(c)) for c in likely})
 
@@ -142,7 +141,7 @@ def impute(df: DataFrame, order_by: str, columns: Sequence[str] | None = None) -
     if not with_gaps:
         return df, counts
     picked = df.select([ref(c) for c in dict.fromkeys([*with_gaps, order_by])])
-    types = {r["column"]: r["dtype"] for r in infer_types(picked, [order_by]).collect()}
+    types = {r["column"]: r["dtype"] for r in infer_types(picked).collect()}
     numbers = [c for c in with_gaps if types[c] in ("integer", "float")]
     moments = [c for c in with_gaps if types[c] == "datetime"]
     others = [c for c in with_gaps if c not in numbers and c not in moments]

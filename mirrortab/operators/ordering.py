@@ -151,4 +151,7 @@ def head_rows(df: DataFrame, order_by: Sequence[str], n: int) -> DataFrame:
         return df.limit(0)
     upto = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order_by, cut)])
     here = F.struct(*[ref(c) for c in order_by])
-    return df.where((ref(order_by[0]) <= F.lit(cut[0]).cast(df.schema[order_by[0]].dataType)) & (here <= upto))
+    # Nulls come first; the condition on the first column alone can be pushed to the scan.
+    lead = ref(order_by[0])
+    near = lead.isNull() if cut[0] is None else lead.isNull() | (lead <= F.lit(cut[0]).cast(df.schema[order_by[0]].dataType))
+    return df.where(near & (here <= upto))

@@ -11,7 +11,6 @@ from mirrortab.functions.values import (as_number, date_from_ordinal, day_ordina
 from mirrortab.operators.classify import DIRECT, LINKAGE, classes_of_schema, date_shares, text_columns
 from mirrortab.operators.ordering import dense_index, skew_join
 
-ORDINAL_SAMPLE = 20
 ORDINAL_SHARE = 0.9
 NUMERIC_SHARE = 0.9
 PSEUDONYM = "timeline_id"
@@ -46,11 +45,11 @@ def dates_to_ordinals(df: DataFrame) -> DataFrame:
 
 
 def date_strings_to_ordinals(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Text columns whose first values read as dates become day ordinals in place."""
+    """Text columns that read as dates in at least nine known values of ten become day ordinals in place."""
     texts = [c for c in text_columns(df) if c not in order_by]
     if not texts:
         return df
-    likely = {r["column"] for r in date_shares(df, texts, ORDINAL_SAMPLE, order_by)
+    likely = {r["column"] for r in date_shares(df, texts)
               .where(F.col("share") >= ORDINAL_SHARE).collect()}
     return df.select([day_ordinal(moment_from_text(ref(c))).alias(c) if c in likely else ref(c) for c in df.columns])
 

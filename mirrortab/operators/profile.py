@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mirrortab import rules
 from mirrortab.functions.values import missing_to_null, ref
-from mirrortab.operators.classify import (DIRECT, LINKAGE, TEMPORAL, TYPE_SAMPLE, class_of_name, column_kinds, first_values,
+from mirrortab.operators.classify import (DIRECT, LINKAGE, TEMPORAL, class_of_name, column_kinds, first_values,
                                           infer_types)
 from mirrortab.operators.frequency import counts_by_column, frequencies, number_cells
 
@@ -17,9 +17,8 @@ SAMPLES = 5
 
 def profile(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """One row per column: type, missing values, distinct values, first samples, sensitivity."""
-    firsts = first_values(df, df.columns, TYPE_SAMPLE, order_by)
-    types = infer_types(df, order_by, firsts)
-    samples = (firsts.where(F.col("place") < SAMPLES).groupBy("column")
+    types = infer_types(df)
+    samples = (first_values(df, df.columns, SAMPLES, order_by).groupBy("column")
                .agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("_s"))
                .select("column", F.transform("_s", lambda s: s["value"]).alias("sample_values")))
     out = types.join(F.broadcast(counts_by_column(df, df.columns)), "column", "left").join(F.broadcast(samples), "column", "left")
@@ -110,7 +109,7 @@ def ordinal_order(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def cohort_profile(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(column, dtype, kind, min, max, mean, unique_count) for every modelling column."""
-    kinds = column_kinds(df.select([ref(c) for c in dict.fromkeys([*columns, *order_by])]), order_by)
+    kinds = column_kinds(df.select([ref(c) for c in columns]))
     kinds = kinds.where(F.col("column").isin(list(columns)))
     numbers = [f.name for f in df.schema.fields if f.name in columns and f.dataType.typeName() in
                ("byte", "short", "integer", "long", "float", "double", "decimal")]

@@ -25,18 +25,19 @@ from mirrortab.operators.ordering import add_bucket, cut_lineage, dense_index
 GRID = 256
 MAX_CATEGORIES = 1000
 MAX_LABEL_BYTES = 1_000_000
-MAX_DECIMALS = 6
+MAX_DECIMALS = 12
 MODELS = ("gaussian_copula", "independent", "bootstrap")
 DEFAULT_MODEL = "gaussian_copula"
 # Smallest and largest request, rows needed to fit, pool sizing.
 MIN_ROWS_OUT = 100
 MIN_ROWS_IN = 50
-POOL_FACTOR, POOL_EXTRA, POOL_LEAST = 3, 5000, 15000
+POOL_FACTOR = 3
 EDGE = 1e-6
 
 
-def pool_size(n: int) -> int:
-    return min(POOL_FACTOR * n, max(n + POOL_EXTRA, POOL_LEAST))
+def pool_size(n, factor: int = POOL_FACTOR):
+    """Rows to draw from for ``n`` rows in requested proportions; pools are never written, so their size costs little."""
+    return factor * n
 
 
 @dataclass
@@ -78,13 +79,13 @@ def _modelled(df: DataFrame, name: str) -> bool:
 
 
 def decimals_of(x: Column) -> Column:
-    """How many decimals a number has, ``MAX_DECIMALS`` for that many or more."""
+    """How many decimals a number has, one more than ``MAX_DECIMALS`` for any more than that."""
     ladder = None
-    for d in range(MAX_DECIMALS):
+    for d in range(MAX_DECIMALS + 1):
         scaled = x * float(10 ** d)
         fits = F.abs(scaled - F.rint(scaled)) <= F.greatest(F.lit(1.0), F.abs(scaled)) * 1e-12
         ladder = F.when(fits, d) if ladder is None else ladder.when(fits, d)
-    return F.when(x.isNotNull(), ladder.otherwise(MAX_DECIMALS))
+    return F.when(x.isNotNull(), ladder.otherwise(MAX_DECIMALS + 1))
 
 
 def fit_marginals(df: DataFrame) -> tuple[list[Marginal], int]:
@@ -107,7 +108,7 @@ def fit_marginals(df: DataFrame) -> tuple[list[Marginal], int]:
         if c in numbers:
             places = row[f"d{i}"]
             out.append(Marginal(c, type_of(df, c), "number", missing, list(row[f"q{i}"] or []),
-                                places if places is not None and places < MAX_DECIMALS else None))
+                                places if places is not None and places <= MAX_DECIMALS else None))
         elif c in labels:
             names, counts = zip(*labels[c]) if labels[c] else ((), ())
             upto = list(np.cumsum(counts) / max(1, sum(counts)))

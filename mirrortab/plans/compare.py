@@ -33,7 +33,7 @@ def empty_categorical(spark) -> DataFrame:
             "similarity_score double")
 
 
-def validate(source: DataFrame, synthetic: DataFrame, cap: int | None = vd.KS_CAP,
+def validate(source: DataFrame, synthetic: DataFrame, cap: int | None = None,
              cohort_columns: Collection[str] = (), numeric_only: bool = False) -> Validation:
     """Compare the common columns. One small pass routes the columns; the results stay lazy."""
     spark, columns = source.sparkSession, common_columns(source, synthetic)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,7 +30,6 @@ class Workbench:
     root: str
     seed: int = 42
     order_by: str = "row_order"
-    classes: dict[str, dict[str, str]] = field(default_factory=dict)
 
     def register(self, df: DataFrame, name: str, order_by: str, is_demo: bool = False) -> str:
         """Land an input table and record its profile and classes. ``order_by`` is its unique row order."""
@@ -41,12 +40,11 @@ class Workbench:
         body = landed.drop(self.order_by)
         # The row order is not part of the table, so it is looked at but not reported.
         facts = [r for r in profile(landed, [self.order_by]).orderBy("position").collect() if r["column"] != self.order_by]
-        classes = {r["column"]: r["category"] for r in classify(landed, [self.order_by]).collect()}
+        classes = {r["column"]: r["category"] for r in classify(landed).collect()}
         classes.pop(self.order_by, None)
-        self.classes[table_id] = classes
         runs.append(self.spark, self.root, "datasets", {
             "id": table_id, "name": name, "num_rows": body.count(), "num_columns": len(body.columns),
-            "columns": [(r["column"], r["dtype"], r["missing_count"], r["unique_count"]) for r in facts],
+            "columns": [(r["column"], r["dtype"], r["missing_count"], r["unique_count"], classes[r["column"]]) for r in facts],
             "sensitive_columns": [c for c in body.columns if classes[c] == DIRECT], "approved_columns": [],
             "is_demo": is_demo, "status": "uploaded"})
         return table_id
@@ -56,12 +54,20 @@ class Workbench:
         from_row = demo_patients(self.spark, rows, self.seed)
         return self.register(from_row.withColumn("id", F.monotonically_increasing_id()), "demo", "id", is_demo=True)
 
+    def recorded_classes(self, table_id: str) -> dict[str, str]:
+        """Column to class as found when the table was registered, whoever reads them and when."""
+        log = runs.read(self.spark, self.root, "datasets").where((F.col("id") == table_id) & F.col("columns").isNotNull())
+        newest = runs.latest(log, ["id"], [F.col("written_at")]).first()
+        if newest is None:
+            raise ValueError(f"table {table_id} is not registered")
+        return {c["column"]: c["category"] for c in newest["columns"]}
+
     def preprocess(self, table_id: str, wanted: Sequence[str] | None = None,
                    mapping: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
         """Clean the approved columns; (cleaned, summary, removed identifiers)."""
         landed = read_landed(self.spark, self.root, "raw", table_id)
         body = landed.drop(self.order_by)
-        classes = self.classes.get(table_id) or classes_of_schema(body)
+        classes = self.recorded_classes(table_id)
         barred = [c for c in body.columns if classes[c] in (DIRECT, LINKAGE)]
         kept, removed = approved_columns(body.columns, wanted or body.columns, barred)
         cleaned, summary = preprocess(landed, kept, self.order_by, mapping)

@@ -16,7 +16,8 @@ LISTED = 20
 
 SCHEMAS = {
     "datasets": "id string, name string, num_rows bigint, num_columns bigint, "
-                "columns array<struct<column: string, dtype: string, missing_count: bigint, unique_count: bigint>>, "
+                "columns array<struct<column: string, dtype: string, missing_count: bigint, unique_count: bigint, "
+                "category: string>>, "
                 "sensitive_columns array<string>, approved_columns array<string>, preprocessed_path string, "
                 "is_demo boolean, status string, written_at timestamp",
     "generations": "id string, dataset_id string, num_requested bigint, num_generated bigint, model_used string, "

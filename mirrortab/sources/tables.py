@@ -11,6 +11,7 @@ from mirrortab.operators.view import chosen_columns
 
 MIN_ROWS_UPLOAD = 10
 MIN_ROWS_MODEL = 50
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 FORMATS = ("csv", "parquet", "json", "orc")
 
 
@@ -29,21 +30,22 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Struc
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt != "csv":
         return reader.format(fmt).load(path)
-    if schema is not None:
-        return na_words_to_null(reader.option("header", True).csv(path))
-    return typed(na_words_to_null(reader.option("header", True).csv(path)))
+    # Cells may hold line ends and doubled quotes.
+    rows = na_words_to_null(reader.options(**CSV).option("multiLine", True).csv(path))
+    return rows if schema is not None else typed(rows)
 
 
 def typed(df: DataFrame) -> DataFrame:
     """Give all-text columns a type: boolean, bigint or double where every known value reads as one.
 
-    One aggregation over the table decides for all columns; missing-value spellings are already null.
+    Whole numbers of which one does not fit into a bigint stay text, because doubles would merge them. One aggregation over the table decides for all columns; missing-value spellings are already null.
     """
     aggs = []
     for i, c in enumerate(df.columns):
         x = ref(c)
         aggs += [F.count(x).alias(f"n{i}"), F.count(number_from_text(x)).alias(f"f{i}"),
-                 F.count(F.when(x.rlike(r"^\s*[+-]?\d{1,18}\s*$"), 1)).alias(f"i{i}"),
+                 F.count(F.when(x.rlike(r"^\s*[+-]?\d+\s*$"), 1)).alias(f"i{i}"),
+                 F.count(F.when(x.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(x).try_cast("bigint"))).alias(f"g{i}"),
                  F.count(F.when(F.lower(x).isin("true", "false"), 1)).alias(f"b{i}")]
     row = df.agg(*aggs).first()
 
@@ -52,7 +54,7 @@ def typed(df: DataFrame) -> DataFrame:
         if n and row[f"b{i}"] == n:
             return (F.lower(x) == "true").alias(c)
         if n and row[f"i{i}"] == n:
-            return F.trim(x).try_cast("bigint").alias(c)
+            return F.trim(x).try_cast("bigint").alias(c) if row[f"g{i}"] == n else x
         return number_from_text(x).alias(c) if n and row[f"f{i}"] == n else x
 
     return df.select([cast(i, c) for i, c in enumerate(df.columns)])
@@ -89,4 +91,4 @@ def read_landed(spark: SparkSession, root: str, stage: str, table_id: str) -> Da
 
 def export_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """Write CSV with a header; unknown column names are skipped, the caller's order is kept."""
-    chosen_columns(df, columns).write.mode("overwrite").option("header", True).csv(path)
+    chosen_columns(df, columns).write.mode("overwrite").options(**CSV).option("escapeQuotes", True).csv(path)

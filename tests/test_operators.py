@@ -50,16 +50,57 @@ def test_classes_by_name(spark, names, expected):
 
 
 def test_demo_table_has_nothing_to_exclude(spark, demo):
-    found = cl.classify(demo.drop("n").withColumn("n", F.monotonically_increasing_id()), ["n"]).collect()
+    found = cl.classify(demo.drop("n")).collect()
     assert not [r for r in found if r["excluded_from_modeling"]]
 
 
 def test_mail_content_is_an_identifier(spark):
     df = spark.createDataFrame([(i, f"user{i}@example.org", "a") for i in range(30)], "k int, contact string, same string")
-    found = {r["column"]: r["category"] for r in cl.classify(df, ["k"]).collect()}
+    found = {r["column"]: r["category"] for r in cl.classify(df).collect()}
     assert found == {"k": "clinical", "contact": "direct_identifier", "same": "clinical"}
 
 
+def test_a_late_address_is_an_identifier_too(spark):
+    df = spark.range(200).select("id", F.when(F.col("id") == 150, "a@example.org").otherwise(F.concat(F.lit("x"), "id")).alias("contact"))
+    assert {r["column"]: r["category"] for r in cl.classify(df).collect()}["contact"] == "direct_identifier"
+
+
+def test_dates_in_the_first_rows_only_leave_text_as_it_is(spark):
+    from mirrortab.operators import clean as cn, prepare as pr
+    df = spark.range(1000).select("id", F.when(F.col("id") < 30, "2020-01-05").otherwise(F.concat(F.lit("note "), "id")).alias("t"))
+    assert cn.cast_dates(df, ["id"]).where("t IS NULL").count() == 0
+    assert pr.date_strings_to_ordinals(df, ["id"]).where("t IS NULL").count() == 0
+    assert {r["column"]: r["dtype"] for r in cl.infer_types(df).collect()}["t"] == "categorical"
+
+
+def test_null_order_keys_come_first_and_are_seen(spark):
+    rows = [(None, None)] + [(i, str(i) if i >= 1500 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, v string")
+    assert [r["value"] for r in cl.first_values(df, ["v"], 2, ["k"]).orderBy("place").collect()] == ["1500", "1501"]
+
+
+def test_sides_without_a_common_value_are_wholly_apart(spark):
+    a = spark.range(30000).select(F.concat(F.lit("a"), "id").alias("t"))
+    b = spark.range(30000).select(F.concat(F.lit("b"), "id").alias("t"))
+    r = vd.categorical_comparison(vd.category_frequencies(a, b, ["t"])).first()
+    assert r["tvd"] == 1.0 and r["similarity_score"] == 0.0
+
+
+def test_classes_outlive_the_workbench(spark, tmp_path):
+    from mirrortab.plans.generate import Workbench
+    df = spark.range(80).select("id", F.concat(F.lit("u"), "id", F.lit("@example.org")).alias("contact"), (F.col("id") * 1.5).alias("score"))
+    table_id = Workbench(spark, str(tmp_path)).register(df, "t", "id")
+    cleaned, _, removed = Workbench(spark, str(tmp_path)).preprocess(table_id)
+    assert cleaned.columns == ["score"] and "contact" in removed
+
+
+def test_csv_keeps_lines_quotes_and_long_numbers(spark, tmp_path):
+    rows = [(1, 'a "b"\nc, d', "1234567890123456789"), (2, "\\ x", "1234567890123456788"), (3, "  y ", "99999999999999999999")]
+    stb.export_csv(spark.createDataFrame(rows, "i bigint, t string, n string"), str(tmp_path / "c"))
+    back = stb.read_table(spark, str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in back.collect()) == rows
+
+
 def test_first_values_of_sparse_column(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), F.when(F.col("id") % 900 == 899, F.col("id")).alias("rare"))
     rows = cl.first_values(df.repartition(7), ["rare"], 3, ["k"]).orderBy("place").collect()
@@ -343,7 +384,7 @@ def test_model_falls_back(spark):
     df = spark.createDataFrame([(float(i), "x") for i in range(60)], "a double, b string")
     assert synth.fit(df, "bootstrap").used == "bootstrap"
     assert synth.fit(df, "anything").used == "gaussian_copula"
-    assert synth.pool_size(100) == 300 and synth.pool_size(10_000) == 15_000 and synth.pool_size(100_000) == 105_000
+    assert synth.pool_size(100) == 300 and synth.pool_size(1_000_000) == 3_000_000 and synth.pool_size(10, 5) == 50
     with pytest.raises(ValueError):
         synth.fit(df.limit(0))
 

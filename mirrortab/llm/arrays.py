@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)

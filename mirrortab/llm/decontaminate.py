@@ -54,10 +54,10 @@ class Prepared:
         self.hashes = word_hashes(data, starts, ends)
         self.second = mix(self.hashes ^ SECOND)
 
-    def grams(self, size: int):
-        """Hash, check hash, text and first word within the text of every run of ``size`` words."""
+    def grams(self, size: int, checked: bool = True):
+        """Hash, check hash, text and first word within the text of every run of ``size`` words, and the runs per text."""
         keys, at, per_text = windows(self.hashes, self.counts, size, short=False)
-        checks = windows(self.second, self.counts, size, short=False)[0]
+        checks = windows(self.second, self.counts, size, short=False)[0] if checked else None
         owner = np.repeat(np.arange(len(self.counts)), per_text)
         return keys, checks, owner, at - self.first[owner], per_text
 
@@ -73,7 +73,7 @@ def _item_rows(items: DataFrame, key: str, text: str, span: int, gram: int) -> D
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(owner)), pa.array(np.full(len(keys), span), pa.int32()), as_long(keys), as_long(checks),
                      pa.array(np.zeros(len(keys), bool))], names=["item", "size", "wh", "wc", "is_fp"])
-                keys, _, owner, _, per_text = p.grams(gram)
+                keys, _, owner, _, per_text = p.grams(gram, checked=False)
                 chosen = fingerprints(keys, per_text, span - gram + 1) & (p.counts[owner] >= span)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(owner[chosen])), pa.array(np.full(chosen.sum(), gram), pa.int32()), as_long(keys[chosen]),
@@ -113,7 +113,7 @@ def flagged(flags: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
 def _candidates(p: Prepared, flags: np.ndarray, bits: int, sizes: list[int], span: int, gram: int):
     """(text, fingerprint, first word, size, hash, check) of the windows that a flagged fingerprint lies in."""
     found = []
-    keys, _, owner, at, per_text = p.grams(gram)
+    keys, _, owner, at, per_text = p.grams(gram, checked=False)
     hit = np.flatnonzero(fingerprints(keys, per_text, span - gram + 1) & flagged(flags, keys, bits))
     if len(hit):
         whole, checks, _, _, full = p.grams(span)

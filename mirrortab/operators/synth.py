@@ -2,8 +2,8 @@
 
 Fitting is three aggregations: marginals, category frequencies, correlations of normal scores. What they
 return is small and bounded (a grid per numeric column, at most ``MAX_CATEGORIES`` shares per text column,
-one correlation matrix). Sampling is one map over ``spark.range``: row i depends on i alone. A text column
-with more values than that is sampled by fetching the value of a drawn source row.
+one correlation matrix). Sampling is one map over ``spark.range``: row i depends on i alone. The shares of a text
+column with more values than that stay a table: source rows meet their share, and sampled shares their value, by a join.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from mirrortab.functions.draws import hash_index, normal, uniform
 from mirrortab.functions.maths import normal_cdf, normal_quantile
@@ -42,7 +42,7 @@ def pool_size(n, factor: int = POOL_FACTOR):
 
 @dataclass
 class Marginal:
-    """One column of the model. ``kind`` is number, label or fetched."""
+    """One column of the model. ``kind`` is number, label (shares in ``upto``) or table (shares in ``shares``)."""
 
     name: str
     dtype: T.DataType
@@ -52,6 +52,8 @@ class Marginal:
     decimals: int | None = None
     labels: list[str] = field(default_factory=list)
     upto: list[float] = field(default_factory=list)
+    shares: DataFrame | None = None
+    size: int = 0
 
 
 @dataclass
@@ -101,7 +103,7 @@ def fit_marginals(df: DataFrame) -> tuple[list[Marginal], int]:
             aggs.append(F.max(decimals_of(x)).alias(f"d{i}"))
     row = df.agg(*aggs).first()
     rows = row["rows"]
-    labels = _label_shares(df, texts)
+    labels, tables = _label_shares(df, texts)
     out = []
     for i, c in enumerate(df.columns):
         missing = 1.0 - row[f"n{i}"] / rows if rows else 0.0
@@ -114,14 +116,15 @@ def fit_marginals(df: DataFrame) -> tuple[list[Marginal], int]:
             upto = list(np.cumsum(counts) / max(1, sum(counts)))
             out.append(Marginal(c, type_of(df, c), "label", missing, labels=list(names), upto=upto))
         else:
-            out.append(Marginal(c, type_of(df, c), "fetched", 0.0))
+            out.append(Marginal(c, type_of(df, c), "table", missing, shares=tables[c][0], size=tables[c][1]))
     return out, rows
 
 
-def _label_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
-    """Sorted (label, count) of the columns with at most ``MAX_CATEGORIES`` labels and ``MAX_LABEL_BYTES`` in all."""
+def _label_shares(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, list[tuple[str, int]]], dict[str, tuple[DataFrame, int]]]:
+    """Sorted (label, count) of the columns with at most ``MAX_CATEGORIES`` labels and ``MAX_LABEL_BYTES`` in all;
+    for the others the table of :func:`share_table` and its rows."""
     if not columns:
-        return {}
+        return {}, {}
     seen = cut_lineage(frequencies(df, columns))
     sizes = {r["column"]: r for r in seen.groupBy("column").agg(
         F.count("value").alias("k"), F.sum(F.octet_length("value")).alias("bytes")).collect()}
@@ -130,7 +133,34 @@ def _label_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple
     out: dict[str, list[tuple[str, int]]] = {c: [] for c in few}
     for r in seen.where(F.col("column").isin(few) & F.col("value").isNotNull()).orderBy("column", "value").collect():
         out[r["column"]].append((r["value"], r["n"]))
-    return out
+    known = seen.where(F.col("value").isNotNull())
+    return out, {c: (share_table(known.where(F.col("column") == c)), sizes[c]["k"]) for c in columns if c not in few}
+
+
+def share_table(seen: DataFrame) -> DataFrame:
+    """(value, lower, upper) of (value, n): the values in order cut [0, 1) into intervals as wide as their shares.
+
+    A range-partitioned sort, running counts within each partition, and one offset per partition.
+    """
+    ordered = cut_lineage(seen.select("value", "n").orderBy("value").withColumn("_place", F.monotonically_increasing_id())
+                          .withColumn("_part", F.shiftrightunsigned("_place", 33)))
+    parts = ordered.groupBy("_part").agg(F.sum("n").alias("_n"))
+    offsets = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    total = parts.agg(F.sum("_n")).first()[0]
+    run = F.sum("n").over(Window.partitionBy("_part").orderBy("_place")) + F.col("_before")
+    placed = ordered.join(F.broadcast(offsets), "_part").withColumn("_run", run)
+    return cut_lineage(placed.select("value", ((F.col("_run") - F.col("n")) / total).alias("lower"), (F.col("_run") / total).alias("upper")))
+
+
+def _value_at(rows: DataFrame, m: Marginal, share: str, name: str) -> DataFrame:
+    """Add the value whose interval holds the share: an equi-join on as many even cells as there are values."""
+    cells = m.size
+    near = m.shares.select(F.col("value").alias(name), F.col("lower").alias("_low"), F.col("upper").alias("_high"), F.explode(F.sequence(
+        F.floor(F.col("lower") * cells), F.least(F.floor(F.col("upper") * cells), F.lit(cells - 1).cast("bigint")))).alias("_cell"))
+    at = F.least(F.col(share), F.lit(1 - 1e-12))
+    placed = rows.withColumn("_at", at).withColumn("_cell", F.floor(F.col("_at") * cells))
+    return (placed.join(near, "_cell").where((F.col("_low") <= F.col("_at")) & (F.col("_at") < F.col("_high")))
+            .drop("_cell", "_at", "_low", "_high"))
 
 
 def _padded(bounds: Sequence[float], fill: float) -> tuple[Column, int]:
@@ -146,8 +176,12 @@ def normal_scores(df: DataFrame, marginals: Sequence[Marginal]) -> DataFrame:
     """One column of normal scores per modelled column; ties share the middle of their interval."""
     numbers = [(i, m) for i, m in enumerate(marginals) if m.kind == "number" and len(set(m.grid)) > 1]
     labels = [(i, m) for i, m in enumerate(marginals) if m.kind == "label" and m.labels]
+    tables = [(i, m) for i, m in enumerate(marginals) if m.kind == "table"]
     out = df.select([as_number(df, m.name).alias(f"x{i}") for i, m in numbers]
-                    + [ref(m.name).cast("string").alias(f"x{i}") for i, m in labels])
+                    + [ref(m.name).cast("string").alias(f"x{i}") for i, m in [*labels, *tables]])
+    for i, m in tables:
+        middles = m.shares.select(F.col("value").alias(f"x{i}"), ((F.col("lower") + F.col("upper")) / 2).alias(f"m{i}"))
+        out = out.join(middles, f"x{i}", "left")
     if numbers:
         points = {i: sorted(set(m.grid)) for i, m in numbers}
         out = Bucketizer(splitsArray=[[float("-inf"), *points[i], float("inf")] for i, _ in numbers],
@@ -169,6 +203,7 @@ def normal_scores(df: DataFrame, marginals: Sequence[Marginal]) -> DataFrame:
         middles = [(a + b) / 2 for a, b in zip([0.0, *m.upto[:-1]], m.upto)]
         table = F.create_map(*[z for name, u in zip(m.labels, middles) for z in (F.lit(name), F.lit(float(u)))])
         shares.append(F.try_element_at(table, F.col(f"x{i}")).alias(f"u{i}"))
+    shares += [F.col(f"m{i}").alias(f"u{i}") for i, _ in tables]
     out = out.select(*shares)
     # greatest and least skip nulls, so a missing value is kept missing by hand.
     inner = out.select([F.when(F.col(c).isNotNull(), F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col(c)))).alias(c)
@@ -252,7 +287,7 @@ def rows_for(model: Model, ids: DataFrame, key: str, columns: Sequence[str] | No
         return _fetched(model, ids, key, wanted, "row")
     i, base = ref(key), [ref(c) for c in ids.columns]
     order = {m.name: j for j, m in enumerate(model.marginals)}
-    drawn = [m for m in wanted if m.kind != "fetched"]
+    drawn = wanted
     # Only the independent normals that the wanted columns mix are drawn.
     needed = sorted({k for m in drawn for k in range(order[m.name] + 1) if model.mixing[order[m.name], k] != 0.0})
     out = ids.select(*base, *[normal(model.seed, f"z{k}", i).alias(f"_z{k}") for k in needed])
@@ -268,6 +303,9 @@ def rows_for(model: Model, ids: DataFrame, key: str, columns: Sequence[str] | No
         j = order[m.name]
         if m.kind == "number":
             value = _value_of(m, F.col(f"_u{j}"))
+        elif m.kind == "table":
+            out = _value_at(out, m, f"_u{j}", f"_t{j}")
+            value = F.col(f"_t{j}").cast(m.dtype)
         else:
             value = None
             if m.labels:
@@ -278,11 +316,7 @@ def rows_for(model: Model, ids: DataFrame, key: str, columns: Sequence[str] | No
         if m.null_share > 0:
             value = F.when(uniform(model.seed, f"null{j}", i) >= m.null_share, value)
         final[m.name] = value
-    out = out.select(*base, *[final[m.name].alias(m.name) for m in drawn])
-    for m in wanted:
-        if m.kind == "fetched":
-            out = _fetched(model, out, key, [m], m.name)
-    return out.select(*base, *[ref(m.name) for m in wanted])
+    return out.select(*base, *[final[m.name].alias(m.name) for m in wanted])
 
 
 def _fetched(model: Model, ids: DataFrame, key: str, wanted: Sequence[Marginal], tag: str) -> DataFrame:

@@ -371,11 +371,26 @@ def test_samples_ignore_partitioning(spark, demo):
     assert a == b
 
 
-def test_text_with_many_values_is_fetched(spark, monkeypatch):
+def test_many_labels_keep_their_correlation(spark):
+    df = spark.range(6000).select((F.col("id") % 1500).alias("x"), F.format_string("v%05d", F.col("id") % 1500).alias("t"))
+    model = synth.fit(df)
+    assert [m.kind for m in model.marginals] == ["number", "table"]
+    rows = synth.sample(model, 4000).withColumn("y", F.substring("t", 2, 5).cast("int"))
+    assert rows.count() == 4000 and rows.agg(F.corr("x", "y")).first()[0] > 0.95
+
+
+def test_intervals_of_values_cover_every_share(spark):
+    seen = spark.range(500).select(F.format_string("%04d", "id").alias("value"), F.when(F.col("id") == 77, 3000).otherwise(F.col("id") % 5 + 1).alias("n"))
+    table = synth.share_table(seen.repartition(5)).orderBy("lower").collect()
+    assert table[0]["lower"] == 0.0 and table[-1]["upper"] == 1.0
+    assert all(a["upper"] == b["lower"] and a["value"] < b["value"] for a, b in zip(table, table[1:]))
+
+
+def test_text_with_many_values_is_a_table(spark, monkeypatch):
     monkeypatch.setattr(synth, "MAX_CATEGORIES", 5)
     df = spark.range(300).select((F.col("id") % 40).cast("string").alias("t"), F.col("id").alias("x"))
     model = synth.fit(df)
-    assert [m.kind for m in model.marginals] == ["fetched", "number"]
+    assert [m.kind for m in model.marginals] == ["table", "number"]
     rows = synth.sample(model, 250)
     assert rows.count() == 250 and rows.where(F.col("t").cast("int") >= 40).count() == 0
 

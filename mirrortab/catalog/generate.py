@@ -27,7 +27,10 @@ def _step_sql(pool: str, order: str, test: str, share: float, name: str) -> str:
     return f"""{name}_n AS (SELECT count(*) AS n, CAST(round({share} * count(*)) AS BIGINT) AS n1 FROM customer),
 {name}_p AS (SELECT *, {test} AS ok, row_number() OVER (PARTITION BY {test} ORDER BY {order}) - 1 AS pos,
   count(*) OVER (PARTITION BY {test}) AS size FROM {pool}),
-{name}_d AS (SELECT i, i < n1 AS ok, CASE WHEN i < n1 THEN i ELSE i - n1 END AS j FROM {name}_n, range(n) t(i)),
+{name}_s AS (SELECT n, n1, min(k) AS step FROM (SELECT n, n1, unnest(range(n * 618 // 1000 + 1, n * 618 // 1000 + 1000)) AS k FROM {name}_n)
+  WHERE gcd(k, n) = 1 GROUP BY n, n1),
+{name}_d AS (SELECT i, t < n1 AS ok, CASE WHEN t < n1 THEN t ELSE t - n1 END AS j
+  FROM (SELECT i, n1, CASE WHEN n1 > 0 AND n1 < n THEN i * step % n ELSE i END AS t FROM {name}_s, range(n) r(i))),
 {name} AS (SELECT d.i AS _row, {COLUMNS_SQL} FROM {name}_d d JOIN {name}_p p ON p.ok = d.ok AND p.pos = (d.j * 48271 + 12345) % p.size)"""
 
 

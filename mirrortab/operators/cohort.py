@@ -8,6 +8,7 @@ depends on that number alone, so results do not change with the partitioning.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -32,11 +33,24 @@ def measure_proportions(df: DataFrame, requirements: Sequence[Requirement]) -> D
     return wide.select(F.stack(F.lit(len(requirements)), *cells).alias("place", "proportion"))
 
 
+def mixing_step(n: int) -> int:
+    """Multiplier that visits 0 .. n-1 once each, in leaps of about 0.618 n, so that every stretch of rows holds every part."""
+    step = n * 618 // 1000 + 1
+    while gcd(step, n) != 1:
+        step += 1
+    return step
+
+
+def _mixed(i: Column, n: int) -> Column:
+    wide = "decimal(38,0)" if n >= 1 << 31 else "bigint"
+    return F.pmod(i.cast(wide) * F.lit(mixing_step(n)).cast(wide), F.lit(n).cast(wide)).cast("bigint")
+
+
 def _draw(narrow: DataFrame, part: Column, sizes: tuple[int, int], wanted: tuple[int, int], seed: int, tag: str,
           draw: Draw) -> DataFrame:
     """Draw ``wanted`` rows with replacement from both parts of ``narrow`` (part 0, part 1), numbered by ``_row``.
 
-    The rows are numbered part by part; each draw names a number and an equi-join fetches it. Where few
+    Where both parts are asked for, their draws are spread evenly over the row numbers. The rows are numbered part by part; each draw names a number and an equi-join fetches it. Where few
     rows must serve very many draws, the rows are copied and the draws of a row spread over the copies.
     """
     spark = narrow.sparkSession
@@ -45,8 +59,10 @@ def _draw(narrow: DataFrame, part: Column, sizes: tuple[int, int], wanted: tuple
     n, total = n0 + n1, sizes[0] + sizes[1]
     # An empty part is replaced by the whole pool, which then is the other part.
     spans = [(0, sizes[0]) if sizes[0] else (0, total), (sizes[0], sizes[1]) if sizes[1] else (0, total)]
-    i, second = F.col(ROW), F.col(ROW) < n1
-    within = F.when(second, i).otherwise(i - n1)
+    i = F.col(ROW)
+    turn = _mixed(i, n) if n0 and n1 else i
+    second = turn < n1
+    within = F.when(second, turn).otherwise(turn - n1)
     at = F.when(second, F.lit(spans[1][0]) + draw(seed, f"{tag}/1", within, F.lit(spans[1][1]))) \
         .otherwise(F.lit(spans[0][0]) + draw(seed, f"{tag}/0", within, F.lit(spans[0][1])))
     draws = spark.range(n).select(F.col("id").alias(ROW)).withColumn("_at", at)

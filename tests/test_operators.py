@@ -325,6 +325,13 @@ def test_resampling_ignores_partitioning(spark, demo):
     assert a == b
 
 
+def test_strata_are_mixed(spark, demo):
+    out = ch.resample(demo, "n", 1000, [Requirement("Sex", "equal", "Female", 0.3)])
+    head = out.where("_row < 100").agg(F.avg((F.col("Sex") == "Female").cast("int"))).first()[0]
+    assert abs(head - 0.3) <= 0.02
+    assert all(sorted(i * ch.mixing_step(n) % n for i in range(n)) == list(range(n)) for n in (1, 2, 7, 200, 1001))
+
+
 def test_empty_stratum_falls_back_to_the_pool(spark):
     pool = spark.range(20).select("id", F.lit("x").alias("c"))
     out = ch.resample(pool, "id", 50, [Requirement("c", "equal", "y", 0.5)])

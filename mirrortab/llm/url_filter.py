@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mirrortab.llm.registry import query, table
+from mirrortab.llm.scratch import saved
 
 BLOCK, ALLOW, REMOVE = "block", "allow", "remove"
 MOST_LABELS = 127
@@ -67,7 +68,8 @@ def judged(captures: DataFrame, ident: str, url: str, at: str, entries: DataFram
     """
     asked = captures.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{url}`").alias("url"), F.col(f"`{at}`").alias("at")).distinct()
     keyed = asked.select("ident", "url", "at", F.inline(_keys(F.col("url"))))
-    met = keyed.join(intervals(entries, key, action, since), "key")
+    # Written first, so that the join has a shuffle of its own on both sides and a hot domain can be split.
+    met = keyed.join(saved(intervals(entries, key, action, since), "intervals"), "key")
     # Intervals of a key do not overlap: at most one holds the time.
     now = F.filter("valid", lambda v: (v["since"] <= F.col("at")) & (v["until"].isNull() | (F.col("at") < v["until"])))
     hits = met.select("ident", "url", "at", "level", "key", F.try_element_at(now, F.lit(1))["action"].alias("action")).where(F.col("action").isNotNull())

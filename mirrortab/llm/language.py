@@ -24,6 +24,7 @@ SAMPLE_ROWS = 64
 ROW_CHARS = 4096
 TOTAL_CHARS = 262_144
 FOLDS, HELD_FOLD = 5, 0
+RANKED_PARTS = 64
 
 _letters: np.ndarray | None = None
 
@@ -49,9 +50,12 @@ def learned_rows(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS,
     from pyspark.sql import Window
     known = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(label).alias("label"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    # A label may hold most rows: its hashes are ranked in parts first, and the first of each part once more.
+    part = F.pmod(F.col("h"), F.lit(RANKED_PARTS)).alias("part")
+    within = F.row_number().over(Window.partitionBy("label", "part").orderBy("h"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    cut = (known.groupBy("label", "h").agg(F.count(F.lit(1)).alias("copies")).withColumn("rank", rank).where(F.col("rank") <= rows)
-           .groupBy("label").agg(F.max("h").alias("cut")))
+    firsts = known.groupBy("label", "h").agg(F.count(F.lit(1)).alias("copies")).select("label", "h", part).withColumn("rank", within).where(F.col("rank") <= rows)
+    cut = firsts.withColumn("rank", rank).where(F.col("rank") <= rows).groupBy("label").agg(F.max("h").alias("cut"))
     cuts = {r["label"]: r["cut"] for r in cut.collect()}
     if not cuts:
         return []

@@ -16,13 +16,22 @@ import numpy as np
 
 #: Before a space that stands between two visible characters (``\\w`` and ASCII signs are never white space), or after a letter.
 SAFE_CUT = re.compile(r"(?<=[!-~\w])(?= [!-~\w])|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[,.;:!?])")
-#: One word that every pre-tokenizer here keeps whole, of letters that are their own normal form.
-PLAIN_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A word, and signs after it, each of which every pre-tokenizer here keeps whole; the letters are their own normal form.
+PLAIN_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)")
+#: What Python takes for white space beyond the six blanks of ASCII, in the first 256 code points.
+ODD_BLANKS = bytes([0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0])
 KEPT_PIECES = 500_000
 KEPT_LENGTH = 64
 CALL_BYTES = 65_536
 
 
+def drops_spaces(config: dict) -> bool:
+    """Whether texts are lower-cased and split into runs of letters, single digits and runs of signs, white space dropped."""
+    first = ((config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return bool(first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
+                and r"[^\s\p{L}\p{N}]+" in str(first["pattern"].get("Regex")) and config.get("normalizer"))
+
+
 def cuts_are_safe(config: dict) -> bool:
     """Whether no token can span a space that follows a visible character."""
     if any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in config.get("added_tokens") or []):
@@ -34,10 +43,8 @@ def cuts_are_safe(config: dict) -> bool:
     if not steps or any(s.get("add_prefix_space") for s in steps):
         return False
     byte_level = steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex", True)
-    dropped_spaces = (steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
-                      and r"[^\s\p{L}\p{N}]+" in json.dumps(steps[0]["pattern"]).replace("\\\\", "\\"))
     kinds = {n.get("type") for n in (config.get("normalizer") or {}).get("normalizers", [])}
-    return bool(byte_level or dropped_spaces) and kinds <= {"NFC", "Replace", "Lowercase"}
+    return bool(byte_level or drops_spaces(config)) and kinds <= {"NFC", "Replace", "Lowercase"}
 
 
 def byte_letters() -> dict[int, str]:
@@ -61,7 +68,8 @@ class Pieces:
         self.safe = cuts_are_safe(config)
         # Plain words go straight to the library's merges, past the normaliser and the pre-tokenizer, which leave them whole.
         self.direct = self.safe and (config.get("model") or {}).get("type") == "BPE"
-        self.lowered = bool(config.get("normalizer"))
+        self.lowered = drops_spaces(config)
+        self.added = [t["content"].lower() for t in config.get("added_tokens") or []]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -69,14 +77,35 @@ class Pieces:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.value, self.known = value, {}
 
-    def _word(self, piece: str) -> list[int]:
-        word = piece.lstrip(" ").lower() if self.lowered else piece
+    def _parts(self, text: str) -> list[str]:
+        if not self.safe:
+            return [text] if text else []
+        if self.lowered:
+            # Case and white space make no difference to this kind of vocabulary, where they are plain.
+            low = text.lower()
+            try:
+                raw = text.encode("latin-1")
+            except UnicodeEncodeError:
+                raw = ODD_BLANKS
+            if len(raw.translate(None, ODD_BLANKS)) == len(raw) and not any(a in low for a in self.added):
+                return low.split()
+        return SAFE_CUT.split(text) if text else []
+
+    def _merged(self, word: str) -> list[int]:
         return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LETTERS))]
 
     def _encode(self, pieces: list[str]) -> dict:
-        plain = [p for p in pieces if PLAIN_WORD.fullmatch(p)] if self.direct else []
-        rest = list(set(pieces).difference(plain))
-        return {p: self.value(self._word(p)) for p in plain} | dict(zip(rest, self._called(rest)))
+        out, rest = {}, []
+        for p in pieces:
+            found = PLAIN_WORD.fullmatch(p) if self.direct else None
+            if found is None:
+                rest.append(p)
+                continue
+            word, signs = found.groups()
+            ids = self._merged(word.lstrip(" ").lower() if self.lowered else word)
+            out[p] = self.value(ids + self._merged(signs) if signs else ids)
+        out.update(zip(rest, self._called(rest)))
+        return out
 
     def _called(self, pieces: list[str]) -> list:
         """In calls of about ``CALL_BYTES`` characters."""
@@ -90,7 +119,7 @@ class Pieces:
 
     def values(self, texts: list[str]) -> tuple[list, np.ndarray]:
         """The values of all pieces in order, and the number of pieces per text."""
-        parts = [SAFE_CUT.split(t) if t else [] for t in texts] if self.safe else [[t] if t else [] for t in texts]
+        parts = list(map(self._parts, texts))
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = [p for ps in parts for p in ps]
         if len(self.known) > KEPT_PIECES:

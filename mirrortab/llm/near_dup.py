@@ -296,7 +296,22 @@ def one_per_group(df: DataFrame, key: str, text: str, **how) -> DataFrame:
     return single.unionByName(met.where("_n = 0").select("row")).select("row.*")
 
 
-@query("op7_near_dup")
+_BLANKS = " \\t\\n\\x0B\\f\\r"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^{_BLANKS}]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) > 1 THEN ws[i] || ' ' || ws[i + 1] ELSE ws[1] END AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1) + 1)) AS i FROM t WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= {SIMILAR} * (nx.n + ny.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.y FROM r JOIN e ON r.seen = e.x),
+low AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN low ON doc_id = node"""
+
+
+@query("op7_near_dup", SQL)
 def op7_near_dup(spark, folder):
     """doc_id, n_shingles, component_id, kept of every document, on 2-word shingles."""
     return groups(table(spark, folder, "documents"), "doc_id", "text", shingle=2).select("doc_id", "n_shingles", "component_id", "kept")

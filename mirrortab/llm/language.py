@@ -19,7 +19,8 @@ from mirrortab.llm.registry import query, table
 
 UNKNOWN = "und"
 LANE = 1024
-#: Bounds of what is learned: rows per language, characters of a row, characters of all languages together.
+#: Bounds of what is learned: languages (those with most rows), rows per language, characters of a row, characters of all languages together.
+MOST_LABELS = 256
 SAMPLE_ROWS = 64
 ROW_CHARS = 4096
 TOTAL_CHARS = 262_144
@@ -44,7 +45,7 @@ def fold(key: Column) -> Column:
 def learned_rows(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS) -> list[tuple[str, str]]:
     """(label, text) of at most ``rows`` different texts per label, those with the smallest hashes of the text.
 
-    Only hashes are ranked; the texts of the chosen ones are then fetched, cut to ``row_chars`` characters.
+    At most ``MOST_LABELS`` labels are learned, those with most rows. Only hashes are ranked; the texts of the chosen ones are then fetched, cut to ``row_chars`` characters.
     Rows without a label or without a text teach nothing.
     """
     from pyspark.sql import Window
@@ -54,7 +55,9 @@ def learned_rows(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS,
     part = F.pmod(F.col("h"), F.lit(RANKED_PARTS)).alias("part")
     within = F.row_number().over(Window.partitionBy("label", "part").orderBy("h"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    firsts = known.groupBy("label", "h").agg(F.count(F.lit(1)).alias("copies")).select("label", "h", part).withColumn("rank", within).where(F.col("rank") <= rows)
+    copies = known.groupBy("label", "h").agg(F.count(F.lit(1)).alias("copies"))
+    common = copies.groupBy("label").agg(F.sum("copies").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LABELS)
+    firsts = copies.select("label", "h", part).withColumn("rank", within).where(F.col("rank") <= rows).join(F.broadcast(common.select("label")), "label")
     cut = firsts.withColumn("rank", rank).where(F.col("rank") <= rows).groupBy("label").agg(F.max("h").alias("cut"))
     cuts = {r["label"]: r["cut"] for r in cut.collect()}
     if not cuts:

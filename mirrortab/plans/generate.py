@@ -12,6 +12,7 @@ from mirrortab.functions.values import ref
 from mirrortab.operators import cohort, synth
 from mirrortab.operators.classify import (DIRECT, LINKAGE, approved_columns, classes_of_schema, classify)
 from mirrortab.operators.clean import preprocess
+from mirrortab.operators.ordering import dense_index
 from mirrortab.operators.predicates import Requirement
 from mirrortab.operators.prepare import model_ready
 from mirrortab.operators.profile import profile
@@ -95,8 +96,7 @@ class Workbench:
         try:
             landed = read_landed(self.spark, self.root, "raw", table_id)
             cleaned = read_landed(self.spark, self.root, "clean", table_id)
-            ordered = cleaned.withColumn(self.order_by, F.monotonically_increasing_id())
-            ready = gate(model_ready(ordered, [self.order_by]).drop(self.order_by), MIN_ROWS_MODEL)
+            ready = gate(model_ready(cleaned, []), MIN_ROWS_MODEL)
             _, source_path = land(ready, self.root, "model_ready", run_id)
             ready = read_landed(self.spark, self.root, "model_ready", run_id)
             log("training", 15, "fitting", source_path=source_path)
@@ -155,9 +155,7 @@ class Workbench:
             if not found.isEmpty():
                 return found
         source, synthetic, state = self._pair(run_id)
-        number = F.monotonically_increasing_id()
-        report, pairs = compare.privacy(source.withColumn("_number", number), synthetic.withColumn("_number", number),
-                                        "_number")
+        report, pairs = compare.privacy(_numbered(source), _numbered(synthetic), "_number")
         report_id = new_id()
         path = f"{self.root}/reports/{report_id}"
         write_sections({"Privacy Checks": report, "Near Duplicate Pairs": pairs}, path)
@@ -169,6 +167,11 @@ class Workbench:
         return runs.report_for(runs.read(self.spark, self.root, "privacy_checks"), run_id)
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows numbered by their content, so that the numbers do not depend on how files are packed."""
+    return dense_index(df, [F.xxhash64(*[ref(c).cast("string") for c in df.columns])], "_number")
+
+
 def synthetic_rows(model: synth.Model, n: int, requirements: Sequence[Requirement] = (), seed: int = 42) -> DataFrame:
     """``n`` synthetic rows, numbered by ``_row``, in the requested proportions.
 

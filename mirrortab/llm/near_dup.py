@@ -7,7 +7,7 @@ reach the threshold go, and the rest are confirmed by intersecting the full sets
 
 Only links that can still change the components are looked for. First every class meets the smallest class it shares
 a bucket with. Afterwards, in buckets that still hold several components, classes outside the largest one meet single
-classes of it for a few rounds, and then the classes of all other components, a growing number of them at a time, until each
+classes of it once, and then the classes of all other components, a growing number of them at a time, until each
 bucket is one component or all its pairs across components have been compared. So a large group of copies costs rows in proportion to its size, and no link
 between components is left out.
 """
@@ -33,9 +33,9 @@ MANTISSA = 10
 #: Candidates estimated this far below the threshold are dropped: five standard errors of the estimate.
 SLACK = 5.0
 #: Rounds in which each class outside meets one of the largest component per bucket, before all pairs across components do.
-PROBES = 3
+PROBES = 1
 FIRST_PIVOTS = 16
-PIVOT_GROWTH = 16
+PIVOT_GROWTH = 64
 BITS = 23
 
 _rng = np.random.Generator(np.random.PCG64(71))

@@ -7,9 +7,10 @@ reach the threshold go, and the rest are confirmed by intersecting the full sets
 
 Only links that can still change the components are looked for. First every class meets the smallest class it shares
 a bucket with. Afterwards, in buckets that still hold several components, classes outside the largest one meet single
-classes of it once, and then the classes of all other components, a growing number of them at a time, until each
-bucket is one component or all its pairs across components have been compared. So a large group of copies costs rows in proportion to its size, and no link
-between components is left out.
+classes of it once, and then the classes of all other components, a growing number of them at a time, until each bucket is one
+component or all its pairs across components have been compared or ruled out by size or by shingles that nothing else has. A group
+of copies above the threshold costs rows in proportion to its size; one of texts just below it, which share buckets but no
+links, costs its pairs. No link between components is left out.
 """
 
 from __future__ import annotations

@@ -290,3 +290,10 @@ def test_shards_of_few_or_no_rows(spark):
     sharded(spark, [1, 1, None], 16)
     sharded(spark, [], 4)
     sharded(spark, [1] * 64, 4)
+
+
+def test_small_keys_stay_whole_beside_a_hot_one_and_without_free_rows(spark):
+    where = sharded(spark, [1] * 2800 + [2 + i // 2 for i in range(2000)] + [None] * 3392, 8)
+    assert sum(len(set(s)) > 1 for k, s in where.items() if k != 1) == 0 and len(set(where[1])) <= 4
+    where = sharded(spark, [i // 2 for i in range(4096)], 4)
+    assert all(len(set(s)) == 1 for s in where.values())

@@ -138,11 +138,12 @@ def logical_type(dtype: T.DataType) -> str:
 
 
 def date_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, share): how many of all non-null texts read as dates; one pass, null for a column without any."""
-    wide = df.agg(*[F.avg(F.when(ref(c).isNotNull(), moment_from_text(ref(c)).isNotNull().cast("double"))).alias(f"d{i}")
-                    for i, c in enumerate(columns)])
-    cells = [x for i, c in enumerate(columns) for x in (F.lit(c), F.col(f"d{i}"))]
-    return wide.select(F.stack(F.lit(len(columns)), *cells).alias("column", "share"))
+    """(column, share, unread): how many of all non-null texts read as dates, and the number that do not; one pass, a null share
+    for a column without any."""
+    reads = [F.when(ref(c).isNotNull(), moment_from_text(ref(c)).isNotNull().cast("double")) for c in columns]
+    wide = df.agg(*[f.alias(f"{n}{i}") for i, x in enumerate(reads) for n, f in (("d", F.avg(x)), ("u", F.count(F.when(x == 0, 1))))])
+    cells = [x for i, c in enumerate(columns) for x in (F.lit(c), F.col(f"d{i}"), F.col(f"u{i}"))]
+    return wide.select(F.stack(F.lit(len(columns)), *cells).alias("column", "share", "unread"))
 
 
 def infer_types(df: DataFrame) -> DataFrame:

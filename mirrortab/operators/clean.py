@@ -125,12 +125,16 @@ def cast_booleans(df: DataFrame) -> DataFrame:
 
 def cast_dates(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Text columns that read as dates in more than nine known values of ten become timestamps; the rest of their cells become null."""
+    return cast_dates_counted(df, order_by)[0]
+
+
+def cast_dates_counted(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`cast_dates`, and the number of cells that did not read as dates and became null, for each column that has any."""
     texts = [c for c in text_columns(df) if c not in order_by]
     if not texts:
-        return df
-    likely = [r["column"] for r in date_shares(df, texts)
-              .where(F.col("share") > DATE_SHARE).collect()]
-    return _replaced(df, {c: moment_from_text(ref(c)) for c in likely})
+        return df, {}
+    likely = {r["column"]: r["unread"] for r in date_shares(df, texts).where(F.col("share") > DATE_SHARE).collect()}
+    return _replaced(df, {c: moment_from_text(ref(c)) for c in likely}), {c: n for c, n in likely.items() if n}
 
 
 def impute(df: DataFrame, order_by: str, columns: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, int]]:
@@ -164,12 +168,13 @@ def preprocess(df: DataFrame, approved: Sequence[str], order_by: str,
     distinct = cut_lineage(drop_duplicates(projected, order_by))
     rows_after = distinct.count()
     filled, counts = impute(distinct, order_by, names)
-    cleaned = cast_dates(cast_booleans(filled), [order_by])
+    cleaned, unread = cast_dates_counted(cast_booleans(filled), [order_by])
     excluded = [c for c in df.columns if c not in approved and c != order_by]
     summary = df.sparkSession.createDataFrame(
         [(rows_before, rows_after, rows_before - rows_after, [(c, counts[c]) for c in names if c in counts],
-          names, excluded)],
+          [(c, unread[c]) for c in names if c in unread], names, excluded)],
         "rows_before bigint, rows_after bigint, duplicates_removed bigint, "
         "missing_handled array<struct<column: string, missing: bigint>>, "
+        "unread_dates array<struct<column: string, cells: bigint>>, "
         "columns_included array<string>, columns_excluded array<string>")
     return cleaned.select([ref(c) for c in names]), summary

@@ -431,3 +431,10 @@ def test_csv_round_trip_with_missing_words(spark, tmp_path):
         stb.gate(df)
     with pytest.raises(stb.GateError):
         stb.read_table(spark, path, "xlsx")
+
+
+def test_preprocess_counts_cells_that_are_no_dates(spark):
+    rows = [(i, f"2024-01-{i % 28 + 1:02d}" if i % 20 else f"soon {i}", f"t{i}") for i in range(200)]
+    cleaned, summary = cn.preprocess(spark.createDataFrame(rows, "k bigint, day string, t string"), ["day", "t"], "k")
+    assert cleaned.where("day IS NULL").count() == 10
+    assert [tuple(x) for x in summary.first()["unread_dates"]] == [("day", 10)]

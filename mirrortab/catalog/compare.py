@@ -304,23 +304,24 @@ def label_encode(spark, folder):
 FEATURES = ["p_size", "p_retailprice", "p_brand"]
 
 
-def _sample_sql(side: int, where: str) -> str:
-    return (f"(SELECT {side} AS side, row_number() OVER (ORDER BY (p_partkey * 48271 + 12345) % 2147483647, p_partkey) - 1 AS idx, "
-            f"p_partkey, p_size, p_retailprice, p_brand FROM part WHERE {where} QUALIFY idx < 500)")
-
-
-NEAR_SQL = f"""both_sides AS ({_sample_sql(0, "p_type < 'M'")} UNION ALL {_sample_sql(1, "p_type >= 'M'")}),
-enc AS (SELECT side, idx, p_partkey, (p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()) AS a,
+NEAR_SQL = """both_sides AS (SELECT CASE WHEN p_type < 'M' THEN 0 ELSE 1 END AS side, p_partkey AS idx, p_size, p_retailprice, p_brand FROM part),
+enc AS (SELECT side, idx, (p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()) AS a,
   (p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()) AS b,
   (dense_rank() OVER (ORDER BY p_brand) - 1) / (SELECT count(DISTINCT p_brand) FROM both_sides) AS c FROM both_sides),
 dist AS (SELECT y.idx AS synth_idx, s.idx AS near_idx, sqrt((s.a - y.a) * (s.a - y.a) + (s.b - y.b) * (s.b - y.b) + (s.c - y.c) * (s.c - y.c)) AS d
   FROM enc y, enc s WHERE y.side = 1 AND s.side = 0),
-near AS (SELECT synth_idx, arg_min(near_idx, (d, near_idx)) AS nearest_source_idx, min(d) AS distance FROM dist GROUP BY synth_idx)"""
+near AS (SELECT synth_idx, arg_min(near_idx, (d, near_idx)) AS nearest_source_idx, min(d) AS distance FROM dist WHERE d < 0.05 GROUP BY synth_idx)"""
 
 
 def _encoded(spark, folder):
     a, b = part_sides(spark, folder)
-    return pv.encoded_samples(a, b, "p_partkey", FEATURES, score=linear_score, span=LINEAR_SPAN)
+    return pv.encoded_rows(a, b, "p_partkey", FEATURES)
+
+
+def _near(spark, folder):
+    """Encoded rows of both sides and the near points among them."""
+    encoded = _encoded(spark, folder)
+    return encoded.rows, pv.near_points(encoded.rows, pv.THRESHOLD, encoded.steps)
 
 
 @query("sample_n", f"""SELECT p_partkey, p_name FROM part ORDER BY (p_partkey * 48271 + 12345) % 2147483647, p_partkey LIMIT 500""")
@@ -331,20 +332,37 @@ def sample_n(spark, folder):
 
 @query("nearest_source", f"WITH {NEAR_SQL} SELECT synth_idx, nearest_source_idx, round(distance, 6) AS distance FROM near")
 def nearest_source(spark, folder):
-    return rounded(pv.nearest_source(_encoded(spark, folder)), 6)
+    return rounded(pv.near_rows(*_near(spark, folder)), 6)
 
 
-@query("near_duplicates", f"""WITH {NEAR_SQL} SELECT count(*) FILTER (distance < 0.05) AS sample_near_duplicates,
-  CAST(round_even(count(*) FILTER (distance < 0.05) * (SELECT count(*) FROM part WHERE p_type >= 'M') / count(*), 0) AS BIGINT) AS near_duplicates FROM near""")
+@query("near_duplicates", f"""WITH {NEAR_SQL} SELECT count(*) AS near_duplicates, count(DISTINCT (a, b, c)) AS near_points
+FROM near JOIN enc ON side = 1 AND idx = synth_idx""")
 def near_duplicates(spark, folder):
-    _, b = part_sides(spark, folder)
-    return pv.near_duplicates(pv.nearest_source(_encoded(spark, folder)), b.count())
+    return pv.near_counts(_near(spark, folder)[1])
 
 
 @query("near_duplicate_pairs", f"""WITH {NEAR_SQL} SELECT synth_idx, nearest_source_idx, round(distance, 4) AS distance FROM near
-WHERE distance < 0.05 ORDER BY synth_idx LIMIT 10""")
+ORDER BY synth_idx LIMIT 10""")
 def near_duplicate_pairs(spark, folder):
-    return pv.near_duplicate_pairs(pv.nearest_source(_encoded(spark, folder)))
+    return pv.near_duplicate_pairs(pv.near_rows(*_near(spark, folder)))
+
+
+def _sample_sql(side: int, where: str) -> str:
+    return (f"(SELECT {side} AS side, row_number() OVER (ORDER BY (p_partkey * 48271 + 12345) % 2147483647, p_partkey) - 1 AS idx, "
+            f"p_partkey, p_size, p_retailprice, p_brand FROM part WHERE {where} QUALIFY idx < 500)")
+
+
+#: The sampling option: 500 rows a side.
+SAMPLED_SQL = NEAR_SQL.replace(NEAR_SQL[:NEAR_SQL.index("enc AS")], f"""both_sides AS ({_sample_sql(0, "p_type < 'M'")} UNION ALL {_sample_sql(1, "p_type >= 'M'")}),
+""").replace(" WHERE d < 0.05", "")
+
+
+@query("near_duplicates_sampled", f"""WITH {SAMPLED_SQL} SELECT count(*) FILTER (distance < 0.05) AS sample_near_duplicates,
+  CAST(round_even(count(*) FILTER (distance < 0.05) * (SELECT count(*) FROM part WHERE p_type >= 'M') / count(*), 0) AS BIGINT) AS near_duplicates FROM near""")
+def near_duplicates_sampled(spark, folder):
+    a, b = part_sides(spark, folder)
+    encoded = pv.encoded_samples(a, b, "p_partkey", FEATURES, score=linear_score, span=LINEAR_SPAN)
+    return pv.near_duplicates(pv.nearest_source(encoded), b.count())
 
 
 @query("risk_level", """SELECT source, CASE WHEN n = 0 THEN 'Unknown' WHEN e / n > 0.01 OR f / n > 0.05 THEN 'High'
@@ -360,8 +378,7 @@ def risk_level(spark, folder):
 PRIVACY_SQL = f"""{NEAR_SQL},
 xd AS (SELECT count(*) AS exact_duplicates FROM (SELECT * FROM part WHERE p_type >= 'M') y WHERE EXISTS (SELECT 1 FROM part s
   WHERE s.p_type < 'M' AND s.p_size = y.p_size AND s.p_retailprice = y.p_retailprice AND s.p_brand = y.p_brand)),
-nd AS (SELECT CAST(round_even(count(*) FILTER (distance < 0.05) * (SELECT count(*) FROM part WHERE p_type >= 'M') / count(*), 0) AS BIGINT)
-  AS near_duplicates FROM near),
+nd AS (SELECT count(*) AS near_duplicates FROM near),
 tot AS (SELECT count(*) FILTER (p_type < 'M') AS ns, count(*) FILTER (p_type >= 'M') AS ny FROM part),
 pr AS (SELECT exact_duplicates, near_duplicates, ns, ny, CASE WHEN exact_duplicates / ny > 0.01 OR near_duplicates / ny > 0.05 THEN 'High'
   WHEN exact_duplicates / ny > 0.001 OR near_duplicates / ny > 0.02 THEN 'Medium' ELSE 'Low' END AS risk_level FROM xd, nd, tot)"""
@@ -369,14 +386,16 @@ pr AS (SELECT exact_duplicates, near_duplicates, ns, ny, CASE WHEN exact_duplica
 
 def privacy_of_parts(spark, folder):
     a, b = part_sides(spark, folder)
-    return compare.privacy(a, b, "p_partkey", FEATURES, score=linear_score, span=LINEAR_SPAN)[0]
+    return compare.privacy(a, b, "p_partkey", FEATURES)[0]
 
 
 @query("privacy_report", f"""WITH {PRIVACY_SQL} SELECT exact_duplicates, near_duplicates, risk_level,
   round(exact_duplicates / ny * 100, 4) AS exact_duplicate_rate_pct, round(near_duplicates / ny * 100, 4) AS near_duplicate_rate_pct,
-  0.05::DOUBLE AS near_duplicate_threshold, ns AS total_source_records, ny AS total_synthetic_records FROM pr""")
+  0.05::DOUBLE AS near_duplicate_threshold, 'all rows' AS near_duplicate_basis, ns AS total_source_records, ny AS total_synthetic_records,
+  CASE risk_level {" ".join(f"WHEN '{level}' THEN '{words}'" for level, words in pv.INTERPRETATIONS.items())} ELSE '' END AS risk_interpretation,
+  '{pv.DISCLAIMER}' AS disclaimer FROM pr""")
 def privacy_report(spark, folder):
-    return privacy_of_parts(spark, folder).drop("risk_interpretation", "disclaimer")
+    return privacy_of_parts(spark, folder)
 
 
 @query("report_long", f"""WITH {OVERALL_SQL}, {PRIVACY_SQL}
@@ -389,8 +408,8 @@ UNION ALL SELECT 'Categorical Stats', c, unnest(['tvd', 'similarity_score', 'chi
   unnest([tvd, similarity, round(x, 6), round(p, 6)]), NULL FROM cat
 UNION ALL SELECT 'Correlations', col_a || ' / ' || col_b, unnest(['source_correlation', 'synth_correlation', 'difference']),
   unnest([source_correlation, synth_correlation, difference]), NULL FROM co
-UNION ALL SELECT 'Privacy Checks', unnest(['Exact Duplicates', 'Near Duplicates (estimated)', 'Risk Level']), 'value', NULL,
-  unnest([CAST(exact_duplicates AS VARCHAR), CAST(near_duplicates AS VARCHAR), risk_level]) FROM pr""")
+UNION ALL SELECT 'Privacy Checks', unnest(['Exact Duplicates', 'Near Duplicates', 'Near Duplicates Basis', 'Risk Level']), 'value', NULL,
+  unnest([CAST(exact_duplicates AS VARCHAR), CAST(near_duplicates AS VARCHAR), 'all rows', risk_level]) FROM pr""")
 def report_long(spark, folder):
     a, b = ready_sides(spark, folder)
     v = compare.validate(a, b)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -10,6 +11,7 @@ from mirrortab.functions.draws import SPAN, bits
 from mirrortab.functions.values import as_number, is_number, missing_to_null, ref, type_of
 from mirrortab.operators.classify import common_columns
 from mirrortab.operators.frequency import medians
+from mirrortab.operators.neighbours import apart, near_points, near_rows
 from mirrortab.operators.ordering import BROADCAST_BYTES, BROADCAST_ROWS, bottom_k, cut_lineage, dense_index, skew_join
 
 THRESHOLD = 0.05
@@ -63,9 +65,9 @@ def _scaled(c: Column, fill, low, high) -> Column:
 
 def minmax_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The named columns scaled to [0, 1], missing values at the median; a constant column becomes 0."""
-    middle = medians(df, columns)
-    row = df.agg(*[f(as_number(df, c)).alias(f"{n}{i}") for i, c in enumerate(columns)
-                   for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[f(as_number(df, c)).alias(f"{n}{i}") for i, c in enumerate(columns)
+                                                    for n, f in (("lo", F.min), ("hi", F.max), ("known", F.count))]).first()
+    middle = medians(df, [c for i, c in enumerate(columns) if row[f"known{i}"] < row["rows"]])
     new = {c: _scaled(as_number(df, c), middle.get(c), row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
     return df.select([new[c].alias(c) if c in new else ref(c) for c in df.columns])
 
@@ -74,26 +76,83 @@ def _label(df: DataFrame, column: str) -> Column:
     return F.coalesce(missing_to_null(df, column).cast("string"), F.lit(MISSING))
 
 
-def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """(label, code): place of each distinct label in sorted order, over the number of labels."""
-    labels = dense_index(df.select(_label(df, column).alias("label")).distinct(), ["label"], "place")
-    size = labels.count()
-    return labels.select("label", (F.col("place") / F.lit(float(max(size, 1)))).alias("code"))
+def label_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, label, code, labels): place of each distinct label of a column in sorted order, over the number of its labels.
+
+    One dictionary for all columns: the distinct cells are numbered in the order of column and label, and a
+    column's first number is taken off. What is broadcast is one row per column.
+    """
+    cells = [x for c in columns for x in (F.lit(c), _label(df, c))]
+    seen = df.select(F.stack(F.lit(len(columns)), *cells).alias("column", "label")).distinct()
+    placed = dense_index(seen, ["column", "label"], "place")
+    extent = placed.groupBy("column").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("labels"))
+    code = (F.col("place") - F.col("first")) / F.col("labels").cast("double")
+    return placed.join(F.broadcast(extent), "column").select("column", "label", code.alias("code"), "labels")
 
 
 def label_encode(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
     """The named columns as label codes. Few labels are broadcast; many are joined, hot ones split."""
+    return _label_encoded(df, columns, key)[0]
+
+
+def _label_encoded(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`label_encode`, and the number of labels of each column."""
+    if not columns:
+        return df, {}
+    codes = label_codes(df, columns)
+    extents = {r["column"]: r for r in codes.groupBy("column").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("label")).alias("bytes")).collect()}
     out = df
     for c in columns:
-        codes = label_codes(df, c)
+        mine = codes.where(F.col("column") == c).select("label", "code")
         here = out.withColumn("label", _label(df, c))
-        extent = codes.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("label")).alias("bytes")).first()
-        if extent["rows"] <= BROADCAST_ROWS and (extent["bytes"] or 0) <= BROADCAST_BYTES:
-            joined = here.join(F.broadcast(codes), "label", "left")
+        extent = extents.get(c)
+        if extent is None or extent["rows"] <= BROADCAST_ROWS and (extent["bytes"] or 0) <= BROADCAST_BYTES:
+            joined = here.join(F.broadcast(mine), "label", "left")
         else:
-            joined = skew_join(here, codes, "label", F.struct(*[ref(k) for k in key]), how="left")
+            joined = skew_join(here, mine, "label", F.struct(*[ref(k) for k in key]), how="left")
         out = joined.select([F.col("code").alias(c) if n == c else ref(n) for n in out.columns])
-    return out
+    return out, {c: e["rows"] for c, e in extents.items()}
+
+
+@dataclass
+class Encoded:
+    """(side, idx, features) of all rows of two tables, side 0 the source; ``steps`` has the smallest gap between different values
+    of each feature where it is known."""
+    rows: DataFrame
+    steps: list[float | None]
+
+
+def encoded_rows(source: DataFrame, synthetic: DataFrame, key: str, columns: Sequence[str], independent: bool = False) -> Encoded:
+    """All rows of both tables as points; idx is the key.
+
+    Scales, medians and labels are fitted on both tables together, or per side when ``independent``.
+    """
+    numbers = [c for c in columns if is_number(type_of(source, c))]
+    texts = [c for c in columns if c not in numbers]
+    # Names of their own, so that no column of the tables can clash with side and idx.
+    names = {c: f"x{i}" for i, c in enumerate(columns)}
+
+    def side(df: DataFrame, which: int) -> DataFrame:
+        return df.select(F.lit(which).alias("side"), ref(key).alias("idx"),
+                         *[(as_number(df, c) if c in numbers else _label(df, c)).alias(names[c]) for c in columns])
+
+    both = cut_lineage(side(source, 0).unionByName(side(synthetic, 1)))
+    groups = [both.where("side = 0"), both.where("side = 1")] if independent else [both]
+    out, steps = None, {}
+    for rows in groups:
+        scaled = minmax_encode(rows, [names[c] for c in numbers]) if numbers else rows
+        coded, sizes = _label_encoded(scaled, [names[c] for c in texts], ["idx"])
+        if not independent:
+            steps = {n: 1.0 / k for n, k in sizes.items()}
+        points = coded.select("side", "idx", F.array(*[F.col(names[c]).cast("double") for c in columns]).alias("features"))
+        out = points if out is None else out.unionByName(points)
+    return Encoded(cut_lineage(out), [steps.get(names[c]) for c in columns])
+
+
+def near_counts(points: DataFrame) -> DataFrame:
+    """One row: synthetic rows near a source row, and the different points they lie at."""
+    return points.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("near_duplicates"), F.count(F.lit(1)).alias("near_points"))
 
 
 def sample_rows(df: DataFrame, key: str, size: int = SAMPLE, score: Column | None = None,
@@ -160,11 +219,7 @@ def nearest_source(encoded: DataFrame) -> DataFrame:
               .agg(F.collect_list(F.struct("idx", "features")).alias("points")))
     rows = encoded.where(F.col("side") == 1).select("idx", "features").withColumn("points", points.scalar())
 
-    def apart(point: Column) -> Column:
-        squares = F.zip_with(point["features"], F.col("features"), lambda a, b: (a - b) * (a - b))
-        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
-
-    best = F.array_min(F.transform("points", lambda p: F.struct(apart(p).alias("distance"), p["idx"].alias("at"))))
+    best = F.array_min(F.transform("points", lambda p: F.struct(apart(p["features"], F.col("features")).alias("distance"), p["idx"].alias("at"))))
     return (rows.select(F.col("idx").alias("synth_idx"), best.alias("best"))
             .select("synth_idx", F.col("best.at").alias("nearest_source_idx"), F.col("best.distance").alias("distance")))
 
@@ -190,8 +245,8 @@ def risk_level(exact: Column, near: Column, synthetic_rows: Column) -> Column:
             .when((exact_rate > 0.001) | (near_rate > 0.02), "Medium").otherwise("Low"))
 
 
-def privacy_report(exact: int, near: int, source_rows: int, synthetic_rows: int, spark) -> DataFrame:
-    """One row: counts, rates, risk level and its wording."""
+def privacy_report(exact: int, near: int, source_rows: int, synthetic_rows: int, spark, sampled: int | None = None) -> DataFrame:
+    """One row: counts, rates, risk level and its wording; ``sampled`` is the number of rows a side that near duplicates were looked for in, if not all."""
     counts = spark.createDataFrame(
         [(exact, near, source_rows, synthetic_rows)],
         "exact_duplicates bigint, near_duplicates bigint, total_source_records bigint, total_synthetic_records bigint")
@@ -205,6 +260,7 @@ def privacy_report(exact: int, near: int, source_rows: int, synthetic_rows: int,
     return counts.withColumn("risk_level", level).select(
         "exact_duplicates", "near_duplicates", "risk_level", rate("exact_duplicates").alias("exact_duplicate_rate_pct"),
         rate("near_duplicates").alias("near_duplicate_rate_pct"), F.lit(THRESHOLD).alias("near_duplicate_threshold"),
+        F.lit("all rows" if sampled is None else f"estimated from samples of {sampled} rows a side").alias("near_duplicate_basis"),
         "total_source_records", "total_synthetic_records",
         F.coalesce(F.try_element_at(words, F.col("risk_level")), F.lit("")).alias("risk_interpretation"),
         F.lit(DISCLAIMER).alias("disclaimer"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -20,6 +19,7 @@ from mirrortab.functions.draws import hash_index, normal, uniform
 from mirrortab.functions.maths import normal_cdf, normal_quantile
 from mirrortab.functions.values import as_number, doubles, is_number, missing_to_null, ref, type_of
 from mirrortab.operators.frequency import exact_quantiles, frequencies
+from mirrortab.operators.gram import pair_moments, raw_correlation
 from mirrortab.operators.ordering import add_bucket, cut_lineage, dense_index
 
 GRID = 256
@@ -33,6 +33,8 @@ MIN_ROWS_OUT = 100
 MIN_ROWS_IN = 50
 POOL_FACTOR = 3
 EDGE = 1e-6
+#: Smallest eigenvalue of a correlation matrix that is used.
+LEAST_EIGENVALUE = 1e-8
 
 
 def pool_size(n, factor: int = POOL_FACTOR):
@@ -211,43 +213,34 @@ def normal_scores(df: DataFrame, marginals: Sequence[Marginal]) -> DataFrame:
     return inner.select([normal_quantile(F.col(c)).alias(f"z{c[1:]}") for c in inner.columns])
 
 
-def score_correlation(scores: DataFrame, size: int, gaps: Sequence[int] = ()) -> np.ndarray:
-    """Correlation matrix of the normal scores from one aggregation of plain sums; 0 where undefined.
+def score_correlation(scores: DataFrame, size: int) -> np.ndarray:
+    """Correlation matrix of the normal scores from one scan; 0 where undefined. Scores are centred and scaled already."""
+    places = [int(c[1:]) for c in scores.columns]
+    matrix = np.eye(size)
+    if len(places) > 1:
+        found = raw_correlation(pair_moments(scores, [F.col(c) for c in scores.columns]), len(places))
+        matrix[np.ix_(places, places)] = found
+    return matrix
+
+
+def nearest_correlation(matrix: np.ndarray, floor: float = LEAST_EIGENVALUE) -> np.ndarray:
+    """The matrix itself where it is positive definite, else the one with its negative eigenvalues raised to ``floor`` and the diagonal scaled back to 1.
 
-    Scores are centred and scaled already, so products can be summed as they are. ``gaps`` names the
-    columns with missing values, whose sums of squares are taken pair by pair.
+    Correlations that are taken pair by pair over different rows need not fit together.
     """
-    names = scores.columns
-    squares = {c: F.sum(F.col(c) * F.col(c)).alias(f"s_{c}") for c in names}
-    aggs = list(squares.values())
-    pairs = list(combinations(names, 2))
-    for a, b in pairs:
-        aggs.append(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}"))
-        if int(b[1:]) in gaps:
-            aggs.append(F.sum(F.when(F.col(b).isNotNull(), F.col(a) * F.col(a))).alias(f"{a}_if_{b}"))
-        if int(a[1:]) in gaps:
-            aggs.append(F.sum(F.when(F.col(a).isNotNull(), F.col(b) * F.col(b))).alias(f"{b}_if_{a}"))
-    matrix = np.eye(size)
-    if not pairs:
+    values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
+    if values[0] >= floor:
         return matrix
-    row = scores.agg(*aggs).first().asDict()
-    for a, b in pairs:
-        product = row[f"{a}_{b}"]
-        va, vb = row.get(f"{a}_if_{b}", row[f"s_{a}"]), row.get(f"{b}_if_{a}", row[f"s_{b}"])
-        if product is not None and va and vb:
-            i, j = int(a[1:]), int(b[1:])
-            matrix[i, j] = matrix[j, i] = max(-1.0, min(1.0, product / float(np.sqrt(va * vb))))
-    return matrix
+    raised = (vectors * np.maximum(values, floor)) @ vectors.T
+    scale = np.sqrt(np.diag(raised))
+    return raised / np.outer(scale, scale)
 
 
 def mixing_matrix(correlation: np.ndarray) -> np.ndarray | None:
-    """Cholesky factor, after shrinking towards independence as far as needed; None if nothing helps."""
-    for keep in (1.0, 0.99, 0.95, 0.9, 0.75, 0.5):
-        try:
-            return np.linalg.cholesky(keep * correlation + (1 - keep) * np.eye(len(correlation)))
-        except np.linalg.LinAlgError:
-            continue
-    return None
+    """Cholesky factor of the nearest correlation matrix; None where the matrix holds numbers that are not finite."""
+    if not np.isfinite(correlation).all():
+        return None
+    return np.linalg.cholesky(nearest_correlation(correlation))
 
 
 def fit(df: DataFrame, model: str = DEFAULT_MODEL, seed: int = 42) -> Model:
@@ -261,8 +254,7 @@ def fit(df: DataFrame, model: str = DEFAULT_MODEL, seed: int = 42) -> Model:
         return Model("bootstrap", marginals, np.eye(size), df, seed)
     mixing = np.eye(size)
     if model == "gaussian_copula":
-        gaps = [i for i, m in enumerate(marginals) if m.null_share > 0]
-        found = mixing_matrix(score_correlation(normal_scores(df, marginals), size, gaps))
+        found = mixing_matrix(score_correlation(normal_scores(df, marginals), size))
         model, mixing = ("independent", mixing) if found is None else (model, found)
     return Model(model, marginals, mixing, df, seed)
 

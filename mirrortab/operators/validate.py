@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mirrortab.functions.maths import chi2_pvalue, ks_pvalue
 from mirrortab.functions.values import as_number, is_number, missing_to_null, type_of
 from mirrortab.operators.frequency import pair_frequencies, quantile_of, ranked_values
+from mirrortab.operators.gram import pair_correlations, pair_moments
 
 KS_CAP = 2
 KS_ALPHA = 0.05
 NUMERIC_SHARE = 0.9
-PAIRS_PER_PASS = 300
 
 
 def readable_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -132,49 +131,28 @@ def categorical_comparison(counts: DataFrame) -> DataFrame:
         F.round(tvd, 4).alias("tvd"), F.round(similarity, 2).alias("similarity_score"))
 
 
-def correlations(source: DataFrame, synthetic: DataFrame, columns: Sequence[str],
-                 complete: Collection[str] = ()) -> DataFrame:
-    """(pair, col_a, col_b, source_correlation, synth_correlation, difference), pairwise complete.
-
-    ``complete`` names columns known to have a number in every row of both sides; pairs of those share
-    one standard deviation per column, so each costs a single aggregate.
-    """
-    pairs = list(enumerate(combinations(columns, 2)))
+def correlations(source: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(pair, col_a, col_b, source_correlation, synth_correlation, difference), pairwise complete, both tables in one scan."""
+    spark = source.sparkSession
+    if len(columns) < 2:
+        return spark.createDataFrame(
+            [], "pair int, col_a string, col_b string, source_correlation double, synth_correlation double, difference double")
     names = {c: f"c{i}" for i, c in enumerate(columns)}
 
     def numbers(df: DataFrame, which: int) -> DataFrame:
         return df.select(F.lit(which).alias("side"), *[as_number(df, c).alias(names[c]) for c in columns])
 
     both = numbers(source, 0).unionByName(numbers(synthetic, 1))
-    wide = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        single = {c for _, ab in chunk for c in ab if c in complete}
-        aggs = [F.stddev_samp(names[c]).alias(f"s_{names[c]}") for c in columns if c in single]
-        cells = []
-        for i, (a, b) in chunk:
-            x, y = F.col(names[a]), F.col(names[b])
-            aggs.append(F.covar_samp(x, y).alias(f"v{i}"))
-            if a in complete and b in complete:
-                scale = F.col(f"s_{names[a]}") * F.col(f"s_{names[b]}")
-            else:
-                aggs += [F.stddev_samp(F.when(y.isNotNull(), x)).alias(f"x{i}"),
-                         F.stddev_samp(F.when(x.isNotNull(), y)).alias(f"y{i}")]
-                scale = F.col(f"x{i}") * F.col(f"y{i}")
-            cells.append(F.struct(F.lit(i).alias("pair"), F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                  F.try_divide(F.col(f"v{i}"), scale).alias("r")))
-        wide.append(both.groupBy("side").agg(*aggs).select("side", F.inline(F.array(*cells))))
-    if not wide:
-        return source.sparkSession.createDataFrame(
-            [], "pair int, col_a string, col_b string, source_correlation double, synth_correlation double, difference double")
-    long = wide[0]
-    for part in wide[1:]:
-        long = long.unionByName(part)
+    pairs = pair_correlations(pair_moments(both, [F.col(n) for n in names.values()], F.col("side")))
     r = F.when(~F.isnan("r"), F.col("r"))
-    sides = long.groupBy("pair", "col_a", "col_b").agg(
+    sides = pairs.groupBy("i", "j").agg(
         F.max(F.when(F.col("side") == 0, r)).alias("a"), F.max(F.when(F.col("side") == 1, r)).alias("b"))
+    # The place of a pair among all pairs in the order of the columns.
+    i, j, k = F.col("i"), F.col("j"), len(columns)
+    pair = F.expr(f"cast(i * {k} - i * (i + 1) div 2 as int)") + j - i - 1
+    name = F.array(*[F.lit(c) for c in columns])
     return sides.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(
-        "pair", "col_a", "col_b", F.round("a", 4).alias("source_correlation"),
+        pair.cast("int").alias("pair"), name[i].alias("col_a"), name[j].alias("col_b"), F.round("a", 4).alias("source_correlation"),
         F.round("b", 4).alias("synth_correlation"), F.round(F.abs(F.col("a") - F.col("b")), 4).alias("difference"))
 
 

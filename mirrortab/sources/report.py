@@ -19,9 +19,10 @@ def summary_section(overall: DataFrame) -> DataFrame:
 def privacy_section(privacy: DataFrame) -> DataFrame:
     """(check, value) rows."""
     cells = [F.lit("Exact Duplicates"), F.col("exact_duplicates").cast("string"),
-             F.lit("Near Duplicates (estimated)"), F.col("near_duplicates").cast("string"),
+             F.lit("Near Duplicates"), F.col("near_duplicates").cast("string"),
+             F.lit("Near Duplicates Basis"), F.col("near_duplicate_basis"),
              F.lit("Risk Level"), F.col("risk_level"), F.lit("Disclaimer"), F.col("disclaimer")]
-    return privacy.select(F.stack(F.lit(4), *cells).alias("check", "value"))
+    return privacy.select(F.stack(F.lit(5), *cells).alias("check", "value"))
 
 
 def sections(numeric: DataFrame, categorical: DataFrame, corr: DataFrame, overall: DataFrame,

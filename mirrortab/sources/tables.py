@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from mirrortab.functions.values import na_words_to_null, number_from_text, ref
 from mirrortab.operators.view import chosen_columns
+from mirrortab.sources.splitting import read_csv
 
 MIN_ROWS_UPLOAD = 10
 MIN_ROWS_MODEL = 50
@@ -30,8 +31,8 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Struc
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt != "csv":
         return reader.format(fmt).load(path)
-    # Cells may hold line ends and doubled quotes.
-    rows = na_words_to_null(reader.options(**CSV).option("multiLine", True).csv(path))
+    # Cells may hold line ends and doubled quotes; a file is split among tasks all the same.
+    rows = na_words_to_null(read_csv(spark, path, CSV, schema))
     return rows if schema is not None else typed(rows)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from mirrortab.operators.ordering import cut_lineage
+from mirrortab.operators.ordering import BROADCAST_ROWS, cut_lineage
 
 _CELLS = r"""(?:[^",][^,]*+,|,|"(?:[^"]++|"")*+"[^,]*+,)*+"""
 _INSIDE = r"""(?:[^"]++|"")*+"""
@@ -82,14 +82,16 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 def header_free(found: DataFrame) -> DataFrame:
     """All records but the first of each file."""
-    firsts = found.groupBy("file").agg(F.min(F.struct("block", "at")).alias("head"))
-    return found.join(firsts, "file").where((F.col("block") != F.col("head.block")) | (F.col("at") != F.col("head.at")))
+    firsts = cut_lineage(found.groupBy("file").agg(F.min(F.struct("block", "at")).alias("head")))
+    # One row per file: broadcast as long as files are few, so that rows need not move.
+    heads = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
+    return found.join(heads, "file").where((F.col("block") != F.col("head.block")) | (F.col("at") != F.col("head.at")))
 
 
 def read_csv(spark: SparkSession, path: str, options: dict, schema: T.StructType | str | None = None) -> DataFrame:
     """Rows of CSV files with a header, cells as text unless there is a schema.
 
-    Rows come in no particular order where cells hold line ends. A record is parsed in one piece, however many lines it has.
+    Rows come in the order of the files, but in no particular order where cells hold line ends. A record is parsed in one piece, however many lines it has.
     """
     named = spark.read.options(**options).option("multiLine", True)
     names = (named if schema is None else named.schema(schema)).csv(path).schema

@@ -13,6 +13,9 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+
+from mirrortab.llm.tables import held
 
 #: Before a space that stands between two visible characters (``\\w`` and ASCII signs are never white space), or after a letter.
 SAFE_CUT = re.compile(r"(?<=[!-~\w])(?= [!-~\w])|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[,.;:!?])")
@@ -21,10 +24,21 @@ PLAIN_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)")
 #: What Python takes for white space beyond the six blanks of ASCII, in the first 256 code points.
 ODD_BLANKS = bytes([0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0])
 KEPT_PIECES = 500_000
+#: Runs of letters and of signs whose ids are kept, where texts are lower-cased and lose their white space.
+KEPT_RUNS = 1_000_000
 KEPT_LENGTH = 64
 CALL_BYTES = 65_536
 
 
+#: Kinds of the first 256 code points: blanks, letters, signs and digits that no token joins with letters, and the rest.
+BLANK, LETTER, SIGN, REST = range(4)
+KINDS = np.full(256, REST, np.uint8)
+KINDS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = BLANK
+KINDS[0x61:0x7B] = KINDS[0xDF:0xF7] = KINDS[0xF8:0x100] = LETTER
+KINDS[0x21:0x41] = KINDS[0x5B:0x61] = KINDS[0x7B:0x7F] = SIGN
+KINDS[0x27] = REST  # an apostrophe can begin a token of letters
+
+
 def drops_spaces(config: dict) -> bool:
     """Whether texts are lower-cased and split into runs of letters, single digits and runs of signs, white space dropped."""
     first = ((config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
@@ -75,7 +89,7 @@ class Pieces:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.value, self.known = value, {}
+        self.value, self.known, self.runs = value, {}, {}
 
     def _parts(self, text: str) -> list[str]:
         if not self.safe:
@@ -91,6 +105,78 @@ class Pieces:
                 return low.split()
         return SAFE_CUT.split(text) if text else []
 
+    def _plain(self, text: str) -> bytes | None:
+        """The lower-cased text in Latin-1, where case and white space make no difference to this kind of vocabulary; else None."""
+        low = text.lower()
+        try:
+            raw = low.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        odd = len(raw.translate(None, ODD_BLANKS)) < len(raw) or any(a in low for a in self.added)
+        # A letter whose lower case is one of these, but that is none itself, is left to the library.
+        return None if odd or len(low) != len(text) or not _is_latin(text) else raw
+
+    def ids(self, texts: list[str], dtype: str) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list = [None] * len(texts)
+        plain = [(i, raw) for i, t in enumerate(texts) if self.lowered and self.direct and (raw := self._plain(t)) is not None]
+        if plain:
+            for (i, _), found in zip(plain, self._runs([raw for _, raw in plain], dtype)):
+                out[i] = found
+        rest = [i for i, found in enumerate(out) if found is None]
+        if rest:
+            values, counts = self.values([texts[i] for i in rest])
+            ends = np.cumsum(counts)
+            for i, end, n in zip(rest, ends.tolist(), counts.tolist()):
+                out[i] = np.frombuffer(b"".join(values[end - n:end]), dtype)
+        return out
+
+    def _runs(self, texts: list[bytes], dtype: str) -> list[np.ndarray]:
+        """Ids of lower-cased Latin-1 texts: runs of letters and of signs are found on whole arrays, each different one is encoded once,
+        and the ids of all are gathered by place."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.cumsum([0, *map(len, texts)])
+        kind = KINDS[data]
+        inside = kind != BLANK
+        fresh = np.ones(len(data), bool)
+        fresh[1:] = ~inside[:-1]
+        fresh[offsets[:-1][offsets[:-1] < len(data)]] = True
+        words = np.flatnonzero(fresh & inside)
+        # A word with anything but letters and signs stays whole.
+        odd = np.add.reduceat(kind == REST, words, dtype=np.int64) > 0 if len(words) else np.zeros(0, bool)
+        number = np.cumsum(fresh & inside, dtype=np.int32) - 1
+        turns = np.zeros(len(data), bool)
+        turns[1:] = kind[1:] != kind[:-1]
+        starts = np.flatnonzero(inside & (fresh | turns & ~odd[np.maximum(number, 0)])) if len(words) else words
+        place = np.cumsum(inside, dtype=np.int32) - inside  # among the bytes that are not blank
+        cuts = np.append(place[starts], inside.sum()).astype(np.int32)
+        spans = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data[inside].tobytes())])
+        coded = spans.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.runs) > KEPT_RUNS:
+            self.runs.clear()
+        found = list(map(self.runs.get, distinct))
+        missing = [i for i, v in enumerate(found) if v is None]
+        merged, value = self.model.tokenize, self.value
+        for i in missing:
+            # Letters of ASCII are what the merges have for them.
+            if distinct[i].isalpha():
+                found[i] = value([t.id for t in merged(distinct[i].decode("ascii"))])
+        others = {i: distinct[i].decode("latin-1") for i in missing if found[i] is None}
+        fresh_ids = self._encode(list(others.values()))
+        for i, run in others.items():
+            found[i] = fresh_ids[run]
+        self.runs.update((distinct[i], found[i]) for i in missing if len(distinct[i]) <= KEPT_LENGTH)
+        ids = np.frombuffer(b"".join(found), dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // ids.itemsize
+        begins = np.cumsum(sizes) - sizes
+        at = np.asarray(coded.indices)
+        n = sizes[at]
+        ends = np.cumsum(n)
+        out = ids[np.repeat(begins[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
+        return [out[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
     def _merged(self, word: str) -> list[int]:
         return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LETTERS))]
 
@@ -133,11 +219,14 @@ class Pieces:
         return found, counts
 
 
-_loaded: dict[tuple[str, str], Pieces] = {}
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def loaded(path: str, kind: str, value) -> Pieces:
     """One per worker process."""
-    if (path, kind) not in _loaded:
-        _loaded[path, kind] = Pieces(path, value)
-    return _loaded[path, kind]
+    return held(("pieces", path, kind), lambda: Pieces(path, value))

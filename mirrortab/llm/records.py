@@ -36,6 +36,9 @@ END_ID = 2
 #: A file is closed at about this size and the next one begun.
 FILE_BYTES = 256_000_000
 
+#: Bytes of text that are encoded together.
+ENCODED_BYTES = 4_000_000
+
 MANIFEST = "part int, piece int, data string, offsets string, keys string, width int, docs bigint, tokens bigint"
 
 
@@ -65,13 +68,8 @@ def unframed(stream) -> bytes | None:
 def payloads(path: str, texts: list[str], end_id: int | None) -> tuple[list[bytes], int]:
     """Ids of each text with the end id, and their width in bytes."""
     width = _width(path)
-    values, counts = loaded(path, f"u{width}", _packed(width)).values(texts)
     last = b"" if end_id is None else int(end_id).to_bytes(width, "little")
-    out, begin = [], 0
-    for n in counts.tolist():
-        out.append(b"".join(values[begin:begin + n]) + last)
-        begin += n
-    return out, width
+    return [ids.tobytes() + last for ids in loaded(path, f"u{width}", _packed(width)).ids(texts, f"<u{width}")], width
 
 
 def _packed(width: int):
@@ -86,8 +84,13 @@ def _packed(width: int):
     return pack
 
 
+_widths: dict[str, int] = {}
+
+
 def _width(path: str) -> int:
-    return 2 if loaded(path, "size", len).vocabulary <= 1 << 16 else 4
+    if path not in _widths:
+        _widths[path] = 2 if loaded(path, "u2", _packed(2)).vocabulary <= 1 << 16 else 4
+    return _widths[path]
 
 
 def write_records(df: DataFrame, key: str, text: str, path: str, folder: str, end_id: int | None = END_ID,
@@ -103,7 +106,7 @@ def write_records(df: DataFrame, key: str, text: str, path: str, folder: str, en
     def run(batches):
         part, piece, out = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            for chunk in balanced(batch, "text"):
+            for chunk in balanced(batch, "text", ENCODED_BYTES):
                 ids, width = payloads(path, chunk.column("text").to_pylist(), end_id)
                 for k, payload in zip(chunk.column("key").to_pylist(), ids):
                     if out is None:

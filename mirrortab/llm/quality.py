@@ -21,9 +21,8 @@ from mirrortab.llm.scratch import by_verdict, saved
 WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent
-#: A line is above the limits in more than ``LINE_DOCS`` documents of a host that are also over ``LINE_SHARE`` of its documents.
+#: A line is above the limit in more than so many different documents of a host, whatever the size of the host.
 LINE_DOCS = 20
-LINE_SHARE = 0.1
 #: A document is depleted with fewer words left than ``LEAST_WORDS``, or over this share of them removed.
 MOST_REMOVED = 0.8
 
@@ -113,16 +112,15 @@ def measured(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return body.mapInArrow(run, f"key {kind}, host string, digest bigint, {MEASURES}")
 
 
-def common_lines(rows: DataFrame, docs: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """(host, h) of the lines above the limits; documents with equal texts count once."""
+def common_lines(rows: DataFrame, docs: int = LINE_DOCS) -> DataFrame:
+    """(host, h) of the lines above the limit; documents with equal texts count once."""
     once = rows.select("host", "digest", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     spread = once.groupBy("host", "h", "digest").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("one").alias("n"))
-    sizes = rows.groupBy("host", "digest").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("docs"))
-    return (spread.where(F.col("n") > docs).join(sizes, "host").where(F.col("n") > F.col("docs") * share).select("host", "h"))
+    return spread.where(F.col("n") > docs).select("host", "h")
 
 
 def verdicts(df: DataFrame, key: str, text: str, host: str, least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEATED,
-             line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:
+             line_docs: int = LINE_DOCS, most_removed: float = MOST_REMOVED) -> DataFrame:
     """One row per row of ``df``: key, digest of the text (its xxhash64), the base counts, the
     hashes of its removed lines and the words in them, base_failed, kept.
 
@@ -132,7 +130,7 @@ def verdicts(df: DataFrame, key: str, text: str, host: str, least_words: int = L
     gives an empty one; other columns are not read.
     """
     rows = saved(measured(df, key, text, host).withColumn("uid", F.monotonically_increasing_id()), "quality")
-    common = common_lines(rows, line_docs, line_share)
+    common = common_lines(rows, line_docs)
     lines = rows.select("uid", "host", F.explode("lines").alias("line")).select("uid", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
     removed = lines.join(common, ["host", "h"]).groupBy("uid").agg(
         F.sum("w").alias("n_removed_words"), F.collect_set("h").alias("removed"))
@@ -180,9 +178,7 @@ grams AS (SELECT doc_id, i, string_agg(word, ' ') OVER g AS gram, count(*) OVER
   WINDOW g AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
 twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM grams WHERE n = {WINDOW}),
 rep AS (SELECT doc_id, count(DISTINCT i + s.s) AS n_repeat_words FROM twice, (SELECT unnest(range({WINDOW})) AS s) s WHERE c > 1 GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT coalesce(text, '')) AS docs FROM d GROUP BY host),
-common AS (SELECT l.host, k FROM (SELECT host, k, count(DISTINCT text) AS n FROM lines GROUP BY host, k) l JOIN hosts USING (host)
-  WHERE n > {LINE_DOCS} AND n > docs * {LINE_SHARE}),
+common AS (SELECT host, k FROM lines GROUP BY host, k HAVING count(DISTINCT text) > {LINE_DOCS}),
 removed AS (SELECT doc_id, CAST(sum(w) AS BIGINT) AS n_removed_words FROM lines JOIN common USING (host, k) GROUP BY doc_id),
 facts AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   coalesce(n_removed_words, 0) AS gone FROM base LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN removed USING (doc_id))

@@ -3,7 +3,8 @@
 For each language a suffix automaton of labelled text is built. A text is parsed greedily into phrases, each the
 longest match that the automaton yields; few phrases mean that the text looks like the language. With c phrases over
 n letters and blanks, and m characters learned, a language costs c * log2(m) / n bits per character, and the cheapest
-one wins. Whole texts are parsed, in lanes of ``LANE`` characters that advance together as one NumPy array.
+one wins. Whole texts are parsed, in lanes of ``LANE`` characters that advance together as one NumPy array; a phrase ends with
+its lane, so a text has at most one phrase more per ``LANE`` characters than an unbroken parse.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mirrortab.llm.arrays import balanced
 from mirrortab.llm.registry import query, table
+from mirrortab.llm.tables import held
 
 UNKNOWN = "und"
 LANE = 1024
-#: Bounds of what is learned: languages (those with most rows), rows per language, characters of a row, characters of all languages together.
+#: Bounds of the labelled sample: languages (those with most rows), rows per language, characters of a row, characters of all languages together.
 MOST_LABELS = 256
 SAMPLE_ROWS = 64
 ROW_CHARS = 4096
@@ -42,10 +44,11 @@ def fold(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % FOLDS
 
 
-def learned_rows(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS) -> list[tuple[str, str]]:
+def learned_rows(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS,
+                 labels: int = MOST_LABELS) -> list[tuple[str, str]]:
     """(label, text) of at most ``rows`` different texts per label, those with the smallest hashes of the text.
 
-    At most ``MOST_LABELS`` labels are learned, those with most rows. Only hashes are ranked; the texts of the chosen ones are then fetched, cut to ``row_chars`` characters.
+    At most ``labels`` labels are learned, those with most rows. Only hashes are ranked; the texts of the chosen ones are then fetched, cut to ``row_chars`` characters.
     Rows without a label or without a text teach nothing.
     """
     from pyspark.sql import Window
@@ -56,7 +59,7 @@ def learned_rows(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS,
     within = F.row_number().over(Window.partitionBy("label", "part").orderBy("h"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
     copies = known.groupBy("label", "h").agg(F.count(F.lit(1)).alias("copies"))
-    common = copies.groupBy("label").agg(F.sum("copies").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LABELS)
+    common = copies.groupBy("label").agg(F.sum("copies").alias("n")).orderBy(F.desc("n"), "label").limit(labels)
     firsts = copies.select("label", "h", part).withColumn("rank", within).where(F.col("rank") <= rows).join(F.broadcast(common.select("label")), "label")
     cut = firsts.withColumn("rank", rank).where(F.col("rank") <= rows).groupBy("label").agg(F.max("h").alias("cut"))
     cuts = {r["label"]: r["cut"] for r in cut.collect()}
@@ -69,9 +72,18 @@ def learned_rows(df: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS,
 
 
 class Automaton:
-    """Suffix automaton of a code sequence as one flat transition table; state 0 is none, state 1 the root."""
+    """Suffix automaton of a code sequence; state 0 is none, state 1 the root.
 
-    def __init__(self, codes: list[int], symbols: int):
+    Most states have one transition, which is kept as its symbol and target; only the others have a row in a table, as
+    wide as the alphabet of the sequence itself.
+    """
+
+    def __init__(self, codes: np.ndarray, symbols: int):
+        alphabet, codes = np.unique(codes, return_inverse=True)
+        #: The sequence's own number of each symbol, one more than it has for symbols it lacks.
+        self.own = np.full(symbols, len(alphabet), np.int32)
+        self.own[alphabet] = np.arange(len(alphabet))
+        codes, symbols = codes.tolist(), len(alphabet) + 1
         following, link, length = [{}, {}], [0, 0], [0, 0]
         last = 1
         for c in codes:
@@ -97,13 +109,23 @@ class Automaton:
                         p = link[p]
                     link[q] = link[now] = twin
             last = now
-        table = np.zeros((len(following), symbols), np.int32)
+        self.symbols = symbols
+        self.only, self.only_to, self.row = np.full(len(following), -1, np.int32), np.zeros(len(following), np.int32), np.zeros(len(following), np.int32)
+        several = [s for s, moves in enumerate(following) if len(moves) > 1]
+        table = np.zeros((len(several) + 1, symbols), np.int32)
+        for r, s in enumerate(several, 1):
+            self.row[s] = r * symbols
+            table[r, list(following[s].keys())] = list(following[s].values())
         for s, moves in enumerate(following):
-            for c, to in moves.items():
-                table[s, c] = to
-        self.symbols, self.table = symbols, table.reshape(-1)
+            if len(moves) == 1:
+                self.only[s], self.only_to[s] = next(iter(moves.items()))
+        self.table = table.reshape(-1)
         # Where no phrase goes on, one begins with the character; one never seen leads to state 0, where none goes on.
-        self.fresh = table[1].copy()
+        self.fresh = np.zeros(symbols, np.int32)
+        self.fresh[list(following[1].keys())] = list(following[1].values())
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.only, self.only_to, self.row, self.table, self.own))
 
     def phrases(self, columns: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Phrases of each lane; ``columns[j]`` holds character j of all lanes, of which the first ``live[j]`` have one."""
@@ -113,8 +135,8 @@ class Automaton:
             n = live[j]
             if not n:
                 break
-            c = columns[j, :n]
-            to = self.table[state[:n] * self.symbols + c]
+            c, s = self.own[columns[j, :n]], state[:n]
+            to = np.where(self.only[s] == c, self.only_to[s], self.table[self.row[s] + c])
             begins = to == 0
             count[:n] += begins
             state[:n] = np.where(begins, self.fresh[c], to)
@@ -134,8 +156,9 @@ class CrossParser:
             for ch in t.lower():
                 if ch.isalpha():
                     seen[ch] = seen.get(ch, 0) + 1
-        known = sorted(seen, key=lambda ch: (-seen[ch], ch))[:253]
-        self.codes = np.where(letters(), np.uint8(len(known) + 1), np.uint8(0))
+        known = sorted(seen, key=lambda ch: (-seen[ch], ch))
+        kind = np.min_scalar_type(len(known) + 1)
+        self.codes = np.where(letters(), len(known) + 1, 0).astype(kind)
         for i, ch in enumerate(known):
             self.codes[ord(ch)] = i + 1
         self.symbols = len(known) + 2
@@ -143,7 +166,7 @@ class CrossParser:
         self.automata, self.cost = [], []
         for label in self.labels:
             joined = np.concatenate([np.append(self.coded(t), 0) for t in texts[label]])[:share]
-            self.automata.append(Automaton(joined.tolist(), self.symbols))
+            self.automata.append(Automaton(joined, self.symbols))
             self.cost.append(np.log2(max(2, len(joined))))
 
     def coded(self, text: str) -> np.ndarray:
@@ -179,7 +202,7 @@ class CrossParser:
         lane_doc, begin, size = lane_doc[order], begin[order], size[order]
         width = int(size.max())
         live = np.searchsorted(-size, -np.arange(width), side="left")
-        padded = np.concatenate([codes, np.zeros(width, np.uint8)])
+        padded = np.concatenate([codes, np.zeros(width, codes.dtype)])
         columns = padded[begin[None, :] + np.arange(width)[:, None]].astype(np.int32)
         bits = np.empty((len(self.labels), docs))
         for k, automaton in enumerate(self.automata):
@@ -194,16 +217,9 @@ class CrossParser:
         return names, np.where(with_letter, score, 0.0)
 
 
-_parsers: dict[int, tuple[list, CrossParser]] = {}
-
-
 def _parser(sample: list[tuple[str, str]], total_chars: int) -> CrossParser:
     """One per worker process."""
-    key = hash((tuple(sample), total_chars))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(sample, total_chars)
-    return _parsers[key]
+    return held(("language", hash((tuple(sample), total_chars))), lambda: CrossParser(sample, total_chars))
 
 
 def predict(df: DataFrame, text: str, sample: list[tuple[str, str]], total_chars: int = TOTAL_CHARS,

@@ -101,6 +101,36 @@ def test_automaton_phrases_are_longest_matches():
     assert automaton.phrases(columns, np.ones(len(text), int)).tolist() == [phrases]
 
 
+def phrases_by_hand(text, learned):
+    count, begin = 0, 0
+    while begin < len(text):
+        end = begin + 1
+        while end < len(text) and text[begin:end + 1] in learned:
+            end += 1
+        count, begin = count + 1, end
+    return count
+
+
+def test_predictions_by_hand():
+    """Whole predictions of short texts, with alphabets of thousands of letters, by substring search."""
+    import re
+    r = random.Random(11)
+    spans = {"aa": (0x61, 26), "bb": (0x430, 32), "cc": (0x4E00, 3000), "dd": (0xAC00, 2000)}
+    write = lambda k, n: "".join(chr(spans[k][0] + min(r.randrange(spans[k][1]), r.randrange(spans[k][1]))) + r.choice(["", "", " ", "!  "]) for _ in range(n))
+    sample = [(k, write(k, 400)) for k in spans for _ in range(3)] + [("aa", write("bb", 60))]
+    parser = language.CrossParser(sample)
+    assert sum(a.nbytes() for a in parser.automata) < 3_000_000
+    plain = lambda t: re.sub(r"[\W\d_]+", " ", t.lower())
+    learned = {k: "".join(plain(t) + " " for kk, t in sample if kk == k) for k in spans}
+    texts = [write(r.choice(list(spans)), r.randint(1, 200)) + write(r.choice(list(spans)), r.randint(0, 80)) for _ in range(60)]
+    labels, scores = parser.judge(texts)
+    for t, label, score in zip(texts, labels, scores.tolist()):
+        p = plain(t)
+        bits = {k: phrases_by_hand(p, learned[k]) * np.log2(len(learned[k])) / len(p) for k in spans}
+        ranked = sorted(bits, key=lambda k: (bits[k], k))
+        assert label == ranked[0] and abs(score - (1 - bits[ranked[0]] / bits[ranked[1]])) < 1e-3
+
+
 def test_language_of_odd_texts(spark):
     sample = [("en", "the cat and the dog ran over the hill and the river "), ("de", "der hund und die katze liefen schnell zur schönen brücke ")]
     rows = [(1, "the dog and the cat"), (2, "die schöne katze"), (3, None), (4, ""), (5, "123 !!"), (6, "the river " * 20000), (1, "the dog and the cat")]

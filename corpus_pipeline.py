@@ -26,8 +26,11 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a language: not ``und``, and not torn between two."""
     ship(spark)
-    judged = language.predict(docs, "text", language.learn(docs), prediction="_language", score="_lead")
-    return judged.where((F.col("_language") != language.UNKNOWN) & (F.col("_lead") >= LEAST_LEAD)).select(*docs.columns)
+    # Names that no column has, whatever else the table holds.
+    free = "_" * (1 + max(len(c) for c in docs.columns))
+    judged = language.predict(docs, "text", language.learn(docs), prediction=f"{free}language", score=f"{free}lead")
+    sure = (F.col(f"{free}language") != language.UNKNOWN) & (F.col(f"{free}lead") >= LEAST_LEAD)
+    return judged.where(sure).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,24 +6,26 @@ registers of a band meet in a bucket; candidates whose estimated similarity, cor
 reach the threshold go, and the rest are confirmed by intersecting the full sets.
 
 Only links that can still change the components are looked for. First every class meets the smallest class it shares
-a bucket with. Afterwards, in buckets that still hold several components, classes outside the largest one meet single
-classes of it once, and then the classes of all other components, a growing number of them at a time, until each bucket is one
-component or all its pairs across components have been compared or ruled out by size or by shingles that nothing else has. A group
-of copies above the threshold costs rows in proportion to its size; one of texts just below it, which share buckets but no
-links, costs its pairs. No link between components is left out.
+a bucket with. Then the buckets that still hold several components are compared as a whole, by matrix products: a block of classes is one
+table of registers, whose estimates say which pairs across components are worth it, and one incidence matrix of the shingles that
+several of them have, whose product counts the intersections exactly. Large buckets are cut into tiles, of which a task gets two at a time, those of the
+largest component with those outside it only, and a block hands on
+only as many links as join components. So a group of copies above the threshold costs rows in proportion to its size; one of texts
+just below it, which share buckets but no links, costs its products, but no rows. No link between components is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from mirrortab.llm.arrays import LOWER, SPACES, U64, as_long, balanced, flat, mix, windows, word_hashes, words
 from mirrortab.llm.components import components
 from mirrortab.llm.decontaminate import bitmap, flagged
 from mirrortab.llm.registry import query, table
 from mirrortab.llm.scratch import by_verdict, forget, saved
+from mirrortab.llm.tables import release
 
 SHINGLE = 5
 #: Percent of the union that two sets share at least.
@@ -33,10 +35,12 @@ BAND = 5
 MANTISSA = 10
 #: Candidates estimated this far below the threshold are dropped: five standard errors of the estimate.
 SLACK = 5.0
-#: Rounds in which each class outside meets one of the largest component per bucket, before all pairs across components do.
-PROBES = 1
-FIRST_PIVOTS = 16
-PIVOT_GROWTH = 64
+#: Classes, and bytes of their shingles, of a tile of a large bucket; small buckets are compared together up to ``PACK`` classes.
+TILE = 512
+TILE_BYTES = 8_000_000
+PACK = 256
+#: Shingles of one matrix product.
+COLUMNS = 4096
 BITS = 23
 
 _rng = np.random.Generator(np.random.PCG64(71))
@@ -113,6 +117,7 @@ def estimated(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
 def sketched(df: DataFrame, key: str, text: str, shingle: int, registers: int = REGISTERS) -> DataFrame:
     """(key, digest, n, a, b, regs) of each row: size and name of its set, and its registers."""
     def run(batches):
+        release()
         for batch in batches:
             for part in balanced(batch, "text"):
                 sets = Sets(part.column("text"), shingle)
@@ -133,18 +138,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _bands(classes: DataFrame, band: int) -> DataFrame:
-    """(node, bucket) of every class and band."""
+    """(node, n, bucket) of every class and band."""
     def run(batches):
         for batch in batches:
             regs = _matrix(batch.column("regs")).astype(np.uint64)
-            node = np.asarray(batch.column("node"))
             for j in range(regs.shape[1] // band):
-                h = np.full(len(node), BAND_SALTS[j], np.uint64)
+                h = np.full(len(regs), BAND_SALTS[j], np.uint64)
                 for k in range(band):
                     h = mix(h ^ (regs[:, j * band + k] + U64(1)) * U64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([pa.array(node), as_long(h)], names=["node", "bucket"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), as_long(h)], names=["node", "n", "bucket"])
 
-    return classes.select("node", "regs").mapInArrow(run, "node bigint, bucket bigint")
+    return classes.select("node", "n", "regs").mapInArrow(run, "node bigint, n bigint, bucket bigint")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
@@ -199,67 +203,183 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return met.where(100 * F.col("both") >= similar * (F.col("sum") - F.col("both"))).select("u", "v")
 
 
-def _unshared(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, shared): size of each set, and how many of its shingles some other set of ``nodes`` has, too."""
-    each = sets.join(nodes, "node").select("node", F.explode("shingles").alias("shingle"))
-    own = (each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
-           .groupBy("node").agg(F.count(F.lit(1)).alias("own")))
-    return sets.join(nodes, "node").select("node", F.size("shingles").cast("bigint").alias("n")).join(own, "node", "left").select(
-        "node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+def _shares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of equal registers of each row of ``a`` with each row of ``b``."""
+    equal = np.zeros((len(a), len(b)), np.uint16)
+    for i in range(a.shape[1]):
+        equal += a[:, i, None] == b[None, :, i]
+    return equal / a.shape[1]
 
 
-def links_of(df: DataFrame, key: str, text: str, shingle: int, similar: int, classes: DataFrame, band: int) -> DataFrame | None:
-    """(node, root) of the components among classes, or None where no two classes share a bucket."""
+def _intersections(keys: np.ndarray, cuts: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``rows`` with the sets ``columns``, by products of incidence matrices."""
+    def gathered(which):
+        sizes = cuts[which + 1] - cuts[which]
+        at = np.repeat(cuts[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return keys[at], np.repeat(np.arange(len(which)), sizes)
+
+    (ka, oa), (kb, ob) = gathered(rows), gathered(columns)
+    # Shingles on one side only are in no intersection.
+    shared = np.intersect1d(ka, kb)
+    out = np.zeros((len(rows), len(columns)))
+    for first in range(0, len(shared), COLUMNS):
+        part = shared[first:first + COLUMNS]
+
+        def incidence(k, owner, size):
+            at = np.minimum(np.searchsorted(part, k), len(part) - 1)
+            hit = part[at] == k
+            m = np.zeros((size, len(part)), np.float32)
+            m[owner[hit], at[hit]] = 1
+            return m
+
+        out += incidence(ka, oa, len(rows)) @ incidence(kb, ob, len(columns)).T
+    return out
+
+
+def joining_links(block: np.ndarray, root: np.ndarray, n: np.ndarray, regs: np.ndarray, keys: np.ndarray, cuts: np.ndarray, similar: int,
+                  split: int = 0) -> list[tuple[int, int]]:
+    """Places of pairs in the same block that are linked, as many as it takes to join the components (``root``) that are linked.
+
+    With ``split`` only pairs of a class before that place with one from it on.
+    """
+    rows, columns = np.arange(split or len(root)), np.arange(split, len(root))
+    s = similar / 100
+    slack = SLACK * np.sqrt(s * (1 - s) / regs.shape[1])
+    small, large = np.minimum(n[rows, None], n[None, columns]), np.maximum(n[rows, None], n[None, columns])
+    ok = (block[rows, None] == block[None, columns]) & (root[rows, None] != root[None, columns]) & (100 * small >= similar * large)
+    if not split:
+        ok &= rows[:, None] < columns[None, :]
+    if not ok.any():
+        return []
+    # The estimate is no more than the share of equal registers.
+    i, j = np.nonzero(ok & (_shares(regs[rows], regs[columns]) >= s - slack))
+    j = columns[j]
+    if not len(i):
+        return []
+    good = np.concatenate([estimated(regs[i[k:k + 4096]], regs[j[k:k + 4096]], n[i[k:k + 4096]], n[j[k:k + 4096]]) for k in range(0, len(i), 4096)]) >= s - slack
+    i, j = i[good], j[good]
+    if not len(i):
+        return []
+    a, b = np.unique(i), np.unique(j)
+    both = _intersections(keys, cuts, a, b)[np.searchsorted(a, i), np.searchsorted(b, j)]
+    linked = 100 * both >= similar * (n[i] + n[j] - both)
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    out = []
+    for x, y in zip(i[linked].tolist(), j[linked].tolist()):
+        p, q = top(int(root[x])), top(int(root[y]))
+        if p != q:
+            above[p] = q
+            out.append((x, y))
+    return out
+
+
+def _compared(blocks: DataFrame, similar: int) -> DataFrame:
+    """(u, v): links that join components, over rows (bucket, p, q, mine, root, node, n, regs, shingles) in the order of the first four."""
+    def flushed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        bucket, p, q, mine, root, node, n = (np.asarray(t.column(c).chunk(0)) for c in ("bucket", "p", "q", "mine", "root", "node", "n"))
+        lists = t.column("shingles").chunk(0)
+        keys = np.asarray(lists.flatten()).view(np.uint64)
+        cuts = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()).astype(np.int64))])
+        regs = _matrix(t.column("regs").chunk(0))
+        new = np.ones(len(node), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+        block = np.cumsum(new)
+        pairs = []
+        # Whole buckets and tiles with themselves are compared at once, two tiles of a bucket apart.
+        within = np.flatnonzero(p == q)
+        parts = [(within, 0)] if len(within) else []
+        for b in np.unique(block[p != q]).tolist():
+            at = np.flatnonzero(block == b)
+            first = int((mine[at] == p[at[0]]).sum())
+            if 0 < first < len(at):
+                parts.append((at, first))
+        for at, split in parts:
+            sizes = cuts[at + 1] - cuts[at]
+            own = np.concatenate([[0], np.cumsum(sizes)])
+            mine_keys = keys[np.repeat(cuts[at] - own[:-1], sizes) + np.arange(own[-1])]
+            found = joining_links(block[at], root[at], n[at], regs[at], mine_keys, own, similar, split)
+            pairs += [(node[at[x]], node[at[y]]) for x, y in found]
+        u, v = zip(*pairs) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def run(batches):
+        held, rows, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.array([np.asarray(batch.column(c)).astype(np.int64) for c in ("bucket", "p", "q")])
+            changes = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            begin = 0
+            for at in [*([0] if last is not None and (key[:, 0] != last).any() else []), *changes.tolist()]:
+                if rows + at - begin >= PACK:
+                    if at > begin:
+                        held.append(batch.slice(begin, at - begin))
+                    yield flushed(held)
+                    held, rows, begin = [], 0, at
+            held.append(batch.slice(begin))
+            rows += batch.num_rows - begin
+            last = key[:, -1]
+        if held:
+            yield flushed(held)
+
+    return blocks.mapInArrow(run, "u bigint, v bigint")
+
+
+def links_of(df: DataFrame, key: str, text: str, shingle: int, similar: int, classes: DataFrame, band: int) -> DataFrame:
+    """(node, root) of the components among classes."""
     sketches = classes.where("n > 0")
     crowded = _bands(sketches, band).groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("low")).where("m > 1").select("bucket", "low")
     members = saved(_bands(sketches, band).join(crowded, "bucket"), "members")
     pivots = members.groupBy("node").agg(F.min("low").alias("v"))
     pairs = pivots.where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")
     likely = saved(_likely(pairs, sketches, similar), "pairs")
-    wanted = members.select("node").distinct()
-    sets = saved(_full_sets(df, key, text, shingle, classes, wanted), "sets")
-    links = [saved(_confirmed(likely, sets, similar), "links")]
+    sets = saved(_full_sets(df, key, text, shingle, classes, members.select("node").distinct()), "sets")
+    links = saved(_confirmed(likely, sets, similar), "links")
     forget(likely)
-    compared, alone, chosen, turn, count = None, None, None, 0, FIRST_PIVOTS
-    members = members.select("bucket", "node")
-    while True:
-        roots = saved(components(links[0] if len(links) == 1 else links[0].unionByName(links[1])), "roots")
-        tagged = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        if compared is not None:
-            tagged = tagged.join(compared, ["bucket", "node"], "left_anti")
-        # Buckets of several components, their largest component, and the classes outside it.
-        shares = tagged.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("one"))
-        largest = shares.groupBy("bucket").agg(F.max(F.struct("m", "root", "one")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        open_members = saved(tagged.join(largest.select("bucket", F.col("main.root").alias("main"), F.col("main.one").alias("one")), "bucket"), "open")
-        outside = open_members.where("root != main")
-        if turn < PROBES:
-            # Most classes outside link to some class of the largest component: try one of it per bucket first.
-            turn += 1
-            met = outside.select(F.col("node").alias("p"), F.col("one").alias("x"))
-        else:
-            if alone is None:
-                alone = saved(_unshared(sets, open_members.select("node").distinct()), "unshared")
-            can = open_members.join(alone, "node")
-            outside = can.where("root != main").where(100 * F.col("shared") >= similar * F.col("n"))
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node"))
-            chosen = saved(outside.select("bucket", "node", "root", "n", "shared", rank.alias("rank")).where(F.col("rank") <= count).drop("rank"), "chosen")
-            a = chosen.toDF("bucket", "p", "rp", "np", "sp")
-            b = can.select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("shared").alias("sx"))
-            # No intersection is larger than what either set shares with anyone.
-            most = F.least("sp", "sx")
-            met = a.join(b, "bucket").where((F.col("rp") != F.col("rx")) & (100 * most >= similar * (F.col("np") + F.col("nx") - most)))
-            done = chosen.select("bucket", "node")
-            compared = saved(done if compared is None else compared.unionByName(done), "compared")
-            count *= PIVOT_GROWTH
-        if (outside if compared is None else chosen).isEmpty():
-            return roots
-        pairs = met.select(F.greatest("p", "x").alias("u"), F.least("p", "x").alias("v")).distinct()
-        likely = saved(_likely(pairs, sketches, similar), "pairs")
-        new = saved(_confirmed(likely, sets, similar), "links")
-        # Known components stand in for the links they came from.
-        links = [roots.select(F.col("node").alias("u"), F.col("root").alias("v")), new]
-        forget(open_members)
-        forget(likely)
+    roots = saved(components(links), "roots")
+    forget(links)
+    tagged = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    tagged = saved(tagged, "tagged")
+    forget(members)
+    # Buckets of several components, with their largest one; of buckets with the same classes, one.
+    each = tagged.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                                F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24)).alias("y"))
+    facts = each.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum("total").alias("total"), F.bit_xor("x").alias("x"), F.sum("y").alias("y"),
+                                       F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root", "total")).alias("main")).where("roots > 1")
+    several = facts.groupBy("m", "total", "x", "y").agg(F.min(F.struct("bucket", "main")).alias("one")).select("one.bucket", "one.main", "m", "total")
+
+    def tiles(m, total):
+        return F.greatest(F.ceil(m / TILE), F.ceil(8 * total / TILE_BYTES)).cast("int")
+
+    # Classes of the largest component, in the first tiles of a large bucket, meet those outside it only; a small bucket is one tile.
+    sized = several.select("bucket", F.col("main.root").alias("main"), tiles(F.col("m"), F.col("total")).alias("tiles"),
+                           tiles(F.col("main.m"), F.col("main.total")).alias("inner"), tiles(F.col("m") - F.col("main.m"), F.col("total") - F.col("main.total")).alias("outer"))
+    one, inner, outer, spot = F.col("tiles") == 1, F.col("inner"), F.col("outer"), F.xxhash64("node")
+    is_main = F.col("root") == F.col("main")
+    mine = F.when(one, F.lit(0)).when(is_main, F.pmod(spot, inner)).otherwise(inner + F.pmod(spot, outer)).cast("int")
+    others = (F.when(one, F.array(F.lit(0))).when(is_main, F.sequence(inner, inner + outer - 1)).otherwise(F.sequence(F.lit(0), inner + outer - 1)))
+    spread = tagged.join(sized, "bucket").withColumn("mine", mine).withColumn("other", F.explode(others))
+    placed = spread.select("bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "root", "node", "n")
+    whole = placed.join(sketches.select("node", "regs"), "node").join(sets, "node")
+    ordered = (whole.select("bucket", "p", "q", "mine", "root", "node", "n", "regs", "shingles")
+               .repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "mine"))
+    new = saved(_compared(ordered, similar), "links")
+    forget(tagged)
+    forget(sets)
+    if new.isEmpty():
+        return roots
+    # Known components stand in for the links they came from.
+    final = saved(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new)), "roots")
+    forget(roots)
+    forget(new)
+    return final
 
 
 def groups(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, similar: int = SIMILAR, band: int = BAND) -> DataFrame:
@@ -279,11 +399,14 @@ def groups(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, similar:
     roots = links_of(df, key, text, shingle, similar, classes, band)
     named = classes.select("a", "b", "n", "node").join(roots, "node", "left").select("a", "b", "n", F.coalesce("root", "node").alias("root"))
     placed = saved(rows.select("key", "digest", "n", "a", "b").where("n > 0").join(named, ["a", "b", "n"]).select("key", "digest", "n", "root"), "placed")
+    lone = saved(rows.where("n = 0").select("key", "digest", "n"), "lone")
+    for done in (rows, classes, roots):
+        forget(done)
     first = placed.groupBy("root").agg(F.min("key").alias("low"), F.min(F.struct(F.col("key").isNull().alias("no"), "key", "digest")).alias("pick"))
     out = placed.join(first, "root").select(
         F.col("key").alias(key), "digest", F.col("n").alias("n_shingles"), F.col("low").alias("component_id"), F.col("key").eqNullSafe(F.col("low")).alias("kept"),
         (F.col("key").eqNullSafe(F.col("pick.key")) & (F.col("digest") == F.col("pick.digest"))).alias("picked"))
-    alone = rows.where("n = 0").select(F.col("key").alias(key), "digest", F.col("n").alias("n_shingles"), F.col("key").alias("component_id"),
+    alone = lone.select(F.col("key").alias(key), "digest", F.col("n").alias("n_shingles"), F.col("key").alias("component_id"),
                                        F.lit(True).alias("kept"), F.lit(True).alias("picked"))
     return out.unionByName(alone)
 

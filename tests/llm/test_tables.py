@@ -53,6 +53,16 @@ def own(i, n=12):
     return " ".join(f"w{i}x{k}" for k in range(n))
 
 
+def test_a_line_of_few_in_a_large_host_goes(spark):
+    bar = "Subscribe to our weekly letter and never miss a story again"
+    # Digits count as one, so the lines are told apart by letters.
+    lettered = lambda i: own("".join(chr(97 + int(c)) for c in str(i)), 14)
+    rows = [(i, f"{lettered(i)}\n{bar}" if i % 20 == 0 else lettered(i), "h") for i in range(1000)]
+    rows += [(2000 + i, f"{lettered(2000 + i)}\n{bar}", "small") for i in range(20)]
+    found = {r.doc_id: r.n_removed_words for r in quality.verdicts(frame(spark, rows), "doc_id", "text", "source").collect()}
+    assert {i for i, n in found.items() if n} == set(range(0, 1000, 20)) and found[0] == len(bar.split())
+
+
 def test_common_lines_go_and_depleted_documents_too(spark):
     bar = "Menu 1 | Home | About us and all the other links of the site"
     rows = [(i, f"{own('abcdefghijklmnopqrstuvwxyz'[i % 26] * (i // 26 + 1))}\n{bar.replace('1', str(i))}", "h") for i in range(60)]
@@ -158,6 +168,67 @@ def test_components_are_those_of_all_pairs(spark, shingle):
     assert near_dup.groups(frame(spark, rows[:0], DOCS), "doc_id", "text").count() == 0
 
 
+def similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def varied(words, share, r, tag):
+    copy = list(words)
+    for at in r.sample(range(len(copy)), int(len(copy) * share)):
+        copy[at] = f"{tag}{r.randint(0, 10**9)}"
+    return copy
+
+
+def test_pairs_at_the_threshold_are_all_found(spark):
+    """Recall against brute force on pairs at a similarity of 0.80 to 0.85."""
+    r, rows, want = random.Random(17), [], 0
+    while want < 400:
+        words = [f"w{want}x{k}" for k in range(r.randint(40, 200))]
+        copy = varied(words, r.choice([0.03, 0.04, 0.05]), r, "z")
+        sets = [{tuple(w[i:i + 2]) for i in range(len(w) - 1)} for w in (words, copy)]
+        if 0.80 <= similarity(*sets) <= 0.85:
+            rows += [(2 * want, " ".join(words)), (2 * want + 1, " ".join(copy))]
+            want += 1
+    found = {g.doc_id: g.component_id for g in near_dup.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", shingle=2).collect()}
+    assert sum(found[2 * i + 1] == 2 * i for i in range(want)) == want and all(found[2 * i] == 2 * i for i in range(want))
+
+
+def test_many_texts_just_below_the_threshold(spark, monkeypatch):
+    """A group whose pairs share buckets but hardly any links, with links hidden in it, in tiles."""
+    monkeypatch.setattr(near_dup, "TILE", 50)
+    r = random.Random(23)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(i, " ".join(varied(base, 0.065, r, "z"))) for i in range(260)]
+    rows += [(300 + i, " ".join(varied(rows[i * 9][1].split(), 0.02, r, "y"))) for i in range(25)]
+    out = near_dup.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", shingle=2)
+    want = {d: c for d, _, c in groups_by_hand(rows, 2)}
+    assert {g.doc_id: g.component_id for g in out.collect()} == want and 20 < len(set(want.values())) < 280
+
+
+def test_links_of_a_block_by_hand():
+    import pyarrow as pa
+    r = random.Random(29)
+    base = [f"b{k}" for k in range(60)]
+    texts = [" ".join(varied(base, r.choice([0.0, 0.02, 0.04, 0.07, 0.2]), r, "z")) for _ in range(90)]
+    sets = near_dup.Sets(pa.array(texts), 2)
+    regs, n = sets.sketches(near_dup.REGISTERS), sets.sizes
+    members = [set(sets.keys[a:b].tolist()) for a, b in zip(sets.cuts[:-1], sets.cuts[1:])]
+    block, root = np.array([i // 45 for i in range(90)]), np.array([i % 30 for i in range(90)])
+    for split in (0, 40):
+        got = near_dup.joining_links(block, root, n, regs, sets.keys, sets.cuts, 80, split)
+        allowed = [(i, j) for i in range(90) for j in range(i + 1, 90) if block[i] == block[j] and (not split or i < split <= j)
+                   and len(members[i] & members[j]) * 100 >= 80 * len(members[i] | members[j])]
+        assert set(got) <= set(allowed) and all(root[i] != root[j] for i, j in got)
+
+        def parts(pairs):
+            top = {x: x for x in range(30)}
+            find = lambda x: x if top[x] == x else find(top[x])
+            for i, j in pairs:
+                top[find(root[i])] = find(root[j])
+            return sorted(sorted(y for y in range(30) if find(y) == find(x)) for x in range(30))
+        assert parts(got) == parts(allowed) and len(got) < 30 and got
+
+
 def test_estimate_is_near_the_truth_after_chance_is_taken_off():
     import pyarrow as pa
     r = random.Random(9)

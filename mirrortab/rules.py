@@ -1,78 +1,78 @@
 """Name rules behind the column classes, and the other value tables the operators look up."""
 
 # These names decide results, so they are listed as they must match.
-DIRECT_ID_NAMES = """
-name patient_name patientname full_name fullname first_name firstname last_name lastname
-patient_full_name patient_first_name patient_last_name
-aadhaar aadhaar_number ssn social_security_number social_security passport_number passport
-driver_license drivers_license driver_s_license driving_license license_number
-national_id nationalid
-medical_record_number mrn medical_record_no hospital_id hospitalid
-email email_address e_mail
-phone phone_number mobile mobile_number telephone telephone_number fax fax_number
-address home_address street_address postal_address street street_name
-credit_card creditcard bank_account bankaccount insurance_id insuranceid
-nhs_number nhs health_id healthid
-ip_address ip mac_address mac
-photo photo_url image face_image
-latitude longitude gps
-""".split()
+DIRECT_ID_NAMES = [
+    "name", "patient_name", "patientname", "full_name", "fullname", "first_name", "firstname", "last_name", "lastname",
+    "patient_full_name", "patient_first_name", "patient_last_name",
+    "aadhaar", "aadhaar_number", "ssn", "social_security_number", "social_security", "passport_number", "passport",
+    "driver_license", "drivers_license", "driver_s_license", "driving_license", "license_number",
+    "national_id", "nationalid",
+    "medical_record_number", "mrn", "medical_record_no", "hospital_id", "hospitalid",
+    "email", "email_address", "e_mail",
+    "phone", "phone_number", "mobile", "mobile_number", "telephone", "telephone_number", "fax", "fax_number",
+    "address", "home_address", "street_address", "postal_address", "street", "street_name",
+    "credit_card", "creditcard", "bank_account", "bankaccount", "insurance_id", "insuranceid",
+    "nhs_number", "nhs", "health_id", "healthid",
+    "ip_address", "ip", "mac_address", "mac",
+    "photo", "photo_url", "image", "face_image",
+    "latitude", "longitude", "gps",
+]
 
 # Fixed values.
-LINKAGE_KEY_NAMES = """
-patient_id patientid patient_identifier patientidentifier patient_key patientkey
-subject_id subjectid subject_key subjectkey
-participant_id participantid participant_key participantkey
-person_id personid person_key personkey
-study_id studyid study_subject_id encounter_subject_id encounter_id encounterid
-case_id caseid case_number cohort_id cohortid
-member_id memberid client_id clientid
-respondent_id respondentid record_id recordid
-""".split()
+LINKAGE_KEY_NAMES = [
+    "patient_id", "patientid", "patient_identifier", "patientidentifier", "patient_key", "patientkey",
+    "subject_id", "subjectid", "subject_key", "subjectkey",
+    "participant_id", "participantid", "participant_key", "participantkey",
+    "person_id", "personid", "person_key", "personkey",
+    "study_id", "studyid", "study_subject_id", "encounter_subject_id", "encounter_id", "encounterid",
+    "case_id", "caseid", "case_number", "cohort_id", "cohortid",
+    "member_id", "memberid", "client_id", "clientid",
+    "respondent_id", "respondentid", "record_id", "recordid",
+]
 
 # Fixed values.
-TEMPORAL_NAMES = """
-date time datetime timestamp
-visit_date visitdate visit_time
-observation_date observationdate measurement_date measurementdate
-recorded_at recordedat encounter_date encounterdate
-admission_date admissiondate discharge_date dischargedate
-event_date eventdate appointment_date appointmentdate
-test_date testdate collection_date collectiondate sample_date sampledate
-created_at createdat updated_at updatedat entry_date entrydate
-""".split()
+TEMPORAL_NAMES = [
+    "date", "time", "datetime", "timestamp",
+    "visit_date", "visitdate", "visit_time",
+    "observation_date", "observationdate", "measurement_date", "measurementdate",
+    "recorded_at", "recordedat", "encounter_date", "encounterdate",
+    "admission_date", "admissiondate", "discharge_date", "dischargedate",
+    "event_date", "eventdate", "appointment_date", "appointmentdate",
+    "test_date", "testdate", "collection_date", "collectiondate", "sample_date", "sampledate",
+    "created_at", "createdat", "updated_at", "updatedat", "entry_date", "entrydate",
+]
 
 # Fixed values.
-QUASI_ID_NAMES = """
-age exact_age gender sex
-date_of_birth dob birth_date birthdate dateofbirth
-zip_code zipcode zip postal_code postalcode postcode
-city county region state
-precise_geolocation geolocation race ethnicity
-""".split()
+QUASI_ID_NAMES = [
+    "age", "exact_age", "gender", "sex",
+    "date_of_birth", "dob", "birth_date", "birthdate", "dateofbirth",
+    "zip_code", "zipcode", "zip", "postal_code", "postalcode", "postcode",
+    "city", "county", "region", "state",
+    "precise_geolocation", "geolocation", "race", "ethnicity",
+]
 
 # Fixed values.
-HEALTH_NAMES = """
-diabetes diagnosis disease condition medical_condition cancer hypertension obesity depression
-blood_pressure systolic_bp diastolic_bp bp_systolic bp_diastolic
-bloodpressure systolicbp diastolicbp
-blood_pressure_systolic blood_pressure_diastolic bloodpressuresystolic bloodpressurediastolic
-heart_rate pulse temperature respiratory_rate
-glucose blood_glucose fasting_glucose
-bmi body_mass_index weight height
-cholesterol hdl ldl triglycerides a1c hba1c oxygen_saturation spo2
-activity_level activitylevel physical_activity physical_activity_minutes_week
-sedentary_minutes_day sedentary_hours exercise steps
-medication medications medication_adherence medicationadherence
-prescription_medication prescriptionmedication
-num_prescription_medications num_medications prescription prescriptions
-drug drugs treatment insulin dosage dose
-pain_score painscore pain functional_score disability_score
-lab_result lab_value test_result clinical_notes notes
-risk_score severity_score
-smoking smoking_status smokingstatus alcohol substance_use
-encounter_type visit_type payer insurance_type
-""".split()
+HEALTH_NAMES = [
+    "diabetes", "diagnosis", "disease", "condition", "medical_condition", "cancer", "hypertension", "obesity", "depression",
+    "blood_pressure", "systolic_bp", "diastolic_bp", "bp_systolic", "bp_diastolic",
+    "bloodpressure", "systolicbp", "diastolicbp",
+    "blood_pressure_systolic", "blood_pressure_diastolic", "bloodpressuresystolic", "bloodpressurediastolic",
+    "heart_rate", "pulse", "temperature", "respiratory_rate",
+    "glucose", "blood_glucose", "fasting_glucose",
+    "bmi", "body_mass_index", "weight", "height",
+    "cholesterol", "hdl", "ldl", "triglycerides", "a1c", "hba1c", "oxygen_saturation", "spo2",
+    "activity_level", "activitylevel", "physical_activity", "physical_activity_minutes_week",
+    "sedentary_minutes_day", "sedentary_hours", "exercise", "steps",
+    "medication", "medications", "medication_adherence", "medicationadherence",
+    "prescription_medication", "prescriptionmedication",
+    "num_prescription_medications", "num_medications", "prescription", "prescriptions",
+    "drug", "drugs", "treatment", "insulin", "dosage", "dose",
+    "pain_score", "painscore", "pain", "functional_score", "disability_score",
+    "lab_result", "lab_value", "test_result", "clinical_notes", "notes",
+    "risk_score", "severity_score",
+    "smoking", "smoking_status", "smokingstatus", "alcohol", "substance_use",
+    "encounter_type", "visit_type", "payer", "insurance_type",
+]
 
 # Suffix and prefix rules applied after the exact names of the same class.
 LINKAGE_KEY_PATTERN = r"_key$"

@@ -55,12 +55,13 @@ def truth_of(value: Any) -> bool:
 
 
 def numbers_of(values: Sequence[Any]) -> list[float]:
+    """The items as numbers; one that is none is an error, as it is in every other comparison."""
     out = []
     for v in values:
         try:
             out.append(float(v))
         except (TypeError, ValueError):
-            continue
+            raise ValueError(f"not a number in a list of numbers: {v!r}") from None
     return out
 
 

@@ -438,3 +438,10 @@ def test_preprocess_counts_cells_that_are_no_dates(spark):
     cleaned, summary = cn.preprocess(spark.createDataFrame(rows, "k bigint, day string, t string"), ["day", "t"], "k")
     assert cleaned.where("day IS NULL").count() == 10
     assert [tuple(x) for x in summary.first()["unread_dates"]] == [("day", 10)]
+
+
+def test_a_list_of_numbers_holds_numbers_only(spark):
+    df = spark.range(10)
+    assert df.where(condition(df, "id", "in_values", ["3", 4.0, True])).count() == 3
+    with pytest.raises(ValueError, match="'four'"):
+        condition(df, "id", "in_values", [3, "four"])

@@ -1,16 +1,19 @@
 """URL filters with dated lists.
 
 A list is a log of dated entries: from a time on, a key (a whole address, or a domain with all below it) is blocked,
-allowed, or no longer listed. Entries of a key become validity intervals. An as-of join then gives every capture the
-entries that were valid when it was fetched, and the most specific of them decides. Everything is DataFrame operations.
+allowed, or no longer listed. Entries of a key become validity intervals. An as-of join, by running last values in cells of
+time, gives every capture the entries that were valid when it was fetched, and the most specific of them decides. Everything is
+DataFrame operations.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DataType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from mirrortab.llm.registry import query, table
 from mirrortab.llm.scratch import saved
+from mirrortab.operators.ordering import skew_join
 
 BLOCK, ALLOW, REMOVE = "block", "allow", "remove"
 MOST_LABELS = 127
@@ -33,7 +36,7 @@ def host_of(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame, key: str, action: str, at: str) -> DataFrame:
-    """(key, valid: array of (since, until, action)) with one row per key.
+    """(key, since, until, action): one row per stretch of time in which a key is listed; until is null where it still is.
 
     Entries of one key and time count as one, the strictest: block before allow before remove. A repeated action
     changes nothing, so an interval ends only where the action changes; null keys, times or actions say nothing.
@@ -44,18 +47,44 @@ def intervals(entries: DataFrame, key: str, action: str, at: str) -> DataFrame:
     by_key = Window.partitionBy("key").orderBy("at")
     changed = dated.withColumn("before", F.lag("rank").over(by_key)).where(F.col("before").isNull() | (F.col("before") != F.col("rank")))
     spans = changed.withColumn("until", F.lead("at").over(by_key)).where("rank > 0")
-    name = F.when(F.col("rank") == 2, BLOCK).otherwise(ALLOW)
-    return spans.groupBy("key").agg(F.collect_list(F.struct(F.col("at").alias("since"), "until", name.alias("action"))).alias("valid"))
+    return spans.select("key", F.col("at").alias("since"), "until", F.when(F.col("rank") == 2, BLOCK).otherwise(ALLOW).alias("action"))
 
 
-def _keys(url: Column) -> Column:
-    """(key, level) of an address: itself, then its host and every domain above, the nearest first."""
-    labels = F.split(host_of(url), "[.]")
+def hour_of(at: Column, dtype: DataType) -> Column:
+    """A number that never falls while time goes on: hours of clock time, or 3,600 units of numbers; one cell for other types."""
+    if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
+        return (F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")) * 24 + F.hour(at)).cast("bigint")
+    return F.floor(at / 3600).cast("bigint") if isinstance(dtype, NumericType) else F.lit(0).cast("bigint")
+
+
+def as_of(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """(key, at, action) of the different (key, at) of ``points`` that lie in one of the ``spans``, which do not overlap in a key.
+
+    Points and starts of intervals stand in one order of time; a running last value gives each point the interval that began last.
+    Time is cut into cells, so that a key with very many points or intervals is many groups; one row per key and cell carries the
+    last interval over to the cells behind. A group is at most the different times of a cell, and a key has at most a cell an hour.
+    """
+    span = F.struct("since", "until", "action")
+    starts = spans.select("key", F.col("since").alias("at"), span.alias("span"))
+    asked = points.select("key", "at").distinct().select("key", "at", F.lit(None).cast(starts.schema["span"].dataType).alias("span"))
+    # Intervals come first among equal times: they hold from their own time on.
+    timed = starts.unionByName(asked)
+    timed = timed.select("*", hour_of(F.col("at"), timed.schema["at"].dataType).alias("cell"))
+    last = timed.groupBy("key", "cell").agg(F.max_by("span", F.when(F.col("span").isNotNull(), F.col("at"))).alias("last"))
+    earlier = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("key", "cell", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    inside = Window.partitionBy("key", "cell").orderBy("at", F.col("span").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = timed.withColumn("here", F.last("span", ignorenulls=True).over(inside)).where(F.col("span").isNull()).select("key", "cell", "at", "here")
+    met = here.join(carried, ["key", "cell"]).select("key", "at", F.coalesce("here", "carried").alias("now"))
+    return met.where(F.col("now").isNotNull() & (F.col("now.until").isNull() | (F.col("at") < F.col("now.until")))).select("key", "at", "now.action")
+
+
+def domains_of(host: Column) -> Column:
+    """(key, level) of a host and every domain above it, the nearest first."""
+    labels = F.split(host, "[.]")
     count = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), count), lambda i: F.struct(
+    return F.transform(F.sequence(F.lit(1), count), lambda i: F.struct(
         F.array_join(F.slice(labels, i, count), ".").alias("key"), (F.lit(MOST_LABELS) - i).alias("level")))
-    whole = F.array(F.struct(canonical(url).alias("key"), F.lit(MOST_LABELS).alias("level")))
-    return F.when(host_of(url).isNotNull(), F.concat(whole, domains))
 
 
 def judged(captures: DataFrame, ident: str, url: str, at: str, entries: DataFrame, key: str, action: str, since: str) -> DataFrame:
@@ -65,19 +94,36 @@ def judged(captures: DataFrame, ident: str, url: str, at: str, entries: DataFram
     the next change; an address beats its host, a host the domains above. Nothing listed: matched and action are null and
     the capture passes. A capture without an address, host or time passes too. Repeated captures give one row; empty tables on
     either side give none, or all passed. Entries' domains are keys like ``example.com``, addresses are in :func:`canonical` form.
+
+    What holds for a capture depends on its host and time, or its address and time, alone. So the as-of join sees each different
+    (key, time) once, and only keys that have an entry: hosts learn theirs first, captures are never sent to a domain that
+    no list names. Joins of captures split hot hosts.
     """
-    asked = captures.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{url}`").alias("url"), F.col(f"`{at}`").alias("at")).distinct()
-    keyed = asked.select("ident", "url", "at", F.inline(_keys(F.col("url"))))
-    # Written first, so that the join has a shuffle of its own on both sides and a hot domain can be split.
-    met = keyed.join(saved(intervals(entries, key, action, since), "intervals"), "key")
-    # Intervals of a key do not overlap: at most one holds the time.
-    now = F.filter("valid", lambda v: (v["since"] <= F.col("at")) & (v["until"].isNull() | (F.col("at") < v["until"])))
-    hits = met.select("ident", "url", "at", "level", "key", F.try_element_at(now, F.lit(1))["action"].alias("action")).where(F.col("action").isNotNull())
-    found = hits.groupBy(*[F.col(c).alias(f"_{c}") for c in ("ident", "url", "at")]).agg(F.max(F.struct("level", "key", "action")).alias("best"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("ident", "url", "at")]
-    return asked.join(found, same[0] & same[1] & same[2], "left").select(
-        F.col("ident").alias(ident), F.col("url").alias(url), host_of(F.col("url")).alias("host"), F.col("at").alias(at),
-        F.col("best.key").alias("matched"), F.col("best.action").alias("action"), (F.coalesce("best.action", F.lit(ALLOW)) == BLOCK).alias("blocked"))
+    own = captures.schema[at].dataType
+    # Both sides count time in the wider of their types.
+    times = captures.select(F.col(f"`{at}`")).union(entries.select(F.col(f"`{since}`"))).schema[0].dataType
+    entries = entries.select(F.col(f"`{key}`").alias("key"), F.col(f"`{action}`").alias("action"), F.col(f"`{since}`").cast(times).alias("since"))
+    asked = saved(captures.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{url}`").alias("url"), F.col(f"`{at}`").cast(times).alias("at")).distinct()
+                  .select("*", host_of(F.col("url")).alias("host"), canonical(F.col("url")).alias("address")), "captures")
+    spans = saved(intervals(entries, "key", "action", "since"), "intervals")
+    listed = spans.select("key").distinct()
+    known = asked.where(F.col("host").isNotNull() & F.col("at").isNotNull())
+    # One row per host: its listed domains, at most one a label.
+    above = (known.select("host").distinct().select("host", F.inline(domains_of(F.col("host")))).join(listed, "key")
+             .groupBy("host").agg(F.collect_list(F.struct("key", "level")).alias("keys")))
+    by_host = saved(skew_join(known.select("host", "at").distinct(), above, "host", F.col("at")).select("host", "at", F.inline("keys")), "hosts")
+    by_address = known.select(F.col("address").alias("key"), "at").distinct().join(listed, "key")
+    found = saved(as_of(by_host.select("key", "at").unionByName(by_address), spans).select(F.struct("key", "at").alias("point"), "action"), "found")
+    hits = skew_join(by_host.select("host", "at", "level", F.struct("key", "at").alias("point")), found, "point", F.col("host"))
+    best = hits.groupBy("host", "at").agg(F.max(F.struct("level", F.col("point.key").alias("key"), "action")).alias("best"))
+    hosts = best.select(F.struct("host", "at").alias("place"), F.struct("best.key", "best.action").alias("by_host"))
+    addresses = found.select(F.col("point").alias("page"), F.struct("point.key", "action").alias("by_address"))
+    rows = asked.select("*", F.struct("host", "at").alias("place"), F.struct(F.col("address").alias("key"), "at").alias("page"))
+    whole = skew_join(skew_join(rows, hosts, "place", F.col("ident"), "left"), addresses, "page", F.col("ident"), "left")
+    won = F.coalesce("by_address", "by_host")
+    return whole.select(
+        F.col("ident").alias(ident), F.col("url").alias(url), F.col("host"), F.col("at").cast(own).alias(at), won["key"].alias("matched"),
+        won["action"].alias("action"), (F.coalesce(won["action"], F.lit(ALLOW)) == BLOCK).alias("blocked"))
 
 
 # The pages table has no fetch times and no lists, so both follow from it: a page is fetched on a day of 2024 that its id

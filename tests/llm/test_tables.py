@@ -332,6 +332,42 @@ def test_entries_hold_from_their_day_to_the_next_change(spark):
     assert url_filter.judged(captures.limit(0), "page_id", "url", "at", lists, "key", "action", "since").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "date", "timestamp", "timestamp_ntz"])
+def test_as_of_join_equals_a_search_through_all_entries(spark, kind, monkeypatch):
+    import random
+
+    from mirrortab.operators import ordering
+    monkeypatch.setattr(url_filter.skew_join, "__defaults__", ("inner", None, 1000, 50))
+    assert ordering.skew_join is url_filter.skew_join
+    draw = random.Random(5)
+    domains = ["hot.org", "org", "a.hot.org", "b.net", "c.b.net", "lone.net"]
+    # Some 40 days of seconds for clock types, so that a key has entries and captures in many cells, and cells with none.
+    span = 300 if kind in ("int", "date") else 3_500_000
+    entries = [(draw.choice(domains[:5]), draw.choice(["block", "allow", "remove"]), draw.randrange(span)) for _ in range(400)]
+    captures = [(i, f"http://{'hot.org' if i % 3 == 0 else draw.choice(domains)}/{i % 7}", draw.randrange(span)) for i in range(1500)]
+    to_time = {"int": "CAST({} AS int)", "date": "date_add(DATE'2024-01-01', CAST({} AS int))", "timestamp": "timestamp_seconds({})",
+               "timestamp_ntz": "CAST(timestamp_seconds({}) AS timestamp_ntz)"}[kind]
+    # Lists count in a wider type than captures where there is one.
+    lists = spark.createDataFrame(entries, "key string, action string, t long").selectExpr("key", "action", ("t" if kind == "int" else to_time.format("t")) + " AS since")
+    asked = spark.createDataFrame(captures, "ident long, url string, t long").selectExpr("ident", "url", to_time.format("t") + " AS at", "t")
+    found = url_filter.judged(asked, "ident", "url", "at", lists, "key", "action", "since")
+    assert found.schema["at"].dataType == asked.schema["at"].dataType
+    strict = {"block": 2, "allow": 1, "remove": 0}
+    log = {}
+    for k, action, t in entries:
+        log.setdefault(k, {})[t] = max(log.get(k, {}).get(t, 0), strict[action])
+
+    def decided(url, t):
+        host = url.split("/")[2]
+        for k in [host.split(".", i)[i] for i in range(host.count(".") + 1)]:
+            past = [u for u in log.get(k, {}) if u <= t]
+            if past and log[k][max(past)]:
+                return k, "block" if log[k][max(past)] == 2 else "allow"
+        return None, None
+
+    assert {r.ident: (r.matched, r.action) for r in found.collect()} == {i: decided(u, t) for i, u, t in captures}
+
+
 # shards
 
 def sharded(spark, keys, shards):

@@ -18,7 +18,7 @@ from mirrortab.operators.prepare import model_ready
 from mirrortab.operators.profile import profile
 from mirrortab.plans import compare
 from mirrortab.sources import runs
-from mirrortab.sources.demo import demo_patients
+from mirrortab.sources.demo import patients_for
 from mirrortab.sources.report import write_sections
 from mirrortab.sources.tables import MIN_ROWS_MODEL, gate, land, new_id, read_landed
 
@@ -52,8 +52,8 @@ class Workbench:
 
     def register_demo(self, rows: int = 2000) -> str:
         """The demo table goes the same way as any other."""
-        from_row = demo_patients(self.spark, rows, self.seed)
-        return self.register(from_row.withColumn("id", F.monotonically_increasing_id()), "demo", "id", is_demo=True)
+        people = patients_for(self.spark.range(rows), "id", self.seed)
+        return self.register(people, "demo", "id", is_demo=True)
 
     def recorded_classes(self, table_id: str) -> dict[str, str]:
         """Column to class as found when the table was registered, whoever reads them and when."""

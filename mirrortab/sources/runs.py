@@ -1,18 +1,27 @@
-"""Run log: append-only Parquet tables, newest row per id counts."""
+"""Run log: append-only Parquet tables, newest row per id counts.
+
+Each append is one small file, the tail. Past ``TAIL_FILES`` of them a snapshot gathers all rows in a few files and names the tail
+files that it covers; a reader takes the last whole snapshot and the tail files it does not name. Nothing is locked: an append that
+lands while a snapshot is written is not named and stays in the tail, a snapshot that was not finished does not count, and of two
+written at once one counts and the other is a mere copy. Files go only once a later snapshot holds their rows as well, so a reader
+has from one compaction to the next but one to finish.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mirrortab.functions.values import ref
 from mirrortab.sources.tables import new_id
 
 LISTED = 20
+TAIL_FILES = 64
+SNAPSHOT_FILES = 8
 
 SCHEMAS = {
     "datasets": "id string, name string, num_rows bigint, num_columns bigint, "
@@ -43,15 +52,75 @@ def append(spark: SparkSession, root: str, table: str, record: Mapping) -> dict:
         raise ValueError(f"{table} has no fields {sorted(unknown)}")
     spark.createDataFrame([tuple(full.get(n) for n in schema.names)], schema) \
         .coalesce(1).write.mode("append").parquet(f"{root}/{table}")
+    if len(_files(spark, f"{root}/{table}")) > TAIL_FILES:
+        compact(spark, root, table)
     return full
 
 
+def _at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any file system that Spark reaches; none if there is no such folder."""
+    files, place = _at(spark, folder)
+    return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else []
+
+
+def _files(spark: SparkSession, folder: str) -> list[str]:
+    return [n for n in _names(spark, folder) if n.startswith("part-")]
+
+
+def _snapshots(spark: SparkSession, root: str, table: str) -> list[str]:
+    """Paths of the whole snapshots, the one that counts last; the list of covered files is written last."""
+    folder = f"{root}/{table}.snapshots"
+    return [f"{folder}/{n}" for n in _names(spark, folder) if "_SUCCESS" in _names(spark, f"{folder}/{n}/covered")]
+
+
+def _covered(spark: SparkSession, snapshot: str) -> set[str]:
+    return {r["name"] for r in spark.read.schema("name string").parquet(f"{snapshot}/covered").collect()}
+
+
+def _state(spark: SparkSession, root: str, table: str) -> tuple[str | None, list[str]]:
+    """(the snapshot that counts, tail files beyond it). The tail is listed first: what vanishes afterwards is in the snapshot."""
+    tail = _files(spark, f"{root}/{table}")
+    whole = _snapshots(spark, root, table)
+    covered = _covered(spark, whole[-1]) if whole else set()
+    return whole[-1] if whole else None, [n for n in tail if n not in covered]
+
+
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     """All rows of a run table; empty before the first one is written."""
-    try:
-        return spark.read.schema(SCHEMAS[table]).parquet(f"{root}/{table}")
-    except AnalysisException:
-        return spark.createDataFrame([], SCHEMAS[table])
+    return _rows(spark, root, table, *_state(spark, root, table))
+
+
+def _rows(spark: SparkSession, root: str, table: str, snapshot: str | None, tail: Sequence[str]) -> DataFrame:
+    reader, paths = spark.read.schema(SCHEMAS[table]), [f"{root}/{table}/{n}" for n in tail]
+    if snapshot is not None:
+        paths = [f"{snapshot}/rows", *paths]
+    return reader.parquet(*paths) if paths else spark.createDataFrame([], SCHEMAS[table])
+
+
+def compact(spark: SparkSession, root: str, table: str) -> None:
+    """Write a snapshot of all rows, then delete what the snapshot before it made superfluous."""
+    base, tail = _state(spark, root, table)
+    older = _snapshots(spark, root, table)
+    number = int(base.rsplit("/", 1)[-1].split("-")[0]) + 1 if base else 1
+    path = f"{root}/{table}.snapshots/{number:012d}-{uuid.uuid4()}"
+    _rows(spark, root, table, base, tail).coalesce(SNAPSHOT_FILES).write.parquet(f"{path}/rows")
+    gone = _covered(spark, base) if base else set()
+    # Files of the base are still there for readers that began with the snapshot before it.
+    there = set(_files(spark, f"{root}/{table}"))
+    names = sorted((gone & there) | set(tail))
+    spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.parquet(f"{path}/covered")
+    for name in sorted(gone & there):
+        files, place = _at(spark, f"{root}/{table}/{name}")
+        files.delete(place, False)
+    for old in older:
+        if old != base:
+            files, place = _at(spark, old)
+            files.delete(place, True)
 
 
 def latest(rows: DataFrame, key: Sequence[str], newest: Sequence[Column]) -> DataFrame:
@@ -72,14 +141,17 @@ def newest_runs(rows: DataFrame, order_by: Sequence[Column], where: Column | Non
     return (rows if where is None else rows.where(where)).orderBy(*order_by).limit(k)
 
 
+def states(rows: DataFrame, newest: Sequence[Column] | None = None) -> DataFrame:
+    """Where every generation stands: its newest row, with defaults for what is not known yet."""
+    top = latest(rows, ["id"], newest or [F.col("written_at")])
+    known = {"progress": F.lit(0), "message": F.lit(""), "cohort_report": F.array()}
+    return top.withColumns({c: F.coalesce(ref(c), known[c].cast(top.schema[c].dataType)) for c in known if c in top.columns})
+
+
 def status(rows: DataFrame, run_id: str) -> dict | None:
-    """Where a generation stands, with defaults for what is not known yet."""
-    found = latest(rows.where(F.col("id") == run_id), ["id"], [F.col("written_at")]).first()
-    if found is None:
-        return None
-    out = found.asDict(recursive=True)
-    return {**out, "progress": out["progress"] or 0, "message": out["message"] or "",
-            "cohort_report": out["cohort_report"] or []}
+    """Where one generation stands; None for an unknown one."""
+    found = states(rows.where(F.col("id") == run_id)).first()
+    return None if found is None else found.asDict(recursive=True)
 
 
 def parsed(c: Column, schema: str) -> Column:

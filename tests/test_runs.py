@@ -53,3 +53,56 @@ def test_failed_run_is_logged(spark, bench):
     with pytest.raises(ValueError):
         bench.generate("no-such-table", 5)
     assert runs.status(runs.read(spark, bench.root, "generations"), "unknown") is None
+
+
+def test_a_log_of_many_appends_is_read_from_few_files(spark, bench, monkeypatch):
+    monkeypatch.setattr(runs, "TAIL_FILES", 5)
+    root = f"{bench.root}/log"
+    assert runs.read(spark, root, "validations").count() == 0
+    for i in range(23):
+        runs.append(spark, root, "validations", {"id": f"v{i}", "generation_id": f"g{i % 4}"})
+        rows = runs.read(spark, root, "validations")
+        assert rows.count() == i + 1 and len(rows.inputFiles()) <= 5 + runs.SNAPSHOT_FILES
+    assert sorted(r["id"] for r in rows.collect()) == sorted(f"v{i}" for i in range(23))
+    assert [runs.report_for(rows, f"g{k}").first()["id"] for k in range(4)] == ["v20", "v21", "v22", "v19"]
+    assert len(runs._files(spark, f"{root}/validations")) <= 12 and len(runs._snapshots(spark, root, "validations")) <= 2
+
+
+def test_a_log_of_many_files_without_a_snapshot(spark, bench):
+    root = f"{bench.root}/old"
+    old = spark.range(2000).selectExpr("concat('p', id) AS id", "concat('g', id % 50) AS generation_id", "CAST(timestamp_seconds(id) AS timestamp) AS written_at")
+    empty = runs.read(spark, root, "privacy_checks")
+    empty.unionByName(old, allowMissingColumns=True).repartition(400, "id").write.parquet(f"{root}/privacy_checks")
+    before = sorted(map(str, runs.latest(runs.read(spark, root, "privacy_checks"), ["generation_id"], [F.col("written_at")]).collect()))
+    runs.append(spark, root, "privacy_checks", {"id": "last", "generation_id": "new"})
+    rows = runs.read(spark, root, "privacy_checks")
+    assert len(rows.inputFiles()) <= runs.SNAPSHOT_FILES and rows.count() == 2001
+    assert sorted(map(str, runs.latest(rows.where("id != 'last'"), ["generation_id"], [F.col("written_at")]).collect())) == before
+
+
+def test_compaction_keeps_readers_and_late_appends(spark, bench, monkeypatch):
+    root = f"{bench.root}/busy"
+    for i in range(3):
+        runs.append(spark, root, "validations", {"id": f"v{i}"})
+    reader, whole = runs.read(spark, root, "validations"), runs._rows
+
+    def append_meanwhile(*args):
+        out = whole(*args)
+        monkeypatch.setattr(runs, "_rows", whole)
+        runs.append(spark, root, "validations", {"id": "late"})
+        return out
+
+    monkeypatch.setattr(runs, "_rows", append_meanwhile)
+    runs.compact(spark, root, "validations")
+    assert reader.count() == 3 and runs.read(spark, root, "validations").count() == 4
+    # A snapshot that was not finished, and one that another writer made at the same time.
+    runs.read(spark, root, "validations").limit(1).write.parquet(f"{root}/validations.snapshots/{99:012d}-torn/rows")
+    base, tail = runs._state(spark, root, "validations")
+    with monkeypatch.context() as m:
+        m.setattr(runs, "_state", lambda *args: (base, tail))
+        runs.compact(spark, root, "validations")
+        runs.compact(spark, root, "validations")
+    runs.append(spark, root, "validations", {"id": "after"})
+    runs.compact(spark, root, "validations")
+    found = runs.read(spark, root, "validations")
+    assert sorted(r["id"] for r in found.collect()) == ["after", "late", "v0", "v1", "v2"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from mirrortab import rules
@@ -12,7 +11,8 @@ from mirrortab.functions.values import (as_number, is_number, is_text, missing_t
                                         truth_of_text, type_of)
 from mirrortab.operators.classify import date_shares, infer_types, text_columns
 from mirrortab.operators.frequency import medians, modes
-from mirrortab.operators.ordering import bucket_bounds, buckets_for, cut_lineage
+from mirrortab.operators.ordering import cut_lineage
+from mirrortab.operators.scans import Levels, carried, with_cells
 
 DATE_SHARE = 0.9
 
@@ -61,41 +61,32 @@ def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _replaced(df, new)
 
 
-def fill_along(df: DataFrame, columns: Sequence[str], order_by: str) -> DataFrame:
+def fill_along(df: DataFrame, columns: Sequence[str], order_by: str, levels: Levels | None = None) -> DataFrame:
     """Missing values take the previous known one in row order, the next one at the start.
 
-    ``order_by`` is unique per row. Its values are cut into even buckets; windows run inside a bucket,
-    and one row per bucket carries the last and first known values across.
+    ``order_by`` is unique per row. The order is cut into cells (:mod:`scans`); windows run inside a cell, and one row per
+    cell carries the last and next known values across.
     """
     if not columns:
         return df
+    levels = levels or Levels.for_rows(df.count())
     place = order_number(df, order_by)
-    bounds = df.agg(bucket_bounds(place, buckets_for(df.count())).alias("b")).first()["b"]
-    if bounds is None:
-        return df
-    splits = [float("-inf"), *sorted(set(map(float, bounds))), float("inf")]
-    placed = (Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket", handleInvalid="keep")
-              .transform(df.withColumn("_place", place.cast("double"))))
-    known = []
+    placed = with_cells(df, place.cast("double"), "_cell", levels)
+    known, kinds = [], {}
     for i, c in enumerate(columns):
         when_known = F.when(missing_to_null(df, c).isNotNull(), place)
-        known += [F.max_by(ref(c), when_known).alias(f"_last{i}"), F.min_by(ref(c), when_known).alias(f"_first{i}")]
-    ends = placed.groupBy("_bucket").agg(*known)
+        known += [F.max_by(ref(c), when_known).alias(f"_before{i}"), F.min_by(ref(c), when_known).alias(f"_after{i}")]
+        kinds |= {f"_before{i}": "last", f"_after{i}": "next"}
+    carry = carried(placed.groupBy("_cell").agg(*known), "_cell", kinds, levels)
+
     # Looking ahead is looking back in descending order: a frame that ends at the last row would be
     # evaluated anew for every row.
-    def known_before(order: Column, within: Column) -> WindowSpec:
-        return Window.partitionBy(within).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def carried(value: str, order: Column) -> Column:
-        earlier = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.last(value, ignorenulls=True).over(earlier)
-
-    carry = ends.select("_bucket", *[c for i in range(len(columns)) for c in (
-        carried(f"_last{i}", F.asc("_bucket")).alias(f"_before{i}"),
-        carried(f"_first{i}", F.desc("_bucket")).alias(f"_after{i}"))])
-    back = known_before(ref(order_by).asc(), F.col("_bucket"))
-    ahead = known_before(ref(order_by).desc(), F.col("_bucket"))
-    filled = placed.join(F.broadcast(carry), "_bucket")
+    def known_before(order: Column) -> WindowSpec:
+        return Window.partitionBy("_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    back, ahead = known_before(ref(order_by).asc()), known_before(ref(order_by).desc())
+    # One level has at most a thousand cells; more are joined on the partitioning that the windows need anyway.
+    filled = placed.join(F.broadcast(carry) if levels.levels == 1 else carry, "_cell")
     new = {c: F.coalesce(F.last(missing_to_null(df, c), ignorenulls=True).over(back), F.col(f"_before{i}"),
                          F.last(missing_to_null(df, c), ignorenulls=True).over(ahead), F.col(f"_after{i}"))
            for i, c in enumerate(columns)}

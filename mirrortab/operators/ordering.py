@@ -14,16 +14,10 @@ BUCKETS = 1024
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 16_000_000
 ROWS_PER_BUCKET = 500_000
-MOST_BUCKETS = 16_384
 
 _local_folders: dict[str, str] = {}
 
 
-def buckets_for(rows: int) -> int:
-    """How many buckets of a row order to cut: enough that each is small, few enough to broadcast."""
-    return max(64, min(MOST_BUCKETS, rows // ROWS_PER_BUCKET))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor sees: spark.checkpoint.dir, or a scratch one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

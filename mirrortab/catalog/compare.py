@@ -32,7 +32,7 @@ def stats_sql(columns) -> str:
             + " UNION ALL ".join(_moments("syn", "synth", c) for c in columns) + ")")
 
 
-def ks_sql(columns, cap: str = "least(ny, 2 * ns)") -> str:
+def ks_sql(columns, cap: str = "ny") -> str:
     cells = " UNION ALL ".join(f"SELECT '{c}' AS c, CAST({c} AS DOUBLE) AS v, {int(t == 'src')} AS s, {int(t == 'syn')} AS y FROM {t} "
                                f"WHERE {c} IS NOT NULL" for c in columns for t in ("src", "syn"))
     return f"""u AS ({cells}), f AS (SELECT c, v, sum(s) AS s, sum(y) AS y FROM u GROUP BY c, v),
@@ -82,7 +82,7 @@ EARLY_SQL = (f"src AS (SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '{EAR
              f"syn AS (SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '{EARLY_DAY}')")
 
 
-@query("ks_cap", f"""WITH {EARLY_SQL}, {ks_sql(MEASURES)}
+@query("ks_cap", f"""WITH {EARLY_SQL}, {ks_sql(MEASURES, 'least(ny, 2 * ns)')}
 SELECT c AS "column", CAST(n1 AS BIGINT) AS source_n, n2 AS ks_capped_synth_n, round(d, 6) AS ks_statistic, round(p, 6) AS ks_pvalue FROM ks""")
 def ks_cap(spark, folder):
     a, b = sides(spark, folder, EARLY_DAY)

@@ -11,9 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mirrortab.functions.values import as_number, doubles, missing_to_null
-from mirrortab.operators.ordering import BUCKETS, bucket_bounds, bucket_of
-
-CELL_BITS = 10
+from mirrortab.operators.ordering import BUCKETS, bucket_bounds, bucket_of, cut_lineage
+from mirrortab.operators.scans import Levels, carried, refined
 
 
 def _stacked(df: DataFrame, values: Mapping[str, Column], extra: Sequence[Column] = ()) -> DataFrame:
@@ -63,8 +62,8 @@ def pair_frequencies(source: DataFrame, synthetic: DataFrame, columns: Sequence[
     return both.groupBy("column", "value").agg(F.sum("a").alias("n_source"), F.sum("b").alias("n_synth"))
 
 
-def value_bounds(tables: Sequence[DataFrame], columns: Sequence[str]) -> dict[str, list[float]]:
-    """Up to 1,023 rising numbers per column that cut its distinct values into about even buckets.
+def value_bounds(tables: Sequence[DataFrame], columns: Sequence[str]) -> tuple[dict[str, list[float]], int]:
+    """(up to 1,023 rising numbers per column that cut its distinct values into about even buckets, rows of all tables).
 
     One pass. Only values whose hash falls in one cell of 64 are looked at: a column with few distinct
     values may give none and then stays in one bucket, which is small.
@@ -75,20 +74,22 @@ def value_bounds(tables: Sequence[DataFrame], columns: Sequence[str]) -> dict[st
         part = df.select([as_number(df, c).alias(n) for c, n in zip(columns, names)])
         picked = part if picked is None else picked.unionByName(part)
     row = picked.agg(*[bucket_bounds(F.when(F.pmod(F.xxhash64(n), F.lit(64)) == 0, F.col(n))).alias(n)
-                       for n in names]).first()
-    return {c: sorted(set(row[n] or [])) for c, n in zip(columns, names)}
+                       for n in names], F.count(F.lit(1)).alias("rows")).first()
+    return {c: sorted(set(row[n] or [])) for c, n in zip(columns, names)}, row["rows"]
 
 
-def ranked_values(tables: Mapping[str, DataFrame], columns: Sequence[str],
-                  bounds: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
+def ranked_values(tables: Mapping[str, DataFrame], columns: Sequence[str], levels: Levels | None = None) -> DataFrame:
     """One row per distinct (column, value), with for each table, by its name n:
 
     ``n`` how often it occurs, ``n_upto`` how many values are not above it, ``n_total`` how many values
     the column has, ``n_sum`` their sum. The running count is taken inside a bucket of values and shifted
-    by what the earlier buckets hold, so a column spreads over many tasks; what is broadcast is one row
-    per column and bucket.
+    by what the earlier buckets hold, so a column spreads over many tasks. Buckets follow the rows: up to 1,024 a column
+    on one level, whose sums are broadcast, and buckets of buckets beyond that (:mod:`scans`).
     """
-    bounds = value_bounds(list(tables.values()), columns) if bounds is None else bounds
+    bounds, rows = value_bounds(list(tables.values()), columns)
+    levels = levels or Levels.for_rows(rows, least=BUCKETS)
+    every = BUCKETS // levels.fan
+    bounds = {c: found[every - 1::every] for c, found in bounds.items()}
     both = None
     for name, df in tables.items():
         cells = [x for i, c in enumerate(columns) for x in (F.lit(i), as_number(df, c))]
@@ -98,25 +99,21 @@ def ranked_values(tables: Mapping[str, DataFrame], columns: Sequence[str],
         both = part if both is None else both.unionByName(part)
     counted = both.groupBy("at", "value").agg(*[F.sum(n).alias(n) for n in tables])
     # One number for (column, bucket): short keys to shuffle, and a sort that its prefix decides.
-    limits = [b for c in columns for b in [*bounds.get(c, ()), *[float("inf")] * (BUCKETS - 1 - len(bounds.get(c, ())))]]
-    cell = F.shiftleft("at", CELL_BITS) + bucket_of(F.col("value"), doubles(limits), F.col("at") * (BUCKETS - 1))
+    cuts = levels.fan - 1
+    limits = [b for c in columns for b in [*bounds[c], *[float("inf")] * cuts][:cuts]]
+    cell = F.shiftleft(F.col("at").cast("bigint"), levels.bits) + bucket_of(F.col("value"), doubles(limits), F.col("at") * cuts, levels.fan)
     freq = counted.select(cell.alias("cell"), "value", *tables)
-    per_cell = freq.groupBy("cell").agg(
-        *[F.sum(n).alias(f"{n}_here") for n in tables],
-        *[F.sum(F.col("value") * F.col(n)).alias(f"{n}_part") for n in tables])
-    whole = Window.partitionBy(F.shiftright("cell", CELL_BITS))
-    earlier = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    name_of = F.element_at(F.array(*[F.lit(c) for c in columns]), F.shiftright("cell", CELL_BITS) + 1)
-    shift = per_cell.select(
-        "cell", name_of.alias("column"),
-        *[F.coalesce(F.sum(f"{n}_here").over(earlier), F.lit(0)).alias(f"{n}_before") for n in tables],
-        *[F.sum(f"{n}_here").over(whole).alias(f"{n}_total") for n in tables],
-        *[F.sum(f"{n}_part").over(whole).alias(f"{n}_sum") for n in tables])
+    if levels.levels > 1:
+        freq = cut_lineage(refined(cut_lineage(freq), "value", "cell", levels))
+    here = [x for n in tables for x in (F.sum(n).alias(f"{n}_before"), F.sum(n).alias(f"{n}_total"), F.sum(F.col("value") * F.col(n)).alias(f"{n}_sum"))]
+    kinds = {f"{n}_{k}": kind for n in tables for k, kind in (("before", "sum"), ("total", "total"), ("sum", "total"))}
+    name_of = F.element_at(F.array(*[F.lit(c) for c in columns]), F.shiftright("cell", levels.bits * levels.levels).cast("int") + 1)
+    shift = carried(freq.groupBy("cell").agg(*here), "cell", kinds, levels).withColumn("column", name_of)
     inside = Window.partitionBy("cell").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = freq.select("*", *[F.sum(n).over(inside).alias(f"{n}_within") for n in tables])
     # A left join, although every cell is there: an inner one would test the cell for null on every raw
     # row, and the two uses of ``freq`` would no longer share one shuffle.
-    return upto.join(F.broadcast(shift), "cell", "left").select(
+    return upto.join(F.broadcast(shift) if levels.levels == 1 else shift, "cell", "left").select(
         "column", "value", *tables, *[(F.col(f"{n}_within") + F.col(f"{n}_before")).alias(f"{n}_upto") for n in tables],
         *[f"{n}_total" for n in tables], *[f"{n}_sum" for n in tables])
 

@@ -47,15 +47,23 @@ def with_cells(df: DataFrame, value: Column, name: str, levels: Levels) -> DataF
     bounds = df.agg(bucket_bounds(value, levels.fan).alias("b")).first()["b"]
     padded = [*sorted(set(bounds or [])), *[float("inf")] * levels.fan][:levels.fan - 1]
     out = add_bucket(df.withColumn(f"{name}_at", value), F.col(f"{name}_at"), doubles(padded), name, levels.fan).withColumn(name, F.col(name).cast("bigint"))
+    return refined(out, f"{name}_at", name, levels).drop(f"{name}_at")
+
+
+def refined(df: DataFrame, value: str, cell: str, levels: Levels) -> DataFrame:
+    """Cut the cells of the first level, a long, again for every level below it; each takes bounds from the values in its cells."""
+    out = df
     for _ in range(levels.levels - 1):
-        inner = out.groupBy(name).agg(F.array_distinct(bucket_bounds(F.col(f"{name}_at"), levels.fan)).alias(f"{name}_b"))
-        full = F.slice(F.concat(F.col(f"{name}_b"), F.array_repeat(F.lit(float("inf")), levels.fan)), 1, levels.fan - 1)
-        met = out.join(inner.select(name, F.when(F.col(f"{name}_b").isNotNull(), full).alias(f"{name}_b")), name)
-        out = met.withColumn(name, F.shiftleft(name, levels.bits) + bucket_of(F.col(f"{name}_at"), F.col(f"{name}_b"), F.lit(0), levels.fan)).drop(f"{name}_b")
-    return out.drop(f"{name}_at")
+        inner = out.groupBy(cell).agg(F.array_distinct(bucket_bounds(F.col(value), levels.fan)).alias("_bounds"))
+        full = F.slice(F.concat("_bounds", F.array_repeat(F.lit(float("inf")), levels.fan)), 1, levels.fan - 1)
+        met = out.join(inner.select(cell, F.when(F.col("_bounds").isNotNull(), full).alias("_bounds")), cell)
+        out = met.withColumn(cell, F.shiftleft(cell, levels.bits) + bucket_of(F.col(value), F.col("_bounds"), F.lit(0), levels.fan)).drop("_bounds")
+    return out
 
 
 def _before(kind: str, c: str, parent: Column, cell: str) -> Column:
+    if kind == "total":
+        return F.sum(c).over(Window.partitionBy(parent))
     order = F.desc(cell) if kind == "next" else F.asc(cell)
     earlier = Window.partitionBy(parent).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(c).over(earlier), F.lit(0)) if kind == "sum" else F.last(c, ignorenulls=True).over(earlier)
@@ -63,13 +71,14 @@ def _before(kind: str, c: str, parent: Column, cell: str) -> Column:
 
 def _whole(kind: str, c: str, cell: str) -> Column:
     known = F.when(F.col(c).isNotNull(), F.col(cell))
-    return F.sum(c) if kind == "sum" else F.max_by(c, known) if kind == "last" else F.min_by(c, known)
+    return F.sum(c) if kind in ("sum", "total") else F.max_by(c, known) if kind == "last" else F.min_by(c, known)
 
 
 def carried(ends: DataFrame, cell: str, kinds: Mapping[str, str], levels: Levels) -> DataFrame:
     """(cell, and each column of ``kinds``): what the cells before a cell hold, from one row per cell.
 
-    Kinds: ``last``, the last known value before; ``next``, the first known value behind; ``sum``, the sum before.
+    Kinds: ``last``, the last known value before; ``next``, the first known value behind; ``sum``, the sum before; ``total``, the sum
+    of all. Higher bits than the first level's may tell separate orders apart, which share nothing.
     """
     ends = ends.select(cell, *kinds)
     return _carried(ends if levels.levels == 1 else cut_lineage(ends), cell, kinds, levels, levels.levels)
@@ -83,5 +92,6 @@ def _carried(ends: DataFrame, cell: str, kinds: Mapping[str, str], levels: Level
     tops = ends.groupBy(parent.alias("_parent")).agg(*[_whole(kind, c, cell).alias(c) for c, kind in kinds.items()])
     above = _carried(tops.withColumnRenamed("_parent", cell), cell, kinds, levels, depth - 1) \
         .select(F.col(cell).alias("_parent"), *[F.col(c).alias(f"_above_{c}") for c in kinds])
+    joined = {"sum": lambda c: F.col(c) + F.col(f"_above_{c}"), "total": lambda c: F.col(f"_above_{c}")}
     return here.withColumn("_parent", parent).join(above, "_parent").select(
-        cell, *[(F.col(c) + F.col(f"_above_{c}") if kind == "sum" else F.coalesce(F.col(c), F.col(f"_above_{c}"))).alias(c) for c, kind in kinds.items()])
+        cell, *[joined.get(kind, lambda c: F.coalesce(F.col(c), F.col(f"_above_{c}")))(c).alias(c) for c, kind in kinds.items()])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mirrortab.functions.maths import chi2_pvalue, ks_pvalue
 from mirrortab.functions.values import as_number, is_number, missing_to_null, type_of
 from mirrortab.operators.frequency import pair_frequencies, quantile_of, ranked_values
+from mirrortab.operators.scans import Levels
 from mirrortab.operators.gram import pair_correlations, pair_moments
 
 KS_CAP = 2
@@ -49,13 +50,13 @@ def capped_counts(pair: DataFrame, cap: int | None) -> DataFrame:
 
 def numeric_comparison(source: DataFrame, synthetic: DataFrame, columns: Sequence[str],
                        cap: int | None = None, cohort_columns: Collection[str] = (),
-                       bounds: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
+                       levels: Levels | None = None) -> DataFrame:
     """One row per numeric column: size, moments and quartiles of both sides, and the KS test.
 
     ``cap`` cuts the synthetic side of the test to that multiple of the source; ``KS_CAP`` is the usual choice, none the default.
     """
     value = F.col("value")
-    ranked = capped_counts(ranked_values({"n_source": source, "n_synth": synthetic}, columns, bounds), cap)
+    ranked = capped_counts(ranked_values({"n_source": source, "n_synth": synthetic}, columns, levels), cap)
     gap = F.abs(F.try_divide(F.col("n_source_upto"), F.col("n_source_total"))
                 - F.try_divide(F.col("capped_upto"), F.col("capped_total")))
 

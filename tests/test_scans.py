@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from mirrortab.operators import clean as cn
+from mirrortab.operators.frequency import ranked_values
 from mirrortab.operators.scans import Levels, carried, with_cells
+from mirrortab.operators.validate import numeric_comparison
 
 TINY = Levels(2, 3)
 
@@ -58,3 +60,24 @@ def test_fill_on_three_levels_is_pandas(spark, gaps):
     assert [r["k"] for r in out] == list(want["k"])
     assert [r["v"] for r in out] == [None if pd.isna(x) else int(x) for x in want["v"]]
     assert [r["t"] for r in out] == [None if pd.isna(x) else x for x in want["t"]]
+
+
+def test_ranks_on_three_levels_equal_those_on_one(spark):
+    draw = random.Random(13)
+    rows = [(round(draw.gauss(0, 30), 2), None if i % 9 == 0 else draw.choice([5.0, 5.0, draw.randrange(400) / 4]), None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "x double, y double, z double").repartition(5)
+    names = ["column", "value", "a", "b", "a_upto", "b_upto", "a_total", "b_total"]
+
+    def ranked(levels):
+        found = ranked_values({"a": df, "b": df.where("x > 0")}, ["x", "y", "z"], levels)
+        return sorted(tuple(r[n] for n in names) for r in found.collect())
+
+    one = ranked(None)
+    assert ranked(TINY) == one and {r[0] for r in one} == {"x", "y"}
+    for c, at in (("x", 0), ("y", 1)):
+        known = sorted(r[at] for r in rows if r[at] is not None)
+        assert [(r[1], r[4], r[6]) for r in one if r[0] == c] == [(v, sum(k <= v for k in known), len(known)) for v in sorted(set(known))]
+    sides = df.where("x > 0"), df.where("x <= 0")
+    plain, deep = (numeric_comparison(*sides, ["x", "y"], levels=levels).orderBy("column").collect() for levels in (None, TINY))
+    for p, d in zip(plain, deep):
+        assert [round(v, 9) if isinstance(v, float) else v for v in p] == [round(v, 9) if isinstance(v, float) else v for v in d]

@@ -54,6 +54,20 @@ def cohort_sequence(spark, folder):
     return resampled(spark, folder, wanted).select("_row", *COLUMNS_SQL.split(", "))
 
 
+@query("cohort_joint", """WITH c AS (SELECT c_mktsegment = 'BUILDING' AS building, c_acctbal >= 5000 AS solvent FROM customer),
+t AS (SELECT count(*) AS n, 0.4::DOUBLE AS p, 0.3::DOUBLE AS q, count(*) FILTER (building AND solvent)::DOUBLE * count(*) FILTER (NOT building AND NOT solvent)
+  / (count(*) FILTER (building AND NOT solvent) * count(*) FILTER (NOT building AND solvent)) AS odds FROM c),
+b AS (SELECT *, 1 - p - q + odds * (p + q) AS b FROM t), x AS (SELECT *, 2 * odds * p * q / (b + sqrt(b * b + 4 * (1 - odds) * odds * p * q)) AS x FROM b),
+s AS (SELECT n, unnest([true, true, false, false]) AS building, unnest([true, false, true, false]) AS solvent, n * unnest([x, p - x, q - x, 1 - p - q + x]) AS exact FROM x),
+r AS (SELECT *, row_number() OVER (ORDER BY exact - floor(exact) DESC) AS place, n - sum(floor(exact)) OVER () AS spare FROM s)
+SELECT building, solvent, CAST(floor(exact) + CASE WHEN place <= spare THEN 1 ELSE 0 END AS BIGINT) AS rows FROM r""")
+def cohort_joint(spark, folder):
+    """Both proportions at once: rows of each combination, which keep the odds ratio of the customers."""
+    c = table(spark, folder, "customer")
+    out = ch.resample(c, "c_custkey", c.count(), [BUILDING, SOLVENT], joint=True)
+    return out.groupBy((F.col("c_mktsegment") == "BUILDING").alias("building"), (F.col("c_acctbal") >= 5000).alias("solvent")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("bootstrap_sample", f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, count(*) OVER () AS n FROM customer)
 SELECT i AS _row, {COLUMNS_SQL} FROM (SELECT count(*) AS m FROM customer), range(m) t(i) JOIN p ON pos = (i * 48271 + 12345) % n""")
 def bootstrap_sample(spark, folder):

@@ -13,14 +13,15 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mirrortab.functions.draws import SPAN, bits, hash_index
-from mirrortab.functions.values import ref
+from mirrortab.functions.values import doubles, ref
 from mirrortab.operators.classify import find_column
-from mirrortab.operators.ordering import bottom_k, cut_lineage, dense_index, skew_join
+from mirrortab.operators.ordering import bottom_k, bucket_of, cut_lineage, dense_index, skew_join
 from mirrortab.operators.predicates import Requirement, condition
 
 ROW = "_row"
 PASS_LIMIT = 5.0
 DRAWS_PER_COPY = 100_000
+MOST_JOINT = 10
 Draw = Callable[[int, str, Column, Column], Column]
 
 
@@ -110,6 +111,74 @@ def resampled_keys(pool: DataFrame, key: str, n: int, requirements: Sequence[Req
     return narrow.select(F.col("_order").alias(ROW), F.col("_key").alias(key))
 
 
+def joint_quotas(counts: Mapping[int, int], targets: Sequence[float], n: int, rounds: int = 10_000, close: float = 1e-12) -> dict[int, int]:
+    """How many of ``n`` rows to take of each cell, so that every requirement has its proportion at once.
+
+    A cell is a set of requirements as bits; ``counts`` has the pool rows of the cells that are not empty. Their shares are scaled to
+    one requirement after the other until all hold (iterative proportional fitting), which changes how requirements go together no
+    more than it must. A proportion that no cell can serve is left out. Shares become whole rows by largest remainder.
+    """
+    cells = sorted(c for c, k in counts.items() if k > 0)
+    total = sum(counts[c] for c in cells)
+    if not total:
+        return {}
+    share = {c: counts[c] / total for c in cells}
+    for _ in range(rounds):
+        off = 0.0
+        for bit, target in enumerate(targets):
+            inside = sum(w for c, w in share.items() if c >> bit & 1)
+            outside = sum(w for c, w in share.items() if not c >> bit & 1)
+            if (target > 0 and not inside) or (target < 1 and not outside):
+                continue
+            off = max(off, abs(inside - target))
+            up, down = (target / inside if inside else 0.0), ((1 - target) / outside if outside else 0.0)
+            share = {c: w * (up if c >> bit & 1 else down) for c, w in share.items()}
+        if off < close:
+            break
+    whole = sum(share.values())
+    exact = {c: n * w / whole for c, w in share.items()}
+    quotas = {c: int(x) for c, x in exact.items()}
+    for c in sorted(cells, key=lambda c: (quotas[c] - exact[c], c))[:n - sum(quotas.values())]:
+        quotas[c] += 1
+    return quotas
+
+
+def joint_keys(pool: DataFrame, key: str, n: int, requirements: Sequence[Requirement], seed: int = 42, draw: Draw = hash_index) -> DataFrame:
+    """(_row, key) like :func:`resampled_keys`, with all proportions met together instead of one after the other.
+
+    Rows are numbered cell by cell; each result row takes a place in the quota of a cell, spread evenly over the row numbers, and
+    draws a row of that cell with replacement. Requirements on missing columns are skipped.
+    """
+    used = [r for r in requirements if r.feature in pool.columns]
+    if len(used) > MOST_JOINT:
+        raise ValueError(f"at most {MOST_JOINT} requirements can be met together")
+    bits = [F.coalesce(condition(pool, r.feature, r.operator, r.value), F.lit(False)).cast("int") * (1 << i) for i, r in enumerate(used)]
+    narrow = pool.select(ref(key).alias("_key"), sum(bits, F.lit(0)).alias("_cell"))
+    counts = {r["_cell"]: r["count"] for r in narrow.groupBy("_cell").count().collect()}
+    quotas = joint_quotas(counts, [r.target_proportion for r in used], n)
+    numbered = dense_index(narrow, ["_cell", "_key"], "_at").drop("_cell")
+    cells = sorted(counts)
+    first = [sum(counts[d] for d in cells[:i]) for i in range(len(cells))]
+    begin = [sum(quotas[d] for d in cells[:i]) for i in range(len(cells))]
+
+    def longs(values: Sequence[int]) -> Column:
+        return F.array(*[F.lit(v).cast("bigint") for v in values])
+
+    turn = _mixed(F.col(ROW), n) if n else F.col(ROW)
+    # The last cell that begins at or before a place; empty quotas begin where the next cell does.
+    draws = narrow.sparkSession.range(n if cells else 0).select(F.col("id").alias(ROW), turn_of(turn, begin).alias("_place"), turn.alias("_turn"))
+    within, size = F.col("_turn") - F.get(longs(begin), F.col("_place")), F.get(longs([counts[c] for c in cells]), F.col("_place"))
+    at = F.get(longs(first), F.col("_place")) + draw(seed, "joint", within, size)
+    return skew_join(draws.select(ROW, at.alias("_at")), numbered, "_at", F.col(ROW), rows=n).select(ROW, F.col("_key").alias(key))
+
+
+def turn_of(turn: Column, begin: Sequence[int]) -> Column:
+    """Place in ``begin``, which rises, of the last number that is not above ``turn``."""
+    size = 1 << len(begin).bit_length()
+    bounds = doubles([float(b) for b in begin[1:]] + [float("inf")] * (size - len(begin)))
+    return bucket_of(turn.cast("double"), bounds, F.lit(0), size)
+
+
 def trimmed_or_padded(keys: DataFrame, n: int, seed: int = 42, draw: Draw = hash_index,
                       score: Callable[[Column], Column] | None = None, score_span: int = SPAN) -> DataFrame:
     """(_row, _key): exactly ``n`` of the keys; without replacement if there are enough, else padded by draws."""
@@ -133,9 +202,13 @@ def fetch_rows(pool: DataFrame, key: str, picked: DataFrame, n: int) -> DataFram
 
 def resample(pool: DataFrame, key: str, n: int, requirements: Sequence[Requirement], seed: int = 42,
              draw: Draw = hash_index, score: Callable[[Column], Column] | None = None,
-             score_span: int = SPAN) -> DataFrame:
-    """``n`` rows of the pool in the requested proportions, numbered by ``_row``. ``key`` is unique."""
-    picked = resampled_keys(pool, key, n, requirements, seed, draw, score, score_span)
+             score_span: int = SPAN, joint: bool = False) -> DataFrame:
+    """``n`` rows of the pool in the requested proportions, numbered by ``_row``. ``key`` is unique.
+
+    Requirements are applied one after the other, as asked; with ``joint`` all proportions hold in the result.
+    """
+    picked = joint_keys(pool, key, n, requirements, seed, draw) if joint else \
+        resampled_keys(pool, key, n, requirements, seed, draw, score, score_span)
     return fetch_rows(pool, key, picked, n)
 
 

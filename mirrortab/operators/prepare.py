@@ -45,33 +45,40 @@ def dates_to_ordinals(df: DataFrame) -> DataFrame:
 
 
 def date_strings_to_ordinals(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Text columns that read as dates in at least nine known values of ten become day ordinals in place."""
+    """Text columns that read as dates in at least nine known values of ten become day ordinals in place; their other cells become null."""
+    return date_strings_counted(df, order_by)[0]
+
+
+def date_strings_counted(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`date_strings_to_ordinals`, and the number of known cells that became null, for each column that has any."""
     texts = [c for c in text_columns(df) if c not in order_by]
     if not texts:
-        return df
-    likely = {r["column"] for r in date_shares(df, texts)
-              .where(F.col("share") >= ORDINAL_SHARE).collect()}
-    return df.select([day_ordinal(moment_from_text(ref(c))).alias(c) if c in likely else ref(c) for c in df.columns])
+        return df, {}
+    likely = {r["column"]: r["unread"] for r in date_shares(df, texts).where(F.col("share") >= ORDINAL_SHARE).collect()}
+    out = df.select([day_ordinal(moment_from_text(ref(c))).alias(c) if c in likely else ref(c) for c in df.columns])
+    return out, {c: n for c, n in likely.items() if n}
 
 
-def readable_shares(df: DataFrame) -> tuple[dict[str, float], list[str]]:
-    """(share of rows that read as numbers per text column, columns without any value) in one pass."""
+def readable_shares(df: DataFrame) -> tuple[dict[str, float], dict[str, int], list[str]]:
+    """(share of rows that read as numbers per text column, known cells that do not, columns without any value) in one pass."""
     texts = text_columns(df)
-    row = df.agg(*[F.avg(as_number(df, c).isNotNull().cast("double")).alias(f"t{i}") for i, c in enumerate(texts)],
+    numbers = [as_number(df, c) for c in texts]
+    row = df.agg(*[F.avg(x.isNotNull().cast("double")).alias(f"t{i}") for i, x in enumerate(numbers)],
+                 *[F.count(F.when(x.isNull(), missing_to_null(df, c))).alias(f"u{i}") for i, (c, x) in enumerate(zip(texts, numbers))],
                  *[F.count(missing_to_null(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
     shares = {c: row[f"t{i}"] or 0.0 for i, c in enumerate(texts)}
-    return shares, [c for i, c in enumerate(df.columns) if row[f"n{i}"] == 0]
+    return shares, {c: row[f"u{i}"] for i, c in enumerate(texts)}, [c for i, c in enumerate(df.columns) if row[f"n{i}"] == 0]
 
 
 def numeric_strings(df: DataFrame) -> DataFrame:
     """Text columns that read as numbers in at least nine rows of ten become doubles."""
-    shares, _ = readable_shares(df)
+    shares, _, _ = readable_shares(df)
     return df.select([as_number(df, c).alias(c) if shares.get(c, 0.0) >= NUMERIC_SHARE else ref(c)
                       for c in df.columns])
 
 
 def drop_all_null(df: DataFrame) -> DataFrame:
-    _, empty = readable_shares(df)
+    _, _, empty = readable_shares(df)
     return df.drop(*empty)
 
 
@@ -81,17 +88,23 @@ def model_ready(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     ``order_by`` gives the row order for the look at first values; those columns are kept or dropped
     like any other.
     """
+    return model_ready_counted(df, order_by)[0]
+
+
+def model_ready_counted(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`model_ready`, and the number of known cells that became null, for each column that has any."""
     keys = columns_of_class(df, DIRECT, LINKAGE)
     hidden = {c: f"_order{i}" for i, c in enumerate(order_by)}
     ordered = df.select([ref(c) for c in df.columns if c not in keys]
                         + [ref(c).alias(h) for c, h in hidden.items()])
     moments = [f.name for f in ordered.schema.fields if is_moment(f.dataType) and f.name not in hidden.values()]
     dated = ordered.select("*", *[day_ordinal(ref(c)).alias(f"{c}_ordinal") for c in moments]).drop(*moments)
-    ordinal = date_strings_to_ordinals(dated, list(hidden.values()))
+    ordinal, lost = date_strings_counted(dated, list(hidden.values()))
     body = ordinal.drop(*hidden.values())
-    shares, empty = readable_shares(body)
-    return body.select([as_number(body, c).alias(c) if shares.get(c, 0.0) >= NUMERIC_SHARE else ref(c)
-                        for c in body.columns if c not in empty])
+    shares, unread, empty = readable_shares(body)
+    numbers = [c for c, share in shares.items() if share >= NUMERIC_SHARE]
+    out = body.select([as_number(body, c).alias(c) if c in numbers else ref(c) for c in body.columns if c not in empty])
+    return out, lost | {c: unread[c] for c in numbers if unread[c]}
 
 
 def ordinals_to_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from mirrortab.operators.classify import (DIRECT, LINKAGE, approved_columns, cla
 from mirrortab.operators.clean import preprocess
 from mirrortab.operators.ordering import dense_index
 from mirrortab.operators.predicates import Requirement
-from mirrortab.operators.prepare import model_ready
+from mirrortab.operators.prepare import model_ready_counted
 from mirrortab.operators.profile import profile
 from mirrortab.plans import compare
 from mirrortab.sources import runs
@@ -96,10 +96,11 @@ class Workbench:
         try:
             landed = read_landed(self.spark, self.root, "raw", table_id)
             cleaned = read_landed(self.spark, self.root, "clean", table_id)
-            ready = gate(model_ready(cleaned, []), MIN_ROWS_MODEL)
+            ready, unread = model_ready_counted(cleaned, [])
+            gate(ready, MIN_ROWS_MODEL)
             _, source_path = land(ready, self.root, "model_ready", run_id)
             ready = read_landed(self.spark, self.root, "model_ready", run_id)
-            log("training", 15, "fitting", source_path=source_path)
+            log("training", 15, "fitting", source_path=source_path, unread_cells=sorted(unread.items()))
             fitted = synth.fit(ready, model, self.seed)
             log("generating", 60, "sampling", model_used=fitted.used)
             wanted = list(requirements) or (cohort.preset_requirements(ready, preset) if preset else [])

@@ -33,7 +33,8 @@ SCHEMAS = {
                    "requirements array<struct<feature: string, operator: string, value: string, target: double>>, "
                    "cohort_report array<struct<label: string, requested_pct: double, generated_pct: double, "
                    "diff_pct: double, status: string>>, output_path string, source_path string, seconds double, "
-                   "progress int, message string, error string, status string, written_at timestamp",
+                   "progress int, message string, error string, unread_cells array<struct<column: string, cells: bigint>>, "
+                   "status string, written_at timestamp",
     "validations": "id string, generation_id string, dataset_id string, overall struct<distribution_similarity: double, "
                    "correlation_preservation: double, ks_pass_rate: double, ks_tested_columns: bigint, "
                    "ks_passed_columns: bigint, ks_skipped_columns: bigint, overall_quality: double>, "

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from mirrortab.operators import cohort as ch, view
+from mirrortab.operators import cohort as ch, prepare as pr, view
 from mirrortab.operators.pages import Pages
 from mirrortab.operators.predicates import Requirement
 
@@ -53,3 +53,15 @@ def test_a_deep_page_reads_one_or_two_files(spark):
     for wrong in (lambda: again.page(0), lambda: again.page(1, 5), lambda: Pages.build(df, "none")):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_cells_that_a_model_cannot_read_are_counted(spark):
+    i = F.col("id")
+    df = spark.range(200).select(
+        "id", F.when(i % 20 == 0, "soon").when(i % 20 == 1, None).otherwise(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 50).cast("int")), "yyyy-MM-dd")).alias("seen"),
+        F.when(i % 25 == 0, "high").otherwise((i * 1.5).cast("string")).alias("level"), F.lit("a").alias("t"))
+    out, lost = pr.model_ready_counted(df, ["id"])
+    assert lost == {"seen": 10, "level": 8}
+    assert out.where("seen IS NULL").count() == 20 and out.where("level IS NULL").count() == 8
+    clean = df.where("id % 20 > 1 AND id % 25 > 0")
+    assert pr.model_ready_counted(clean, ["id"])[1] == {}

@@ -80,8 +80,11 @@ class Workbench:
         return read_landed(self.spark, self.root, "clean", table_id), summary, removed
 
     def generate(self, table_id: str, n: int, model: str = synth.DEFAULT_MODEL,
-                 requirements: Sequence[Requirement] = (), preset: Mapping | None = None) -> str:
-        """Fit, sample, resample to the requirements, write; every state is logged. Returns the run id."""
+                 requirements: Sequence[Requirement] = (), preset: Mapping | None = None, joint: bool = False) -> str:
+        """Fit, sample, resample to the requirements, write; every state is logged. Returns the run id.
+
+        Requirements are applied one after the other; with ``joint`` they are met together.
+        """
         if n < synth.MIN_ROWS_OUT:
             raise ValueError(f"at least {synth.MIN_ROWS_OUT} rows must be asked for")
         run_id, begun = new_id(), time.time()
@@ -104,7 +107,7 @@ class Workbench:
             fitted = synth.fit(ready, model, self.seed)
             log("generating", 60, "sampling", model_used=fitted.used)
             wanted = list(requirements) or (cohort.preset_requirements(ready, preset) if preset else [])
-            rows = synthetic_rows(fitted, n, wanted, self.seed)
+            rows = synthetic_rows(fitted, n, wanted, self.seed, joint)
             keyed = LINKAGE in classes_of_schema(landed).values()
             out = synth.with_subject_ids(rows) if keyed else rows.drop(cohort.ROW)
             _, path = land(out, self.root, "synthetic", run_id)
@@ -173,7 +176,8 @@ def _numbered(df: DataFrame) -> DataFrame:
     return dense_index(df, [F.xxhash64(*[ref(c).cast("string") for c in df.columns])], "_number")
 
 
-def synthetic_rows(model: synth.Model, n: int, requirements: Sequence[Requirement] = (), seed: int = 42) -> DataFrame:
+def synthetic_rows(model: synth.Model, n: int, requirements: Sequence[Requirement] = (), seed: int = 42,
+                   joint: bool = False) -> DataFrame:
     """``n`` synthetic rows, numbered by ``_row``, in the requested proportions.
 
     Synthetic row i can be computed from i, so the pool is never written: the columns that requirements
@@ -184,5 +188,5 @@ def synthetic_rows(model: synth.Model, n: int, requirements: Sequence[Requiremen
     pool = model.source.sparkSession.range(synth.pool_size(n)).select(F.col("id").alias("_pool"))
     features = list(dict.fromkeys(r.feature for r in requirements if r.feature in model.columns))
     narrow = synth.rows_for(model, pool, "_pool", features)
-    picked = cohort.resampled_keys(narrow, "_pool", n, requirements, seed)
+    picked = (cohort.joint_keys if joint else cohort.resampled_keys)(narrow, "_pool", n, requirements, seed)
     return synth.rows_for(model, picked, "_pool").drop("_pool")

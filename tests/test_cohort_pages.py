@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from mirrortab.operators import cohort as ch, prepare as pr, view
+from mirrortab.operators import cohort as ch, prepare as pr, synth, view
 from mirrortab.operators.pages import Pages
 from mirrortab.operators.predicates import Requirement
+from mirrortab.plans.generate import synthetic_rows
 
 
 def test_quotas_meet_all_proportions():
@@ -65,3 +66,12 @@ def test_cells_that_a_model_cannot_read_are_counted(spark):
     assert out.where("seen IS NULL").count() == 20 and out.where("level IS NULL").count() == 8
     clean = df.where("id % 20 > 1 AND id % 25 > 0")
     assert pr.model_ready_counted(clean, ["id"])[1] == {}
+
+
+def test_synthetic_rows_meet_requests_together(spark):
+    i = F.col("id")
+    df = spark.range(400).select((i % 80).cast("double").alias("age"), F.when((i % 80 > 50) & (i % 3 > 0), "yes").otherwise("no").alias("ill"))
+    wanted = [Requirement("age", "gte", 50, 0.7), Requirement("ill", "equal", "yes", 0.2)]
+    rows = synthetic_rows(synth.fit(df), 500, wanted, joint=True).select("_row", "age", "ill").collect()
+    assert sorted(r["_row"] for r in rows) == list(range(500))
+    assert abs(sum(r["age"] >= 50 for r in rows) - 350) <= 5 and abs(sum(r["ill"] == "yes" for r in rows) - 100) <= 5
